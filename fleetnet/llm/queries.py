@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetnet.llm import licences, mixing, quality, rules, sharding, simhash
+from fleetnet.llm import licences, mixing, pieces, quality, rules, sharding, simhash
 from fleetnet.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judged(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mixing": op2_source_mixing,
         "op4_quality_knn": op4_quality_knn,
+        "op5_sampled_pieces": op5_sampled_pieces,
         "op7_quality_rules": op7_quality_rules,
         "op8_simhash_groups": op8_simhash_groups,
         "op9_hilbert_shards": op9_hilbert_shards,
