@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetnet.llm import licences, mixing, pieces, quality, rules, sharding, simhash
+from fleetnet.llm import language, licences, mixing, pieces, quality, rules, sharding, simhash
 from fleetnet.llm.common import table
 
 
@@ -15,6 +15,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(language.corpus_items(table(spark, sf_dir, "pages"), docs), language.train(docs))
+    return found.select(F.when(~F.col("is_page"), F.col("id")).alias("doc_id"), F.when(F.col("is_page"), F.col("id")).alias("page_id"), "host", "declared", "text_lang", "lang", "posterior")
+
+
 def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -48,6 +54,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mixing": op2_source_mixing,
+        "op3_language_fusion": op3_language_fusion,
         "op4_quality_knn": op4_quality_knn,
         "op5_sampled_pieces": op5_sampled_pieces,
         "op7_quality_rules": op7_quality_rules,
