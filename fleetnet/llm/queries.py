@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetnet.llm import language, licences, mixing, pieces, quality, rules, sharding, simhash
+from fleetnet.llm import language, licences, mixing, pieces, quality, rules, sharding, simhash, syncmers
 from fleetnet.llm.common import table
 
 
+def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
         "op2_source_mixing": op2_source_mixing,
         "op3_language_fusion": op3_language_fusion,
         "op4_quality_knn": op4_quality_knn,
