@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetnet.llm import language, licences, mixing, pieces, quality, rules, sharding, simhash, syncmers
+from fleetnet.llm import language, licences, mixing, passages, pieces, quality, rules, sharding, simhash, syncmers
 from fleetnet.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.removed(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judged(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_fusion": op3_language_fusion,
         "op4_quality_knn": op4_quality_knn,
         "op5_sampled_pieces": op5_sampled_pieces,
+        "op6_suffix_passages": op6_suffix_passages,
         "op7_quality_rules": op7_quality_rules,
         "op8_simhash_groups": op8_simhash_groups,
         "op9_hilbert_shards": op9_hilbert_shards,
