@@ -1,6 +1,59 @@
-"""The corpus pipeline: STAGES applied to ``documents`` one after the other."""
+"""The corpus pipeline: five operators applied to ``documents`` one after the other.
+
+Each stage takes (spark, docs, sf_dir), works on every row it gets and returns the rows it keeps with the columns of
+``documents``; the last returns the encoded corpus.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from fleetnet.llm import mixing, passages, pieces, quality, simhash
+from fleetnet.llm.common import stored, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest-neighbour vote scores under a half go."""
+    return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return simhash.deduplicated(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes or more that occur again are cut out of the texts; every document stays."""
+    return passages.without_repeats(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled by probabilities that meet the target weights of sources, languages and topics."""
+    return mixing.sample(docs)
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text as sampled piece ids that decode to it: doc_id, ids, n_pieces, lossless."""
+    return pieces.encoded(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("mixing sources to target weights", source_mixing),
+    ("SentencePiece encoding and decoding", sentencepiece_encoding),
+]
+
+#: The classifier, the suffix sort and the sampled segmentation can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
+    return docs

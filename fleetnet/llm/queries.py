@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_groups": op8_simhash_groups,
         "op9_hilbert_shards": op9_hilbert_shards,
         "op10_licence_scan": op10_licence_scan,
+        "pipeline": corpus_pipeline.run,
     }
 
 
