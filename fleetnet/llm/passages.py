@@ -9,7 +9,11 @@ A byte goes if it lies in a string of LENGTH bytes that also starts anywhere els
    many copies there are, one of them goes on.
 3. Buckets that still hold different fragments get their text, and tasks sort them, one block of buckets at a time, by
    suffix with a difference-cover sample (see ``suffixes``). Equal windows are then neighbours, compared byte by byte.
-4. A bucket of more than HOT different fragments isn't sorted in one task: its windows are spread by their 128-bit digests.
+4. A bucket of more than HOT different fragments isn't sorted in one task. Its windows are taken RANGE neighbours at a
+   time; what all of a range share must occur twice for any of them to be a repeat, and only the windows of such ranges
+   are spread by their own digests. So a passage that very many texts share costs each of them a few rows.
+
+Whole texts travel compressed, twice: to where fragments are cut out, and to where spans are.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +35,7 @@ LENGTH, GRAM = 400, 64
 #: Bytes of text that are hashed, or sorted, at a time; a longer text is hashed alone.
 SLICE, BLOCK = 2 << 20, 3 << 19
 #: Different fragments of a bucket that are sorted in one task.
-HOT = 2000
+HOT, RANGE = 2000, 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,14 +102,24 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _id, _tag): a row's key is its id as text, and its text's hash where ids repeat or are null."""
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_tag"))
+    """``docs`` with a row's key: _id, its id (or a hash of one that is no integer), and _tag, its text's hash, which
+    tells rows apart whose ids repeat or are null."""
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)) if whole else F.xxhash64("doc_id")
+    return docs.withColumns({"_id": own, "_tag": F.xxhash64("text")})
+
+
+def _place(lo: np.ndarray, m: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A fragment's windows and anchor in one number; m - lo and hi - lo are below 1024."""
+    return (lo << 20) | ((m - lo) << 10) | (hi - lo)
 
 
 def fragments(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(_id, _tag, g, d1, d2, lo, m, hi) for each run of windows lo..hi of a text with one anchor at m; g the anchor's
-    hash, (d1, d2) a 128-bit digest of the fragment's bytes lo..hi+length."""
-    names = ["_id", "_tag", "g", "d1", "d2", "lo", "m", "hi"]
+    """(_id, _tag, g, d, at) for each run of windows of a text with one anchor: g the anchor's hash, d a digest of the
+    fragment's bytes, at its place. g and d together are 128 bits."""
+    if not 0 <= length - gram < 1024:
+        raise ValueError("passages: length must be from gram to gram + 1023")
+    names = ["_id", "_tag", "g", "d", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,18 +127,35 @@ def fragments(rows: DataFrame, length: int, gram: int) -> DataFrame:
             for a, z in _slices(offsets):
                 part = data[offsets[a] : offsets[z]]
                 text, g, lo, hi, m = window_anchors(part, offsets[a : z + 1] - offsets[a], length, gram)
-                raw, digest = part.tobytes(), xxhash.xxh3_128_digest
-                d = np.frombuffer(b"".join([digest(raw[s:e]) for s, e in zip(lo.tolist(), (hi + length).tolist(), strict=True)]), dtype="<i8").reshape(-1, 2)
+                raw, digest = part.tobytes(), xxhash.xxh3_64_intdigest
+                d = np.array([digest(raw[s:e]) for s, e in zip(lo.tolist(), (hi + length).tolist(), strict=True)], dtype=np.uint64)
                 own = pa.array(text + a)
                 base = offsets[a:z][text] - offsets[a]
-                ints = [pa.array((x - base).astype(np.int32)) for x in (lo, m, hi)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(g.view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]), *ints], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(g.view(np.int64)), pa.array(d.view(np.int64)), pa.array(_place(lo - base, m - base, hi - base))], names=names)
+
+    return rows.select("_id", "_tag", "text").mapInArrow(run, "_id bigint, _tag bigint, g bigint, d bigint, at bigint")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``text`` compressed to binary; null stays null."""
+    at = rows.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            cols = list(batch.columns)
+            cols[at] = pa.array([None if t is None else press(t) for t in cols[at].cast(pa.large_binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return rows.select("_id", "_tag", "text").mapInArrow(run, "_id string, _tag bigint, g bigint, d1 bigint, d2 bigint, lo int, m int, hi int")
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema))
+
+
+def unpack(data: bytes | None) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data) if data else b""
 
 
 def _sorted_spans(wanted: DataFrame, length: int) -> DataFrame:
-    """(_id, _tag, lo, stop) of the repeated windows of fragments (_id, _tag, g, lo, m, hi, own, bytes) of like ``g``.
+    """(_id, _tag, lo, stop) of the repeated windows of fragments (_id, _tag, g, at, own, bytes) of like ``g``.
 
     Runs in a task over the rows of whole buckets, in order of g; ``own`` says whether a fragment's windows are asked for.
     """
@@ -149,10 +181,11 @@ def _sorted_spans(wanted: DataFrame, length: int) -> DataFrame:
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))
-            g, lo, m, hi = (np.array(cols[k], dtype=np.int64) for k in (2, 3, 4, 5))
-            out = [(cols[0][f], cols[1][f], s, e) for f, s, e in block(g, m, lo, hi, cols[7]) if cols[6][f]]
+            g, at = (np.array(cols[k], dtype=np.int64) for k in (2, 3))
+            lo = at >> 20
+            out = [(cols[0][f], cols[1][f], s, e) for f, s, e in block(g, lo + (at >> 10 & 1023), lo, lo + (at & 1023), cols[5]) if cols[4][f]]
             got = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(got[0], pa.string()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.int32()), pa.array(got[3], pa.int32())], names=["_id", "_tag", "lo", "stop"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], names=["_id", "_tag", "lo", "stop"])
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -160,36 +193,78 @@ def _sorted_spans(wanted: DataFrame, length: int) -> DataFrame:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[7])
+                size += len(row[5])
         if held:
             yield flush(held)
 
-    return wanted.select("_id", "_tag", "g", "lo", "m", "hi", "own", "bytes").mapInArrow(run, "_id string, _tag bigint, lo int, stop int")
+    return wanted.select("_id", "_tag", "g", "at", "own", "bytes").mapInArrow(run, "_id bigint, _tag bigint, lo bigint, stop bigint")
 
 
-def _windows(wanted: DataFrame, length: int) -> DataFrame:
-    """(_id, _tag, at, own, w1, w2): every window of the fragments, with a 128-bit digest."""
+def _digests(wanted: DataFrame, length: int, width: int, only: bool) -> DataFrame:
+    """(_id, _tag, g, lo, stop, own, k, w): the windows lo..stop of fragments, ``width`` neighbours at a time, and a digest
+    of the bytes that all of them share; k numbers their distance to the anchor, which equal windows have in common.
+
+    ``only``: of the fragments' column ``ranges``, the numbers of the ranges of RANGE windows that are asked for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            lo, text = batch.column(3).to_pylist(), batch.column(7).to_pylist()
-            per = [len(t) - length + 1 for t in text]
-            w = np.frombuffer(b"".join([digest(t[i : i + length]) for t, n in zip(text, per, strict=True) for i in range(n)]), dtype="<i8").reshape(-1, 2)
-            own = pa.array(np.repeat(np.arange(len(per)), per))
-            at = np.concatenate([np.arange(s, s + n) for s, n in zip(lo, per, strict=True)]).astype(np.int32) if per else np.zeros(0, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(at), batch.column(6).take(own), pa.array(w[:, 0]), pa.array(w[:, 1])], names=["_id", "_tag", "at", "own", "w1", "w2"])
-
-    return wanted.select("_id", "_tag", "g", "lo", "m", "hi", "own", "bytes").mapInArrow(run, "_id string, _tag bigint, at int, own boolean, w1 bigint, w2 bigint")
+            out = []
+            for f, (at, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                lo, far, windows = at >> 20, at >> 10 & 1023, at & 1023
+                asked = set(batch.column(6)[f].as_py()) if only else None
+                for k in range((far - windows) // width, far // width + 1):  # distances k * width and up
+                    if asked is not None and k * width // RANGE not in asked:
+                        continue
+                    first, last = max(0, far - (k + 1) * width + 1), min(windows, far - k * width)
+                    core = text[far - k * width : far - (k + 1) * width + 1 + length]
+                    out.append((f, lo + first, lo + last, k, digest(core)))
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
+            own = pa.array(cols[0], pa.int64())
+            more = [pa.array(c, pa.int64()) for c in cols[1:3]]
+            w = pa.array(np.array(cols[4], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in (0, 1, 2)), *more, batch.column(4).take(own), pa.array(cols[3], pa.int64()), w], names=["_id", "_tag", "g", "lo", "stop", "own", "k", "w"])
+
+    cols = ["_id", "_tag", "g", "at", "own", "bytes", *["ranges"] * only]
+    return wanted.select(*cols).mapInArrow(run, "_id bigint, _tag bigint, g bigint, lo bigint, stop bigint, own boolean, k bigint, w bigint")
+
+
+def _twice(rows: DataFrame) -> DataFrame:
+    """The rows whose (g, k, w) occurs again; a fragment that isn't asked for stands for two."""
+    again = rows.groupBy("g", "k", "w").agg(F.sum(F.when(F.col("own"), 1).otherwise(2)).alias("_n")).filter("_n > 1")
+    again = again.select(F.col("g").alias("_g"), F.col("k").alias("_k"), F.col("w").alias("_w"))
+    return rows.join(again, (F.col("g") == F.col("_g")) & (F.col("k") == F.col("_k")) & (F.col("w") == F.col("_w")), "left_semi")
+
+
+def _spread_spans(hot: DataFrame, length: int) -> DataFrame:
+    """(_id, _tag, lo, stop) of the repeated windows of fragments in buckets too large to sort."""
+    hot = stored(hot)
+    shared = _twice(stored(_digests(hot, length, RANGE, only=False)))
+    asked = shared.groupBy(F.col("_id").alias("_i"), F.col("_tag").alias("_t"), F.col("g").alias("_g")).agg(F.collect_set("k").alias("ranges"))
+    both = hot.join(asked, (F.col("_id") == F.col("_i")) & (F.col("_tag") == F.col("_t")) & (F.col("g") == F.col("_g")))
+    hit = _twice(stored(_digests(both, length, 1, only=True))).filter("own")
+    return hit.select("_id", "_tag", "lo", (F.col("stop") + length).alias("stop"))
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` fragments (_id, _tag, g, lo, m, hi, own) with their bytes."""
-    lists = wanted.groupBy(F.col("_id").alias("_wid"), F.col("_tag").alias("_wtag")).agg(F.collect_list(F.struct("g", "lo", "m", "hi", "own")).alias("_f"))  # no more than a text has
-    once = keyed(docs).select("_id", "_tag", F.col("text").cast("binary").alias("_b"))
-    joined = once.join(lists, (F.col("_id") == F.col("_wid")) & (F.col("_tag") == F.col("_wtag")))
-    out = joined.select("_id", "_tag", "_b", F.explode("_f").alias("_w"))
-    return out.select("_id", "_tag", "_w.g", "_w.lo", "_w.m", "_w.hi", "_w.own", F.expr(f"substring(_b, _w.lo + 1, _w.hi - _w.lo + {length})").alias("bytes"))
+    """``wanted`` fragments (_id, _tag, g, at, own, kinds) with their bytes."""
+    lists = wanted.groupBy(F.col("_id").alias("_wid"), F.col("_tag").alias("_wtag")).agg(F.collect_list(F.struct("g", "at", "own", "kinds")).alias("f"))  # no more than a text has
+    joined = packed(keyed(docs).select("_id", "_tag", "text")).join(lists, (F.col("_id") == F.col("_wid")) & (F.col("_tag") == F.col("_wtag")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                out = []
+                for r, (z, want) in enumerate(zip(part.column(2), part.column(3), strict=True)):
+                    data = unpack(z.as_py())
+                    out += [(r, f["g"], f["at"], f["own"], f["kinds"], data[f["at"] >> 20 : (f["at"] >> 20) + (f["at"] & 1023) + length]) for f in want.as_py()]
+                cols = list(zip(*out, strict=True)) if out else [[]] * 6
+                own = pa.array(cols[0], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.binary())], names=["_id", "_tag", "g", "at", "own", "kinds", "bytes"])
+
+    return joined.select("_id", "_tag", "text", "f").mapInArrow(run, "_id bigint, _tag bigint, g bigint, at bigint, own boolean, kinds bigint, bytes binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -200,32 +275,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     live = stored(found.join(often, F.col("g") == F.col("_g"), "left_semi"))
 
     # Fragments equal as a whole: all repeated if there are two or more; the first of them goes on for its kind.
-    kinds = live.groupBy("g", "d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("_id", "_tag", "lo", "m", "hi")).alias("one"))
-    kinds = stored(kinds)
-    buckets = kinds.groupBy("g").agg(F.count("*").alias("_kinds")).filter("_kinds > 1").select(F.col("g").alias("_g"), "_kinds")
-    twice = kinds.filter("c > 1").select(F.col("g").alias("_g"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"))
-    whole = live.join(twice, (F.col("g") == F.col("_g")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left_semi")
-    spans = whole.select("_id", "_tag", "lo", (F.col("hi") + length).alias("stop"))
-
-    mixed = kinds.join(buckets, F.col("g") == F.col("_g")).select("one._id", "one._tag", "g", "one.lo", "one.m", "one.hi", (F.col("c") == 1).alias("own"), "_kinds")
-    mixed = stored(mixed)
-    cold, hot = mixed.filter(F.col("_kinds") <= HOT).drop("_kinds"), mixed.filter(F.col("_kinds") > HOT).drop("_kinds")
-    cold = _with_bytes(docs, cold, length).repartition(partitions(spark), "g").sortWithinPartitions("g")
-    spans = spans.unionByName(_sorted_spans(cold, length))
-    if hot.limit(1).count():
-        windows = stored(_windows(_with_bytes(docs, hot, length), length))
-        again = windows.groupBy("w1", "w2").agg(F.sum(F.when(F.col("own"), 1).otherwise(2)).alias("_n")).filter("_n > 1").select(F.col("w1").alias("_w1"), F.col("w2").alias("_w2"))
-        hit = windows.filter("own").join(again, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2")), "left_semi")
-        spans = spans.unionByName(hit.select("_id", "_tag", F.col("at").alias("lo"), (F.col("at") + length).alias("stop")))
-    return spans
+    kinds = stored(live.groupBy("g", "d").agg(F.count("*").alias("c"), F.min(F.struct("_id", "_tag", "at")).alias("one")))
+    twice = kinds.filter("c > 1").select(F.col("g").alias("_g"), F.col("d").alias("_d"))
+    whole = live.join(twice, (F.col("g") == F.col("_g")) & (F.col("d") == F.col("_d")), "left_semi")
+    lo = F.shiftright("at", 20)
+    spans = whole.select("_id", "_tag", lo.alias("lo"), (lo + F.col("at").bitwiseAND(F.lit(1023)) + length).alias("stop"))
+
+    buckets = kinds.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1").withColumnRenamed("g", "_g")
+    mixed = kinds.join(buckets, F.col("g") == F.col("_g")).select("one._id", "one._tag", "g", "one.at", (F.col("c") == 1).alias("own"), "kinds")
+    cut_out = _with_bytes(docs, stored(mixed), length)
+    many = buckets.filter(F.col("kinds") > HOT).limit(1).count() > 0
+    if many:
+        cut_out = stored(cut_out)
+        spans = spans.unionByName(_spread_spans(cut_out.filter(F.col("kinds") > HOT).drop("kinds"), length))
+    cold = cut_out.filter(F.col("kinds") <= HOT).repartition(partitions(spark), "g").sortWithinPartitions("g")
+    return spans.unionByName(_sorted_spans(cold, length))
 
 
 def _pass(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows of ``docs`` with _spans (null: none): a join by row key, so copies don't meet in one task."""
-    spans = stored(repeated_spans(docs, length, gram))
+    """Rows of ``docs``, text packed, with _spans (null: none): a join by row key, so copies don't meet in one task."""
+    spans = repeated_spans(docs, length, gram)
     lists = spans.groupBy(F.col("_id").alias("_sid"), F.col("_tag").alias("_stag")).agg(F.collect_set(F.struct("lo", "stop")).alias("_spans"))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_tag": F.xxhash64("text")})
-    return rows.join(lists, (F.col("_id") == F.col("_sid")) & (F.col("_tag") == F.col("_stag")), "left").drop("_id", "_tag", "_sid", "_stag")
+    joined = packed(keyed(docs)).join(lists, (F.col("_id") == F.col("_sid")) & (F.col("_tag") == F.col("_stag")), "left")
+    return joined.drop("_id", "_tag", "_sid", "_stag")
 
 
 def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -253,7 +325,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                data = unpack(text.as_py())
                 kept, gone, runs = cut_spans(data, [(s["lo"], s["stop"]) for s in spans.as_py() or ()])
                 rows.append((len(data), gone, runs, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
@@ -275,7 +347,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             texts = []
             for text, spans in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
                 own = text.as_py()
-                texts.append(own if own is None or not spans.as_py() else cut_spans(own.encode("utf-8", "surrogatepass"), [(s["lo"], s["stop"]) for s in spans.as_py()])[0].decode("utf-8", "ignore"))
+                texts.append(None if own is None else cut_spans(unpack(own), [(s["lo"], s["stop"]) for s in spans.as_py() or ()])[0].decode("utf-8", "ignore"))
             cols = list(batch.columns[:-1])
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
