@@ -83,15 +83,24 @@ class Model:
 
     @classmethod
     def fit(cls, x: np.ndarray, labels: np.ndarray) -> Model:
-        seen = (x > 0).sum(axis=0)
+        """Fit to half-precision term vectors: the decomposition by subspace iteration on the Gram matrix, which is summed
+        up block by block, so the driver never holds the sample in full precision."""
+        blocks = [x[at : at + BLOCK] for at in range(0, len(x), BLOCK)]
+        seen = sum((b > 0).sum(axis=0) for b in blocks) if blocks else np.zeros(x.shape[1])
         idf = (np.log((1 + len(x)) / (1 + seen)) + 1).astype(np.float32)
-        weighted = x * idf
-        if len(x):
-            values, axes = np.linalg.eigh(weighted.T @ weighted)
-            project = np.ascontiguousarray(axes[:, np.argsort(values)[::-1][:RANK]]).astype(np.float32)
-        else:
-            project = np.zeros((x.shape[1], RANK), dtype=np.float32)
-        return cls(idf, project, cls._unit(weighted @ project), labels.astype(np.float32))
+        gram = np.zeros((x.shape[1], x.shape[1]), dtype=np.float32)
+        for b in blocks:
+            w = b.astype(np.float32) * idf
+            gram += w.T @ w
+        project = np.linalg.qr(np.random.default_rng(0).standard_normal((x.shape[1], RANK + 16)).astype(np.float32))[0]
+        for _ in range(20 if blocks else 0):
+            project = np.linalg.qr(gram @ project)[0]
+        if blocks:  # turn the subspace's basis to its principal axes
+            values, axes = np.linalg.eigh(project.T @ gram @ project)
+            project = project @ axes[:, np.argsort(values)[::-1]]
+        project = np.ascontiguousarray(project[:, :RANK])
+        vectors = np.concatenate([cls._unit((b.astype(np.float32) * idf) @ project) for b in blocks]) if blocks else np.zeros((0, RANK), dtype=np.float32)
+        return cls(idf, project, vectors, labels.astype(np.float32))
 
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
@@ -127,10 +136,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             rows = [terms(t.as_py()).astype(np.float16).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(rows, pa.binary()), batch.column(2)], names=["doc_id", "terms", "quality"])
 
-    sample = labelled_sample(docs, labels, fit_rows).mapInArrow(run, "doc_id string, terms binary, quality double").toPandas()
-    sample = sample.sort_values(["doc_id", "terms"]).drop_duplicates("doc_id")  # a repeated id counts once
-    x = np.frombuffer(b"".join(sample["terms"]), dtype=np.float16).reshape(-1, N_TERMS).astype(np.float32)
-    return Model.fit(x, sample["quality"].to_numpy())
+    sample = labelled_sample(docs, labels, fit_rows).mapInArrow(run, "doc_id string, terms binary, quality double").toArrow().combine_chunks()
+    rows: dict[str, int] = {}  # a repeated id counts once, by its least vector
+    terms_of = sample.column("terms")
+    for i, d in enumerate(sample.column("doc_id").to_pylist()):
+        if d not in rows or terms_of[i].as_py() < terms_of[rows[d]].as_py():
+            rows[d] = i
+    chosen = [rows[d] for d in sorted(rows)]
+    x = np.empty((len(chosen), N_TERMS), dtype=np.float16)
+    for k, i in enumerate(chosen):
+        x[k] = np.frombuffer(terms_of[i].as_buffer(), dtype=np.float16)
+    return Model.fit(x, np.array([sample.column("quality")[i].as_py() for i in chosen], dtype=np.float64))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
