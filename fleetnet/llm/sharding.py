@@ -17,7 +17,7 @@ from fleetnet.llm.common import cut, stored
 
 BITS = 5
 #: Rows that are numbered together; a hot cell is dealt out to as many lanes as it needs.
-ROWS_PER_LANE = 1024
+ROWS_PER_LANE = 256
 
 
 def hilbert_index(coords: list[Column], bits: int) -> Column:
