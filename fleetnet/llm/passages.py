@@ -114,12 +114,30 @@ def _place(lo: np.ndarray, m: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (lo << 20) | ((m - lo) << 10) | (hi - lo)
 
 
+def _own_repeats(text: np.ndarray, g: np.ndarray, d: np.ndarray, lo: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(first, times, spans): the first of each text's equal fragments, how often it occurs there, and merged spans
+    (text, lo, stop) of those that occur again in their own text, as lines that are repeated over and over do."""
+    order = np.lexsort((lo, d, g, text))
+    new = np.append(True, (text[order][1:] != text[order][:-1]) | (g[order][1:] != g[order][:-1]) | (d[order][1:] != d[order][:-1])) if len(order) else np.zeros(0, dtype=bool)
+    heads = np.flatnonzero(new)
+    times = np.diff(np.append(heads, len(order)))
+    again = np.sort(order[np.repeat(times > 1, times)])  # in order of text and place, as fragments are
+    spans: list[tuple[int, int, int]] = []
+    for t, a, z in zip(text[again].tolist(), lo[again].tolist(), stop[again].tolist(), strict=True):
+        if spans and spans[-1][0] == t and spans[-1][2] >= a:
+            spans[-1] = (t, spans[-1][1], max(z, spans[-1][2]))
+        else:
+            spans.append((t, a, z))
+    return order[heads], times, spans
+
+
 def fragments(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(_id, _tag, g, d, at) for each run of windows of a text with one anchor: g the anchor's hash, d a digest of the
-    fragment's bytes, at its place. g and d together are 128 bits."""
+    """(_id, _tag, g, d, at, n): of each text the different fragments, runs of windows with one anchor. g is the
+    anchor's hash, d a digest of the fragment's bytes, at its first place, n how often the text has it. g and d together
+    are 128 bits. Where n is 0, the row is a span from at to d of fragments that the text itself repeats."""
     if not 0 <= length - gram < 1024:
         raise ValueError("passages: length must be from gram to gram + 1023")
-    names = ["_id", "_tag", "g", "d", "at"]
+    names = ["_id", "_tag", "g", "d", "at", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +147,16 @@ def fragments(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 text, g, lo, hi, m = window_anchors(part, offsets[a : z + 1] - offsets[a], length, gram)
                 raw, digest = part.tobytes(), xxhash.xxh3_64_intdigest
                 d = np.array([digest(raw[s:e]) for s, e in zip(lo.tolist(), (hi + length).tolist(), strict=True)], dtype=np.uint64)
-                own = pa.array(text + a)
-                base = offsets[a:z][text] - offsets[a]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(g.view(np.int64)), pa.array(d.view(np.int64)), pa.array(_place(lo - base, m - base, hi - base))], names=names)
+                base = offsets[a:z] - offsets[a]
+                first, times, spans = _own_repeats(text, g, d, lo, hi + length)
+                t = text[first]
+                extra = np.array(spans, dtype=np.int64).reshape(-1, 3)
+                own = pa.array(np.concatenate([t, extra[:, 0]]) + a)
+                place = _place(lo[first] - base[t], m[first] - base[t], hi[first] - base[t])
+                cols = [(g[first].view(np.int64), np.zeros(len(extra), dtype=np.int64)), (d[first].view(np.int64), extra[:, 2] - base[extra[:, 0]]), (place, extra[:, 1] - base[extra[:, 0]]), (times, np.zeros(len(extra), dtype=np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(np.concatenate(c)) for c in cols)], names=names)
 
-    return rows.select("_id", "_tag", "text").mapInArrow(run, "_id bigint, _tag bigint, g bigint, d bigint, at bigint")
+    return rows.select("_id", "_tag", "text").mapInArrow(run, "_id bigint, _tag bigint, g bigint, d bigint, at bigint, n bigint")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -270,16 +293,18 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(_id, _tag, lo, stop): byte spans of the texts that are covered by repeated windows; spans may overlap or repeat."""
     spark = docs.sparkSession
-    found = stored(fragments(keyed(docs), length, gram))
-    often = found.groupBy("g").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("g").alias("_g"))
+    rows = stored(fragments(keyed(docs), length, gram))
+    inner, found = rows.filter("n = 0").select("_id", "_tag", F.col("at").alias("lo"), F.col("d").alias("stop")), rows.filter("n > 0")
+    # Stored, so the join below reads it by an exchange of its own and Spark can split the partition of a frequent anchor.
+    often = stored(found.groupBy("g").agg(F.sum("n").alias("_n")).filter("_n > 1").select(F.col("g").alias("_g")))
     live = stored(found.join(often, F.col("g") == F.col("_g"), "left_semi"))
 
     # Fragments equal as a whole: all repeated if there are two or more; the first of them goes on for its kind.
-    kinds = stored(live.groupBy("g", "d").agg(F.count("*").alias("c"), F.min(F.struct("_id", "_tag", "at")).alias("one")))
+    kinds = stored(live.groupBy("g", "d").agg(F.sum("n").alias("c"), F.min(F.struct("_id", "_tag", "at")).alias("one")))
     twice = kinds.filter("c > 1").select(F.col("g").alias("_g"), F.col("d").alias("_d"))
     whole = live.join(twice, (F.col("g") == F.col("_g")) & (F.col("d") == F.col("_d")), "left_semi")
     lo = F.shiftright("at", 20)
-    spans = whole.select("_id", "_tag", lo.alias("lo"), (lo + F.col("at").bitwiseAND(F.lit(1023)) + length).alias("stop"))
+    spans = inner.unionByName(whole.select("_id", "_tag", lo.alias("lo"), (lo + F.col("at").bitwiseAND(F.lit(1023)) + length).alias("stop")))
 
     buckets = kinds.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1").withColumnRenamed("g", "_g")
     mixed = kinds.join(buckets, F.col("g") == F.col("_g")).select("one._id", "one._tag", "g", "one.at", (F.col("c") == 1).alias("own"), "kinds")
