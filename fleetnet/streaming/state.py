@@ -23,7 +23,7 @@ def _upsert(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
         last_row = None
     else:
         history = list(samples[-1]) if samples else history  # an empty history keeps the one before
-        last_row = (int(last["seq"]), last["vtype"], float(last["lat"]), float(last["lon"]), float(last["speed_kmh"]), int(last["ts_unix"]), list(history or []), bool(last["removed"]))
+        last_row = (int(last["seq"]), last["vtype"], float(last["lat"]), float(last["lon"]), float(last["speed_kmh"]), int(last["ts_unix"]), [float(x) for x in history] if history is not None else [], bool(last["removed"]))
         if last_row[-1]:
             state.remove()
         else:
