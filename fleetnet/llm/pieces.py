@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 42
 #: Characters of text that are encoded at a time; a longer text is encoded alone.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 3_000_000
 
 _BLOCK = re.compile(r" +[^ ]*|[^ ]+")
 _FALLBACK = 65535
