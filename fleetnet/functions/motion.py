@@ -90,3 +90,15 @@ def pair_horizon_s(dist: Column, a_ms: Column, b_ms: Column, p: Params = DEFAULT
 def primary_highway(etype: Column, limit_kmh: Column, length_m: Column) -> Column:
     """Whether an edge belongs to the arterial network by itself."""
     return (etype == ROAD) & ((limit_kmh >= 60) | ((limit_kmh >= 45) & (length_m >= 400)))
+
+
+def plausible_move(moved_m: Column, dt_s: Column, reuse_m: float = 1_000.0) -> Column:
+    """Whether a vehicle is near enough to where it was for what was found there to hold: within ``reuse_m``, and no
+    further than 50 m/s could take it in 1.5 times the time that went by."""
+    return (moved_m <= reuse_m) & ((dt_s <= 0) | (moved_m <= dt_s * 75 + 500))
+
+
+def request_key(lat: Column, lon: Column, width_m: Column, speed_ms: Column) -> list[Column]:
+    """Whole numbers that group like requests: thousandths of a degree, kilometres of width, tens of km/h."""
+    q = lambda x: F.round(x * 1000).cast("bigint")
+    return [q(lat).alias("lat_q"), q(lon).alias("lon_q"), F.floor(width_m / 1000).cast("int").alias("width_q"), F.floor(speed_ms * 3.6 / 10).cast("int").alias("speed_q")]

@@ -60,3 +60,10 @@ def action_kind(json: Column) -> Column:
         .when(action.isin("meet_with_lead", "meetWithLead") | has("$.vehicles[0].id"), "lead")
         .otherwise("vehicle")
     )
+
+
+def layer_slug(path: Column) -> Column:
+    """A layer's name of a file's: lower case, without folder and extension, other characters than letters, digits, - and _ replaced."""
+    base = F.regexp_replace(F.regexp_extract(F.lower(path), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    slug = F.regexp_replace(F.regexp_replace(base, r"[^\p{L}\p{N}_-]", "_"), r"^_+|_+$", "")
+    return F.when(slug == "", "layer").otherwise(slug)

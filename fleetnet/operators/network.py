@@ -130,3 +130,26 @@ def least_members(labels: DataFrame, most: int) -> DataFrame:
     some = labels.withColumn("_lot", lot).withColumn("_r", F.row_number().over(Window.partitionBy("component", "_lot").orderBy("node_id"))).filter(F.col("_r") <= most)
     few = some.withColumn("_r", F.row_number().over(Window.partitionBy("component").orderBy("node_id"))).filter(F.col("_r") <= most)
     return few.groupBy("component").agg(F.array_sort(F.collect_list("node_id")).alias("seeds"))
+
+
+def connected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pairs`` (a, b: nodes) with connected: whether one component (``labels``: node_id, component) holds both."""
+    side = lambda k: labels.select(F.col("node_id").alias(k), F.col("component").alias(f"_{k}"))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("connected", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).drop("_a", "_b")
+
+
+def bridges(nodes: DataFrame, labels: DataFrame, most_nodes: int = 48, reach_m: float = 40_000.0, size: float = geo.TILE_CELL) -> DataFrame:
+    """(component, node_from, node_to, length_m): for each component of up to ``most_nodes`` nodes the shortest way to a
+    node of another component, within ``reach_m``; ties go by the nodes. Only small components' nodes look around."""
+    from fleetnet.operators.spatial import _around
+
+    sizes = labels.groupBy("component").agg(F.count("*").alias("_n"))
+    small = sizes.filter(F.col("_n") <= most_nodes).select("component")
+    at = labels.join(nodes.select("node_id", "lat", "lon"), "node_id")
+    rings = F.ceil(F.lit(reach_m) / (geo.METERS_PER_DEGREE * size * F.greatest(F.lit(0.2), F.cos(F.radians("lat"))))).cast("int")
+    own = at.join(small, "component").withColumn("_c", F.explode(_around(F.col("lat"), F.col("lon"), rings, size))).select("*", "_c.gx", "_c.gy").drop("_c")
+    other = at.select(F.col("node_id").alias("node_to"), F.col("component").alias("_comp"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), geo.cell(F.col("lat"), size).alias("gx"), geo.cell(F.col("lon"), size).alias("gy"))
+    dist = F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), 3)
+    near = own.join(other, ["gx", "gy"]).filter("component <> _comp").withColumn("_d", dist).filter(F.col("_d") <= reach_m)
+    best = near.groupBy("component").agg(F.min(F.struct("_d", "node_id", "node_to")).alias("_b"))
+    return best.select("component", F.col("_b.node_id").alias("node_from"), F.col("_b.node_to").alias("node_to"), F.col("_b._d").alias("length_m"))

@@ -207,3 +207,19 @@ def _walked(fields: DataFrame, wanted: DataFrame, arcs: DataFrame) -> DataFrame:
         more = F.col("parent_node").isNotNull()
         state = cut(nxt.select("key", "target", "t_ms", F.when(more, F.concat("nodes", F.array("parent_node"))).otherwise(F.col("nodes")).alias("nodes"), F.when(more, F.concat("edges", F.array("parent_edge"))).otherwise(F.col("edges")).alias("edges"), more.alias("_open")))
     return state.drop("_open")
+
+
+def times_at(fields: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, id, t_ms): each field's time at each place, over the nearer end of its edge; unreached places have no row.
+
+    ``places``: see ``seeds``; the way between an end and the place is at the place's kmh.
+    """
+    ends = seeds(places).select("id", F.col("node_id").alias("_n"), F.col("t_ms").alias("_off"))
+    return fields.join(ends, F.col("node_id") == F.col("_n")).groupBy("key", "id").agg(F.min(F.col("t_ms") + F.col("_off")).alias("t_ms"))
+
+
+def position_after(fields: DataFrame) -> DataFrame:
+    """(key, node_id, t_ms): where each key is at the end of its fields' horizon: the node of the largest time, of equal
+    ones the least node."""
+    last = fields.groupBy("key").agg(F.max(F.struct("t_ms", (-F.col("node_id")).alias("_n"))).alias("_l"))
+    return last.select("key", (-F.col("_l._n")).alias("node_id"), F.col("_l.t_ms").alias("t_ms"))

@@ -270,3 +270,37 @@ def topk_nearest_to_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = views.fleet(spark, sf_dir).select("id", F.round(haversine_m(F.col("lat"), F.col("lon"), 22.2, 113.2), 3).alias("dist_m")).orderBy("dist_m", "id").limit(10)
     return rows.withColumn("rank", F.row_number().over(Window.orderBy("dist_m", "id")))
+
+
+@query(_with_field("SELECT id, min(t_ms + off) AS t_ms FROM f JOIN ends ON ends.node_id = f.node_id GROUP BY id", "net_edge", "fleet", arc=ARC, cell=CELL, snap=SNAP, w=_W60, seed=_SEED0, ends=f"SELECT id, node_id, CAST(0 AS BIGINT) AS off FROM snap WHERE edge_id = 0 UNION ALL SELECT id, node_from, {_ms('along_m', '6e1')} FROM snap WHERE edge_id <> 0 UNION ALL SELECT id, node_to, {_ms('greatest(length_m - along_m, 0e0)', '6e1')} FROM snap WHERE edge_id <> 0"))
+def path_times_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field's time at every vehicle's place on its edge."""
+    edges = views.net_edge(spark, sf_dir)
+    places = spatial.nearest_edge(views.fleet(spark, sf_dir), edges).withColumn("kmh", F.lit(60.0))
+    return paths.times_at(paths.time_fields(_source(spark), network.arcs(edges)), places).select("id", "t_ms")
+
+
+@query(_with_field("SELECT key, node_id, t_ms FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t_ms DESC, node_id) AS r FROM f) WHERE r = 1", "net_edge", "fleet", arc=ARC, cell=CELL, snap=SNAP, speeds=_SPEEDS, seed=_SEEDV, w=_WV))
+def path_position_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each vehicle can be after ten minutes."""
+    edges, fleet = views.net_edge(spark, sf_dir), views.fleet(spark, sf_dir)
+    places = spatial.nearest_edge(fleet, edges).join(fleet.select("id", F.col("speed_kmh").alias("kmh"), motion.edge_type(F.col("vtype")).alias("etype")), "id")
+    sources = paths.seeds(places).join(places.select("id", "kmh", "etype"), "id").select(F.col("id").alias("key"), "node_id", "t_ms", "kmh", "etype", F.lit(600_000).cast("bigint").alias("horizon_ms"))
+    return paths.position_after(paths.time_fields(sources, network.arcs(edges)))
+
+
+_LABEL_SQL = with_views("SELECT 1", "net_edge", recursive=True, link=f"{_LINK} UNION ALL SELECT b, a FROM ({_LINK})").replace(" SELECT 1", ", c(node_id, comp) USING KEY (node_id) AS (SELECT DISTINCT a, a FROM link UNION SELECT link.b, min(c.comp) FROM c JOIN link ON link.a = c.node_id JOIN recurring.c AS r ON r.node_id = link.b WHERE c.comp < r.comp GROUP BY link.b)")
+
+
+@query(_LABEL_SQL + f""", loc AS MATERIALIZED (SELECT c.node_id, comp, lat, lon, count(*) OVER (PARTITION BY comp) AS n FROM c JOIN net_node USING (node_id)) SELECT component, node_from, node_to, length_m FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY length_m, node_from, node_to) AS r FROM (
+    SELECT a.comp AS component, a.node_id AS node_from, b.node_id AS node_to, round({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) AS length_m FROM loc a JOIN loc b ON a.comp <> b.comp AND abs(a.lat - b.lat) < 5e-2 WHERE a.n <= 48) WHERE length_m <= 5e3) WHERE r = 1""")
+def comp_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = network.components(views.net_edge(spark, sf_dir).filter("etype = 1 or node_from % 7 = 0"))
+    return network.bridges(views.net_node(spark, sf_dir), labels, reach_m=5_000.0, size=0.02)
+
+
+@query(_LABEL_SQL + " SELECT n.node_id AS a, n.node_id + 40 AS b, x.comp IS NOT NULL AND y.comp IS NOT NULL AND x.comp = y.comp AS connected FROM net_node n LEFT JOIN c x ON x.node_id = n.node_id LEFT JOIN c y ON y.node_id = n.node_id + 40")
+def comp_pairs_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = network.components(views.net_edge(spark, sf_dir).filter("etype = 1 or node_from % 7 = 0"))
+    pairs = views.net_node(spark, sf_dir).select(F.col("node_id").alias("a"), (F.col("node_id") + 40).alias("b"))
+    return network.connected(pairs, labels).select("a", "b", "connected")

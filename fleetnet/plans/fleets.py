@@ -192,3 +192,29 @@ def csv_vehicle_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_places_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.col("s_name").alias("name"))
     return requests.places_named(s, "00001", 5).withColumnRenamed("name", "s_name")
+
+
+@query(with_views(f"SELECT vehicle, count(*) AS n, CAST(sum(CASE WHEN moved <= 1e3 AND (dt <= 0 OR moved <= dt * 75 + 500) THEN 1 ELSE 0 END) AS BIGINT) AS n_reused FROM (SELECT vehicle, speed_kmh * 2e1 AS moved, CAST(epoch(ts) - epoch(before) AS DOUBLE) AS dt FROM (SELECT *, lag(ts) OVER (PARTITION BY vehicle ORDER BY ping_id) AS before FROM ping)) WHERE dt IS NOT NULL GROUP BY vehicle", "ping"))
+def flt_plausible_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    before = F.lag("ts").over(Window.partitionBy("vehicle").orderBy("ping_id"))
+    sec = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    rows = views.ping(spark, sf_dir).withColumn("_b", before).filter("_b is not null").withColumn("dt", sec(F.col("ts")) - sec(F.col("_b")))
+    ok = motion.plausible_move(F.col("speed_kmh") * 20.0, F.col("dt"))
+    return rows.groupBy("vehicle").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_reused"))
+
+
+@query(with_views("SELECT CAST(round(lat * 1000) AS BIGINT) AS lat_q, CAST(round(lon * 1000) AS BIGINT) AS lon_q, CAST(floor(speed_kmh * 2e2 / 1e3) AS INTEGER) AS width_q, CAST(floor(speed_kmh / 3.6e0 * 3.6e0 / 10) AS INTEGER) AS speed_q, count(*) AS n FROM fleet GROUP BY ALL", "fleet"))
+def agg_request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = motion.request_key(F.col("lat"), F.col("lon"), F.col("speed_kmh") * 200.0, motion.ms(F.col("speed_kmh")))
+    return views.fleet(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'china_map' WHEN 1 THEN 'kazakhstan' ELSE 'layer' END AS slug FROM part")
+def fn_layer_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fleetnet.functions.text import layer_slug
+
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.element_at(F.array(*map(F.lit, ["/a/b/China map.mbtiles", "Kazakhstan.mbtiles", "/x/##.db"])), (F.col("p_size") % 3 + 1).cast("int"))
+    return p.select("p_partkey", layer_slug(name).alias("slug"))

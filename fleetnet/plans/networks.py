@@ -217,3 +217,17 @@ def win_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = n.groupBy(F.floor(F.col("node_id") / 40).cast("bigint").alias("way_id")).agg(F.array_sort(F.collect_list("node_id")).alias("refs")).select("way_id", F.lit(0).alias("etype"), F.lit(0.0).alias("speed_kmh"), "refs")
     s = segments(ways, n)
     return s.select(F.floor(F.col("edge_id") / 10_000).cast("bigint").alias("way_id"), (F.col("edge_id") % 10_000).alias("k"), "node_from", "node_to", F.round("length_m", 3).alias("length_m"))
+
+
+_TILE = "SELECT DISTINCT 12 AS z, CAST(floor((lon + 1.8e2) / 3.6e2 * 4096) AS INTEGER) AS x, CAST(floor((1e0 - asinh(tan(radians(lat))) / 3.141592653589793e0) / 2e0 * 4096) AS INTEGER) AS y FROM fleet"
+_TBOX = {"min_lon": "(x / 4.096e3 * 3.6e2 - 1.8e2)", "max_lon": "((x + 1) / 4.096e3 * 3.6e2 - 1.8e2)", "max_lat": "degrees(atan(sinh(3.141592653589793e0 * (1e0 - 2e0 * y / 4.096e3))))", "min_lat": "degrees(atan(sinh(3.141592653589793e0 * (1e0 - 2e0 * (y + 1) / 4.096e3))))"}
+_INT = lambda la, lo: f"({la} BETWEEN {_TBOX['min_lat']} AND {_TBOX['max_lat']} AND {lo} BETWEEN {_TBOX['min_lon']} AND {_TBOX['max_lon']})"
+
+
+@query(with_views(f"SELECT z, x, y, count(*) AS n, min(edge_id) AS first_edge FROM tile JOIN net_edge ON {_INT('flat', 'flon')} OR {_INT('tlat', 'tlon')} OR {_INT('(flat + tlat) * 5e-1', '(flon + tlon) * 5e-1')} GROUP BY z, x, y", "net_edge", "fleet", tile=_TILE))
+def snk_tile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.fleet(spark, sf_dir)
+    x = F.floor((F.col("lon") + 180.0) / 360.0 * 4096).cast("int")
+    y = F.floor((1.0 - F.asinh(F.tan(F.radians("lat"))) / 3.141592653589793) / 2.0 * 4096).cast("int")
+    tiles = v.select(F.lit(12).alias("z"), x.alias("x"), y.alias("y")).distinct()
+    return export.tile_edges(tiles, views.net_edge(spark, sf_dir)).groupBy("z", "x", "y").agg(F.count("*").alias("n"), F.min("edge_id").alias("first_edge"))
