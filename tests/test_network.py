@@ -300,3 +300,44 @@ def test_empty_tables(spark, tiny):
     assert network.components(edges.limit(0)).count() == 0
     dest = spark.createDataFrame([("D", 43.82, 87.52, "truck", T0 + 3600)], "dest_id string, lat double, lon double, vtype string, arrive_by_unix bigint")
     assert arrivals.arrivals(meetings.prepare(nobody, edges), dest, edges, nodes).count() == 0
+
+
+def test_mbtiles(spark, tmp_path):
+    import sqlite3
+
+    from fleetnet.sources import tiles
+
+    for name, rows in (("base", [(1, 0, 0, b"a"), (1, 1, 1, b"b")]), ("over", [(1, 1, 1, b"c"), (2, 0, 3, b"d")])):
+        with sqlite3.connect(tmp_path / f"{name}.mbtiles") as db:
+            db.execute("CREATE TABLE tiles (zoom_level INT, tile_column INT, tile_row INT, tile_data BLOB)")
+            db.executemany("INSERT INTO tiles VALUES (?, ?, ?, ?)", rows)
+    base, over = (tiles.read(spark, str(tmp_path / f"{n}.mbtiles")).drop("layer") for n in ("base", "over"))
+    got = {(r.z, r.x, r.y): bytes(r.data) for r in export.merged_tiles(base, over).collect()}
+    assert got == {(1, 0, 1): b"a", (1, 1, 0): b"c", (2, 0, 0): b"d"}
+    meta = export.tiles_meta(over).first()
+    assert (meta.min_zoom, meta.max_zoom) == (1, 2)
+
+
+def test_tile_caps_and_portals(spark, tiny):
+    nodes, edges = tiny
+    tiles = spark.createDataFrame([(0, 0, 0), (3, 0, 0)], "z int, x int, y int")
+    drawn = export.tile_edges(tiles.filter("z = 3"), edges)
+    assert drawn.count() == 0
+    portals = spatial.nearest_nodes(spark.createDataFrame([("P", 43.80, 87.50)], "point_id string, lat double, lon double"), nodes.join(network.degrees(edges), "node_id"), 5_000.0, 2)
+    assert [(r.node_id, r["rank"]) for r in portals.orderBy("rank").collect()] == [(2, 1), (1, 2)]  # degree two first
+
+
+def test_field_times_and_positions(spark, random_graph):
+    edges, df = random_graph
+    arcs = network.arcs(df)
+    source = spark.createDataFrame([("a", 0, 0, 60.0, 0, 300_000)], "key string, node_id bigint, t_ms bigint, kmh double, etype int, horizon_ms bigint")
+    field = paths.time_fields(source, arcs)
+    best = plain_search(edges, 0, 60.0)
+    last = max(((t, -n) for n, t in best.items() if t <= 300_000))
+    (r,) = paths.position_after(field).collect()
+    assert (r.t_ms, r.node_id) == (last[0], -last[1])
+    edge = df.filter("edge_id = 5").first()  # 0 stands for a place at a node
+    place = spark.createDataFrame([("p", edge.edge_id, edge.node_from, 10.0, edge.length_m, edge.node_from, edge.node_to, 36.0)], "id string, edge_id bigint, node_id bigint, along_m double, length_m double, node_from bigint, node_to bigint, kmh double")
+    want = min(best.get(edge.node_from, 1 << 60) + 1_000, best.get(edge.node_to, 1 << 60) + round((edge.length_m - 10) * 100))
+    found = [r.t_ms for r in paths.times_at(paths.time_fields(source.withColumn("horizon_ms", F.lit(None).cast("bigint")), arcs), place).collect()]
+    assert found == ([want] if want < 1 << 60 else [])
