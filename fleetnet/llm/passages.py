@@ -33,7 +33,7 @@ from fleetnet.llm.suffixes import repeated
 
 LENGTH, GRAM = 400, 64
 #: Bytes of text that are hashed, or sorted, at a time; a longer text is hashed alone.
-SLICE, BLOCK = 2 << 20, 3 << 19
+SLICE, BLOCK = 1 << 20, 1 << 20
 #: Different fragments of a bucket that are sorted in one task.
 HOT, RANGE = 2000, 16
 
