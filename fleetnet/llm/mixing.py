@@ -20,6 +20,8 @@ FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 #: Share of the tokens that the sample is to hold.
 BUDGET = 0.6
 TOLERANCE, ROUNDS = 1e-6, 60
+#: Up to so many cells (about 100 bytes each) they are broadcast to the documents; beyond, both sides are shuffled.
+BROADCAST_CELLS = 100_000
 
 
 def topic_of(text: Column) -> Column:
@@ -50,7 +52,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
 
     Each half-step multiplies a dimension's cells by target over sum. A value without a target, or with no tokens,
     weighs nothing; targets are rescaled to what has tokens. Ends when all factors of a round are within ``tolerance``
-    of 1; where the targets can't be met together (empty cells), warns after ``rounds`` and gives the last weights.
+    of 1; where the targets can't be met together (empty cells), warns once five rounds bring nothing, or after
+    ``rounds``, and gives the last weights.
     """
     state = cells.filter("_tokens > 0").withColumn("_w", F.col("_tokens").cast("double"))
     for dim in DIMS:
@@ -59,6 +62,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     for dim in DIMS:  # shares of values that have no cell go to the others
         total = state.groupBy(f"_{dim}").agg(F.first(f"_t_{dim}").alias("_t")).agg(F.sum("_t")).first()[0]
         state = state.withColumn(f"_t_{dim}", F.col(f"_t_{dim}") / (total or 1.0))
+    best, idle = float("inf"), 0
     for _ in range(rounds):
         off = F.lit(0.0)
         for dim in DIMS:
@@ -71,7 +75,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         state = state.drop("_off")
         if worst is None or worst <= tolerance:
             return state
-    warnings.warn(f"raking stopped after {rounds} rounds, {worst:.2g} off", stacklevel=2)
+        best, idle = (worst, 0) if worst < 0.99 * best else (best, idle + 1)
+        if idle == 5:
+            break
+    warnings.warn(f"raking stopped {worst:.2g} off", stacklevel=2)
     return state
 
 
@@ -105,7 +112,8 @@ def mixed(docs: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame]
     cells = cut(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_tokens")))
     targets = targets or {d: flattened_targets(cells, d, FLATTEN[d]) for d in DIMS}
     fitted = cut(calibrate(rake(cells, targets), budget).select("_source", "_lang", "_topic", F.col("_w").alias("_weight"), "_p"))
-    out = rows.join(fitted, ["_source", "_lang", "_topic"], "left")  # Spark broadcasts the cells only while they are small
+    few = fitted.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+    out = rows.join(F.broadcast(fitted) if few else fitted, ["_source", "_lang", "_topic"], "left")
     p = F.when(F.col("_tokens") > 0, F.coalesce("_p", F.lit(0.0))).otherwise(0.0)
     return out.withColumns({"_weight": F.coalesce("_weight", F.lit(0.0)), "_p": p, "_kept": unit(F.lit(seed), F.col("doc_id")) < p})
 
