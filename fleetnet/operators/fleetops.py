@@ -70,7 +70,7 @@ def fleet_box(vehicles: DataFrame, padding_m: float) -> DataFrame:
 
 def fleet_summary(vehicles: DataFrame) -> DataFrame:
     """One row for each type: vehicles, first and last time, centroid."""
-    return vehicles.groupBy("vtype").agg(F.count("*").alias("n"), F.min("ts_unix").alias("first_ts"), F.max("ts_unix").alias("last_ts"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+    return vehicles.groupBy("vtype").agg(F.count("*").alias("n"), F.min("ts_unix").alias("first_ts"), F.max("ts_unix").alias("last_ts"), F.round(F.avg("lat"), 11).alias("lat"), F.round(F.avg("lon"), 11).alias("lon"))
 
 
 def late_requests(destinations: DataFrame, vehicles: DataFrame) -> DataFrame:

@@ -47,10 +47,10 @@ def join_region_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.region_of(views.net_node(spark, sf_dir), region_table(spark)).select("node_id", "region")
 
 
-@query(with_views(f"SELECT region, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM (SELECT *, {_region_of_sql('lat', 'lon')} AS region FROM fleet) GROUP BY region", "fleet", reg=REGION_SQL))
+@query(with_views(f"SELECT region, count(*) AS n, round(avg(lat), 11) AS lat, round(avg(lon), 11) AS lon FROM (SELECT *, {_region_of_sql('lat', 'lon')} AS region FROM fleet) GROUP BY region", "fleet", reg=REGION_SQL))
 def agg_home_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spatial.region_of(views.fleet(spark, sf_dir), region_table(spark))
-    return rows.groupBy("region").agg(F.count("*").alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+    return rows.groupBy("region").agg(F.count("*").alias("n"), F.round(F.avg("lat"), 11).alias("lat"), F.round(F.avg("lon"), 11).alias("lon"))
 
 
 _LINES = f"SELECT id AS line_id, i, {_region_of_sql('(lat + (2.23e1 - lat) * (i / 2.4e1))', '(lon + (1.1335e2 - lon) * (i / 2.4e1))')} AS region FROM fleet, (SELECT unnest(range(25)) AS i)"
@@ -90,12 +90,18 @@ def win_bearing_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleetops.bearing_bins(views.fleet(spark, sf_dir).join(F.broadcast(d), "vtype"), 8)  # three rows
 
 
-@query(with_views("SELECT dest_id, id, d.dist_m, m.dist_m AS median, FALSE AS remote FROM dist d JOIN (SELECT dest_id, dist_m FROM (SELECT dest_id, dist_m, row_number() OVER (PARTITION BY dest_id ORDER BY dist_m) AS r, count(*) OVER (PARTITION BY dest_id) AS n FROM dist) WHERE r = n // 2 + 1) m USING (dest_id)", "fleet", dest=DEST_SQL, dist=_DIST))
+#: The split of ``d`` (dest_id, id, dist_m): the upper median, far vehicles, and whether they are left out.
+_SPLIT = """SELECT dest_id, id, dist_m, median, far AND NOT (CAST(sum(CASE WHEN far THEN 0 ELSE 1 END) OVER (PARTITION BY dest_id) AS BIGINT) < 8 AND median < 1.5e5) AS remote FROM (
+    SELECT d.*, m.dist_m AS median, d.dist_m > 2.5e5 OR (d.dist_m > 2.5e0 * m.dist_m AND d.dist_m - m.dist_m > 1.2e5) AS far FROM d
+    JOIN (SELECT dest_id, dist_m FROM (SELECT dest_id, dist_m, row_number() OVER (PARTITION BY dest_id ORDER BY dist_m) AS r, count(*) OVER (PARTITION BY dest_id) AS n FROM d) WHERE r = n // 2 + 1) m USING (dest_id))"""
+
+
+@query(with_views(_SPLIT, "fleet", dest=DEST_SQL, d=_DIST))
 def agg_median_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleetops.outlier_split(fleetops.distances(views.fleet(spark, sf_dir), destinations(spark))).select("dest_id", "id", "dist_m", "median", "remote")
 
 
-@query(with_views("SELECT dest_id, id, CASE WHEN id <> 'V1' THEN dist_m ELSE dist_m * 1e2 END AS dist_m, dist_m IS NOT NULL AND id = 'V1' AND dest_id <> 'D3' AND dist_m * 1e2 > 2.5e5 AS remote FROM dist", "fleet", dest=DEST_SQL, dist=_DIST))
+@query(with_views(f"SELECT dest_id, id, dist_m, remote FROM ({_SPLIT})", "fleet", dest=DEST_SQL, dist=_DIST, d="SELECT dest_id, id, CASE WHEN id = 'V1' THEN dist_m * 1e2 ELSE dist_m END AS dist_m FROM dist"))
 def flt_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fleetops.distances(views.fleet(spark, sf_dir), destinations(spark)).withColumn("dist_m", F.when(F.col("id") == "V1", F.col("dist_m") * 1e2).otherwise(F.col("dist_m")))
     return fleetops.outlier_split(d).select("dest_id", "id", "dist_m", "remote")
@@ -113,12 +119,12 @@ def agg_fleet_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(*[F.round(c, 9).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")])
 
 
-@query(with_views("SELECT vtype, count(*) AS n, min(ts_unix) AS first_ts, max(ts_unix) AS last_ts, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM fleet GROUP BY vtype", "fleet"))
+@query(with_views("SELECT vtype, count(*) AS n, min(ts_unix) AS first_ts, max(ts_unix) AS last_ts, round(avg(lat), 11) AS lat, round(avg(lon), 11) AS lon FROM fleet GROUP BY vtype", "fleet"))
 def agg_fleet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleetops.fleet_summary(views.fleet(spark, sf_dir))
 
 
-@query(with_views("SELECT vehicle, time_bucket(INTERVAL 10 MINUTES, ts) AS start, count(*) AS n, round(avg(speed_kmh), 6) AS mean_kmh FROM ping GROUP BY 1, 2", "ping"))
+@query(with_views("SELECT vehicle, time_bucket(INTERVAL 10 MINUTES, ts) AS start, count(*) AS n, round(avg(speed_kmh), 11) AS mean_kmh FROM ping GROUP BY 1, 2", "ping"))
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.windowed_speeds(views.ping(spark, sf_dir))
 

@@ -72,10 +72,10 @@ def fn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views("""SELECT id, round(greatest(CASE WHEN lim > 0e0 THEN least(k, lim) ELSE k END, 1e0), 9) AS kmh FROM (
     SELECT id, lim, CASE WHEN h > 0e0 AND g > 0e0 THEN 8.5e-1 * h + 1.5e-1 * g WHEN h > 0e0 THEN h WHEN g > 0e0 THEN g ELSE 8e-1 * CASE WHEN lim > 0e0 THEN lim WHEN vtype = 'train' THEN 8e1 ELSE 6e1 END END AS k
-    FROM (SELECT id, vtype, CASE WHEN s_suppkey % 3 = 0 THEN 0e0 ELSE speed_kmh END AS g, CASE WHEN s_suppkey % 2 = 0 THEN 0e0 ELSE round(m, 6) END AS h, CASE s_suppkey % 4 WHEN 0 THEN 0e0 ELSE 2e1 * (s_suppkey % 4) END AS lim
+    FROM (SELECT id, vtype, CASE WHEN s_suppkey % 3 = 0 THEN 0e0 ELSE speed_kmh END AS g, CASE WHEN s_suppkey % 2 = 0 THEN 0e0 ELSE round(m, 11) END AS h, CASE s_suppkey % 4 WHEN 0 THEN 0e0 ELSE 2e1 * (s_suppkey % 4) END AS lim
           FROM fleet LEFT JOIN (SELECT vehicle, avg(speed_kmh) AS m FROM ping GROUP BY vehicle) p ON p.vehicle = s_suppkey))""", "fleet", "ping"))
 def fn_speed_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = views.ping(spark, sf_dir).groupBy("vehicle").agg(F.round(F.avg("speed_kmh"), 6).alias("m"))
+    means = views.ping(spark, sf_dir).groupBy("vehicle").agg(F.round(F.avg("speed_kmh"), 11).alias("m"))
     rows = views.fleet(spark, sf_dir).join(means, F.col("vehicle") == F.col("s_suppkey"), "left")
     k = F.col("s_suppkey")
     gps, history = F.when(k % 3 == 0, 0.0).otherwise(F.col("speed_kmh")), F.when(k % 2 == 0, 0.0).otherwise(F.col("m"))
@@ -265,10 +265,10 @@ def fn_route_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(with_views("SELECT vehicle, round(avg(speed_kmh), 6) AS mean_kmh FROM ping GROUP BY vehicle", "ping"))
+@query(with_views("SELECT vehicle, round(avg(speed_kmh), 11) AS mean_kmh FROM ping GROUP BY vehicle", "ping"))
 def agg_history_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = views.ping(spark, sf_dir).groupBy("vehicle").agg(F.collect_list("speed_kmh").alias("h"))  # a history is kept short by its source
-    return lists.select("vehicle", F.round(motion.history_mean(F.col("h")), 6).alias("mean_kmh"))
+    return lists.select("vehicle", F.round(motion.history_mean(F.col("h")), 11).alias("mean_kmh"))
 
 
 @query(with_views("SELECT (SELECT count(*) FROM net_node) AS n_nodes, (SELECT count(*) FROM net_node WHERE kind = 0) AS n_kind0, (SELECT count(*) FROM net_node WHERE kind = 1) AS n_kind1, CAST(0 AS BIGINT) AS n_kind2, CAST(0 AS BIGINT) AS n_bad_coords, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon, (SELECT count(*) FROM net_edge) AS n_edges, (SELECT count(*) FROM net_edge WHERE etype = 0) AS n_road, (SELECT count(*) FROM net_edge WHERE etype = 1) AS n_rail, CAST(0 AS BIGINT) AS n_bad_length FROM net_node", "net_edge"))

@@ -56,7 +56,7 @@ def windowed_speeds(pings: DataFrame, size: str = "10 minutes", slide: str | Non
     """(vehicle, start, n, mean_kmh) by event-time windows; with ``late``, under a watermark, so it also runs on a stream."""
     rows = pings.withWatermark("ts", late) if late else pings
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return rows.groupBy("vehicle", w.alias("_w")).agg(F.count("*").alias("n"), F.round(F.avg("speed_kmh"), 6).alias("mean_kmh")).select("vehicle", F.col("_w.start").alias("start"), "n", "mean_kmh")
+    return rows.groupBy("vehicle", w.alias("_w")).agg(F.count("*").alias("n"), F.round(F.avg("speed_kmh"), 11).alias("mean_kmh")).select("vehicle", F.col("_w.start").alias("start"), "n", "mean_kmh")
 
 
 def trips(pings: DataFrame, gap: str = "30 minutes") -> DataFrame:

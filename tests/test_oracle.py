@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import math
+import numbers
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from fleetnet.plans import registry
@@ -24,9 +26,10 @@ def duck():
 
 def rows_of(df):
     def value(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
-        return round(float(v), 9) + 0.0 if isinstance(v, float) and not math.isnan(v) else str(v)
+        number = isinstance(v, numbers.Number) and not isinstance(v, bool | np.bool_)
+        return round(float(v), 9) + 0.0 if number else str(v)
 
     df = df[sorted(df.columns)].astype(object)
     return sorted((tuple(value(v) for v in r) for r in df.values.tolist()), key=repr)
