@@ -79,15 +79,20 @@ class Network:
                     heapq.heappush(heap, (t + cost[a], to[a]))
         return best
 
-    def parents(self, best: dict[int, int], kmh: float, row: int) -> tuple[int, int] | None:
-        """(row, edge) of the step from ``row`` towards the start: of the optimal ones the least node, then the least edge."""
-        cost, found = self.costs(kmh), None
-        for a in range(self.first[row], self.first[row + 1]):
-            t = best.get(int(self.to[a]))
-            if t is not None and t + cost[a] == best[row]:
-                step = (int(self.ids[self.to[a]]), int(self.edge[a]), int(self.to[a]))
-                found = step if found is None or step < found else found
-        return (found[2], found[1]) if found else None
+    def walker(self, best: dict[int, int], kmh: float):
+        """A function of a row to (row, node, edge), its step towards the start: of the optimal ones the least node, then
+        the least edge. Steps are kept, as routes to one start share most of them."""
+        cost, first, to, edge, ids = self.costs(kmh), self.first.tolist(), self.to.tolist(), self.edge.tolist(), self.ids.tolist()
+        known: dict[int, tuple[int, int, int] | None] = {}
+
+        def step(row: int) -> tuple[int, int, int] | None:
+            if row not in known:
+                t = best[row]
+                options = [(ids[to[a]], edge[a], to[a]) for a in range(first[row], first[row + 1]) if best.get(to[a], t) + cost[a] == t]
+                known[row] = (lambda n, e, r: (r, n, e))(*min(options)) if options else None
+            return known[row]
+
+        return step
 
 
 def _fits(arcs: DataFrame) -> bool:
@@ -181,16 +186,17 @@ def routes(sources: DataFrame, targets: DataFrame, arcs: DataFrame, engine: str
                 net = nets.value.get(row["etype"])
                 best = net.search([(s["node_id"], s["t_ms"]) for s in row["starts"]], row["kmh"], row["horizon_ms"]) if net else {}
                 starts = {s["node_id"]: s["t_ms"] for s in row["starts"]}
+                step = net.walker(best, row["kmh"]) if net else None
                 for target in row["targets"]:
                     at = net.row(target) if net else None
                     if at is None or at not in best:
                         continue
-                    nodes, edges = [target], []
+                    nodes, edges, t = [target], [], best[at]
                     while starts.get(nodes[-1]) != best[at]:
-                        at, edge = net.parents(best, row["kmh"], at)
-                        nodes.append(int(net.ids[at]))
+                        at, node, edge = step(at)
+                        nodes.append(node)
                         edges.append(edge)
-                    out.append({"key": row["key"], "target": target, "t_ms": best[net.row(target)], "nodes": nodes, "edges": edges})
+                    out.append({"key": row["key"], "target": target, "t_ms": t, "nodes": nodes, "edges": edges})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("target", pa.int64()), ("t_ms", pa.int64()), ("nodes", pa.list_(pa.int64())), ("edges", pa.list_(pa.int64()))]))
 
     return jobs.repartition("key").mapInArrow(run, "key string, target bigint, t_ms bigint, nodes array<bigint>, edges array<bigint>")
