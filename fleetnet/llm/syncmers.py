@@ -64,6 +64,14 @@ def document_anchors(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(anchors(token_hashes(F.coalesce("text", F.lit(""))))).alias("_a")).select("doc_id", "_a.pos", "_a.hash")
 
 
+def range_number(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` lie below a value, by binary search."""
+    low = F.lit(cuts).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)]) if cuts else F.array().cast("array<int>")
+    go = lambda at, step: F.when((at + step <= len(cuts)) & (F.get(low, F.least(at + step, F.lit(len(cuts))) - 1) < value), at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), go)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, sketch, next_text, next_sketch): each row with the row after it in descending doc_id.
 
@@ -74,10 +82,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("_id"), text.alias("text"))
     n = max(4 * partitions(spark), 2)
-    cuts = base.select(F.percentile_approx("_id", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    low = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    ranged = base.withColumn("_range", F.size(F.filter(low, lambda c: c < F.col("_id"))))
+    cuts = base.select(F.percentile_approx("_id", [i / n for i in range(1, n)], max(10_000, 4 * n)).alias("q")).first()["q"] or []
+    ranged = base.withColumn("_range", range_number(F.col("_id"), sorted(set(cuts))))
     firsts = {r["_range"]: r["m"] for r in ranged.groupBy("_range").agg(F.max("_id").alias("m")).collect()}  # a row for each range
     there = sorted(firsts)
     goes = {firsts[r]: there[(k + 1) % len(there)] for k, r in enumerate(there)}  # a range's first row follows the last of the range above

@@ -435,3 +435,10 @@ def test_odd_copies_are_removed_and_grouped(spark, odd):
     assert sorted(groups[4]) == [4, 5] and groups[7] == [7, 7] and sorted(groups[1]) == [1, 2, 9]
     kept = [r.doc_id for r in simhash.deduplicated(odd).collect()]
     assert sorted(k for k in kept if k is not None) == [1, 3, 4, 6, 7, 8] and None in kept
+
+
+def test_range_numbers(spark):
+    cuts = [-5, 0, 3, 3, 10, 11, 40]
+    got = [r.n for r in spark.range(-8, 45).select(F.col("id"), syncmers.range_number(F.col("id"), cuts).alias("n")).orderBy("id").collect()]
+    assert got == [sum(c < i for c in cuts) for i in range(-8, 45)]
+    assert spark.range(1).select(syncmers.range_number(F.col("id"), []).alias("n")).first().n == 0
