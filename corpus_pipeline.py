@@ -12,6 +12,11 @@ from fleetnet.llm import mixing, passages, pieces, quality, simhash
 from fleetnet.llm.common import stored, table
 
 
+#: Bytes of a passage that counts as repeated here: about 35 words of prose, so a passage of 50 words or more of any of
+#: the languages is long enough; and the length of the anchors that bring its copies together.
+PASSAGE_BYTES, ANCHOR_BYTES = 200, 32
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-neighbour vote scores under a half go."""
     return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -23,8 +28,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur again are cut out of the texts; every document stays."""
-    return passages.without_repeats(docs)
+    """Passages of PASSAGE_BYTES or more that occur again are cut out of the texts; every document stays."""
+    return passages.without_repeats(docs, PASSAGE_BYTES, ANCHOR_BYTES)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

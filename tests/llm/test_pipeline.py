@@ -40,7 +40,7 @@ def test_one_of_each_group_stays(results):
 
 def test_passages_are_cut(results):
     before = {r.doc_id: r.text for r in results[2].collect()}
-    gone = {r.doc_id: r for r in passages.removed(results[2]).collect()}
+    gone = {r.doc_id: r for r in passages.removed(results[2], corpus_pipeline.PASSAGE_BYTES, corpus_pipeline.ANCHOR_BYTES).collect()}
     for r in results[3].collect():
         if not gone[r.doc_id].n_removed:
             assert r.text == before[r.doc_id]
