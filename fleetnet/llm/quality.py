@@ -92,12 +92,11 @@ class Model:
         for b in blocks:
             w = b.astype(np.float32) * idf
             gram += w.T @ w
-        project = np.linalg.qr(np.random.default_rng(0).standard_normal((x.shape[1], RANK + 16)).astype(np.float32))[0]
-        for _ in range(20 if blocks else 0):
-            project = np.linalg.qr(gram @ project)[0]
-        if blocks:  # turn the subspace's basis to its principal axes
-            values, axes = np.linalg.eigh(project.T @ gram @ project)
-            project = project @ axes[:, np.argsort(values)[::-1]]
+        project = np.random.default_rng(0).standard_normal((x.shape[1], RANK + 16)).astype(np.float32)
+        for _ in range(20 if blocks else 0):  # small factorisations only: large ones wait for their threads on a busy driver
+            grown = (gram @ project).astype(np.float64)
+            values, axes = np.linalg.eigh(grown.T @ grown)
+            project = (grown @ (axes[:, ::-1] / np.sqrt(np.maximum(values[::-1], values[-1] * 1e-14)))).astype(np.float32)
         project = np.ascontiguousarray(project[:, :RANK])
         vectors = np.concatenate([cls._unit((b.astype(np.float32) * idf) @ project) for b in blocks]) if blocks else np.zeros((0, RANK), dtype=np.float32)
         return cls(idf, project, vectors, labels.astype(np.float32))
