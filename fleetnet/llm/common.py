@@ -43,6 +43,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input that a Python operator holds at a time, and Spark's own default, which is eight times that.
+BATCH_BYTES, _DEFAULT = "8m", "67108864b"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of BATCH_BYTES, so that long documents don't add up to large ones; a session's own
+    setting stands."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == _DEFAULT:
+        conf.set(_BATCH, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

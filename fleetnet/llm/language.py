@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetnet.llm.common import cut, let, stored, unit
+from fleetnet.llm.common import cut, let, map_batches, stored, unit
 
 #: Bound of the sample of labelled texts that the text model is fitted on.
 TRAIN_ROWS = 4000
@@ -76,7 +76,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    sums = cut(chosen.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    sums = cut(map_batches(chosen, run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     top = sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
     found = sums.join(F.broadcast(top), "lang", "left_semi").toPandas()
     languages = sorted(found["lang"].unique())
@@ -131,7 +131,7 @@ def identify(items: DataFrame, model: TextModel) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(logs) + 1, dtype=np.int32) * n), pa.array(np.concatenate(logs) if logs else np.zeros(0)))
             yield pa.RecordBatch.from_arrays([ids, flat, *rest], names=["id", "_text", "is_page", "declared", "_host", "_domain", "_suffix"])
 
-    rows = items.select("id", "content", "is_page", "declared", *address(F.col("url"))).mapInArrow(run, f"id {kinds['id']}, _text array<double>, is_page boolean, declared string, _host string, _domain string, _suffix string")
+    rows = map_batches(items.select("id", "content", "is_page", "declared", *address(F.col("url"))), run, f"id {kinds['id']}, _text array<double>, is_page boolean, declared string, _host string, _domain string, _suffix string")
     rows = stored(rows.withColumn("_post", _softmax(F.col("_text"))).withColumn("_said", F.when(F.col("declared").isin("", *languages), F.col("declared")).otherwise("other")))
     sums = [F.sum(F.get("_post", F.lit(i))) for i in range(n)]
     vector = F.array(*sums)

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fleetnet.llm.common import map_batches
+
 # Sentences of public licences and notices, by identifier.
 SENTENCES = {
     "mit-title": "MIT License",
@@ -184,4 +186,4 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: tuple[
             rows = [[dict(zip(("licence", "kind", "start", "stop"), m, strict=True)) for m in recognise(f, rules)] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(rows, matched)], names=["doc_id", "sentences", "matches"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA.format(kind=docs.schema["doc_id"].dataType.simpleString()))
+    return map_batches(docs.select("doc_id", "text"), run, SCHEMA.format(kind=docs.schema["doc_id"].dataType.simpleString()))

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetnet.llm.common import partitions, stored
+from fleetnet.llm.common import map_batches, partitions, stored
 from fleetnet.llm.suffixes import repeated
 
 LENGTH, GRAM = 400, 64
@@ -156,7 +156,7 @@ def fragments(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 cols = [(g[first].view(np.int64), np.zeros(len(extra), dtype=np.int64)), (d[first].view(np.int64), extra[:, 2] - base[extra[:, 0]]), (place, extra[:, 1] - base[extra[:, 0]]), (times, np.zeros(len(extra), dtype=np.int64))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(np.concatenate(c)) for c in cols)], names=names)
 
-    return rows.select("_id", "_tag", "text").mapInArrow(run, "_id bigint, _tag bigint, g bigint, d bigint, at bigint, n bigint")
+    return map_batches(rows.select("_id", "_tag", "text"), run, "_id bigint, _tag bigint, g bigint, d bigint, at bigint, n bigint")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def packed(rows: DataFrame) -> DataFrame:
             cols[at] = pa.array([None if t is None else press(t) for t in cols[at].cast(pa.large_binary()).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema))
+    return map_batches(rows, run, ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema))
 
 
 def unpack(data: bytes | None) -> bytes:
@@ -220,7 +220,7 @@ def _sorted_spans(wanted: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return wanted.select("_id", "_tag", "g", "at", "own", "bytes").mapInArrow(run, "_id bigint, _tag bigint, lo bigint, stop bigint")
+    return map_batches(wanted.select("_id", "_tag", "g", "at", "own", "bytes"), run, "_id bigint, _tag bigint, lo bigint, stop bigint")
 
 
 def _digests(wanted: DataFrame, length: int, width: int, only: bool) -> DataFrame:
@@ -250,7 +250,7 @@ def _digests(wanted: DataFrame, length: int, width: int, only: bool) -> DataFram
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in (0, 1, 2)), *more, batch.column(4).take(own), pa.array(cols[3], pa.int64()), w], names=["_id", "_tag", "g", "lo", "stop", "own", "k", "w"])
 
     cols = ["_id", "_tag", "g", "at", "own", "bytes", *["ranges"] * only]
-    return wanted.select(*cols).mapInArrow(run, "_id bigint, _tag bigint, g bigint, lo bigint, stop bigint, own boolean, k bigint, w bigint")
+    return map_batches(wanted.select(*cols), run, "_id bigint, _tag bigint, g bigint, lo bigint, stop bigint, own boolean, k bigint, w bigint")
 
 
 def _twice(rows: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 own = pa.array(cols[0], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.binary())], names=["_id", "_tag", "g", "at", "own", "kinds", "bytes"])
 
-    return joined.select("_id", "_tag", "text", "f").mapInArrow(run, "_id bigint, _tag bigint, g bigint, at bigint, own boolean, kinds bigint, bytes binary")
+    return map_batches(joined.select("_id", "_tag", "text", "f"), run, "_id bigint, _tag bigint, g bigint, at bigint, own boolean, kinds bigint, bytes binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -357,7 +357,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _pass(docs.select("doc_id", "text"), length, gram).select("doc_id", "text", "_spans").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return map_batches(_pass(docs.select("doc_id", "text"), length, gram).select("doc_id", "text", "_spans"), run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -377,5 +377,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
 
-    out = _pass(docs, length, gram).select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    out = map_batches(_pass(docs, length, gram).select(*docs.columns, "_spans"), run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetnet.llm.common import map_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 42
 #: Characters of text that are encoded at a time; a longer text is encoded alone.
@@ -287,7 +289,7 @@ def encoded(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends).astype(np.int64)), pa.array(same)], names=["doc_id", "ids", "n_pieces", "lossless"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_pieces bigint, lossless boolean")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>, n_pieces bigint, lossless boolean")
 
 
 def _runs(group: np.ndarray) -> list[tuple[int, int]]:
@@ -308,4 +310,4 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", F.col("ids")).mapInArrow(run, f"doc_id {kind}, text string")
+    return map_batches(rows.select("doc_id", F.col("ids")), run, f"doc_id {kind}, text string")

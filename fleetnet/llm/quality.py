@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetnet.llm.common import map_batches
+
 #: The bound of the sample of labelled rows that the model is fitted on; the broadcast is FIT_ROWS * RANK * 4 bytes.
 FIT_ROWS = 4096
 BUCKETS, RANK, NEIGHBOURS, BLOCK = 2048, 48, 25, 512
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             rows = [terms(t.as_py()).astype(np.float16).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(rows, pa.binary()), batch.column(2)], names=["doc_id", "terms", "quality"])
 
-    sample = labelled_sample(docs, labels, fit_rows).mapInArrow(run, "doc_id string, terms binary, quality double").toArrow().combine_chunks()
+    sample = map_batches(labelled_sample(docs, labels, fit_rows), run, "doc_id string, terms binary, quality double").toArrow().combine_chunks()
     rows: dict[str, int] = {}  # a repeated id counts once, by its least vector
     terms_of = sample.column("terms")
     for i, d in enumerate(sample.column("doc_id").to_pylist()):
@@ -164,7 +166,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(x).astype(np.float64))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -179,4 +181,4 @@ def kept(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 x = np.stack([terms(t.as_py()) for t in part.column(at_text)])
                 yield part.filter(pa.array(shared.value.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetnet.llm.common import stored
+from fleetnet.llm.common import map_batches, stored
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words without a letter, digit or underscore.
@@ -106,7 +106,7 @@ def measures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i]) for i in range(len(MEASURES)))], names=["doc_id", *MEASURES])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{m} bigint" for m in MEASURES))
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"{m} bigint" for m in MEASURES))
 
 
 def pattern(rules: list[Rule]) -> Column:

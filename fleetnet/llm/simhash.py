@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetnet.llm.common import stored
+from fleetnet.llm.common import map_batches, stored
 from fleetnet.llm.graphs import components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp bigint")
 
 
 def _mask(segment: tuple[int, int]) -> int:
