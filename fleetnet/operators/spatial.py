@@ -77,12 +77,21 @@ _ENDS = ("flat", "flon", "tlat", "tlon")
 
 
 def corridor_edges(corridors: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct (corridor_id, edge_id) of edges whose middle lies within width_m of a corridor's segment a-b."""
-    boxes = corridors.select(F.col("corridor_id").alias("box_id"), geo.segment_box(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"), F.col("width_m")).alias("box"))
-    near = edges_in_boxes(boxes, edges).withColumnRenamed("box_id", "corridor_id").join(corridors, "corridor_id").join(edges.select("edge_id", *_ENDS), "edge_id")
+    """Distinct (corridor_id, edge_id) of edges whose middle lies within width_m of a corridor's segment a-b.
+
+    An edge's middle lies in one of its cells, so of the box around the segment only cells near it are probed: 2 km is
+    more than from a cell's centre to its corners.
+    """
+    size = EDGE_CELL
+    box = geo.segment_box(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"), F.col("width_m"))
+    off = lambda c: point_segment((c["gx"] + 0.5) * size, (c["gy"] + 0.5) * size, F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))[0]
+    spread = corridors.repartition(int(corridors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "corridor_id")  # a few rows make many cells
+    probes = spread.withColumn("_c", F.explode(_box_cells(box, size))).filter(off(F.col("_c")) <= F.col("width_m") + 2_000).select("*", "_c.gx", "_c.gy").drop("_c")
+    cells = edge_cells(edges, size).join(edges.select("edge_id", *_ENDS), "edge_id")
     mid_lat, mid_lon = (F.col("flat") + F.col("tlat")) * 0.5, (F.col("flon") + F.col("tlon")) * 0.5
     dist, _ = point_segment(mid_lat, mid_lon, F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return near.filter(dist <= F.col("width_m")).select("corridor_id", "edge_id")
+    own = (F.col("gx") == cell(mid_lat, size)) & (F.col("gy") == cell(mid_lon, size))  # each edge by its middle's cell: once
+    return probes.join(cells.filter(own), ["gx", "gy"]).filter(dist <= F.col("width_m")).select("corridor_id", "edge_id")
 
 
 def corridor_or_anchor_edges(corridors: DataFrame, edges: DataFrame, keep_m: float = 8_000.0) -> DataFrame:
