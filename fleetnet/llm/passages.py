@@ -42,10 +42,10 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit polynomial hash of the ``gram`` bytes (a power of two) at each position."""
-    h, base, width = b.astype(np.uint64) + np.uint64(1), np.uint64(0x100000001B3), 1
+    h, base, width = b.astype(np.uint64) + np.uint64(1), 0x100000001B3, 1
     while width < gram:
-        h = h[:-width] * base + h[width:]
-        base, width = base * base, 2 * width
+        h = h[:-width] * np.uint64(base) + h[width:]
+        base, width = base * base % (1 << 64), 2 * width
     return h
 
 
