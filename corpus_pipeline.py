@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetnet.llm import mixing, passages, pieces, quality, simhash
+from fleetnet.llm import mixing, nearcopies, passages, pieces, quality
 from fleetnet.llm.common import stored, table
 
 
@@ -23,8 +23,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies stays, the one with the smallest id; near is a likeness of 0.8 or more
+    over five-word shingles, exactly, which four bits of op8's fingerprints don't reach."""
+    return nearcopies.deduplicated(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
