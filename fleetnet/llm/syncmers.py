@@ -31,7 +31,8 @@ def token_hashes(text: Column) -> Column:
 def anchors(hashes: Column) -> Column:
     """array<struct<pos int, hash bigint>> of the closed syncmers of a token-hash array, in order of position.
 
-    With fewer than K tokens, but some, the whole sequence is the only anchor; with none, there is none.
+    Where there is none, as with fewer than K tokens and with some texts of K to K + S - 1, but there are tokens, the
+    whole sequence is the only anchor.
     """
     def chosen(h: Column) -> Column:
         inner = F.transform(F.sequence(F.lit(0), F.size(h) - S), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)))
@@ -44,7 +45,9 @@ def anchors(hashes: Column) -> Column:
         return let(inner, pick)
 
     none = F.array().cast("array<struct<pos:int,hash:bigint>>")
-    return let(hashes, lambda h: F.when(F.size(h) >= K, chosen(h)).when(F.size(h) > 0, F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h).alias("hash")))).otherwise(none))
+    whole = lambda h: F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h).alias("hash")))
+    some = lambda h: let(chosen(h), lambda c: F.when(F.size(c) > 0, c).otherwise(whole(h)))
+    return let(hashes, lambda h: F.when(F.size(h) >= K, some(h)).when(F.size(h) > 0, whole(h)).otherwise(none))
 
 
 def sketch(found: Column) -> Column:
