@@ -180,6 +180,21 @@ def meet_best_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("a", "b", F.round("meet_s", 6).alias("meet_s"))
 
 
+def _focal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The focal vehicles, every hundredth, against all others: both directions, and no radius but the operator's reach."""
+    fleet = views.fleet(spark, sf_dir)
+    focal = fleet.filter("s_suppkey % 100 = 1").select(F.col("id").alias("a"))
+    return fleet.select(F.col("id").alias("b")).join(F.broadcast(focal), F.col("a") != F.col("b"))  # few queries
+
+
+@query()
+def meet_best_focal_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The soonest partner of each focal vehicle among all others of its type; tests hold it against the lead's ranking."""
+    order = views.fleet(spark, sf_dir).select("id", F.col("s_suppkey").alias("ord"))
+    best = meetings.best_partner(_meetings(spark, sf_dir, _focal_pairs(spark, sf_dir)), order)
+    return best.select("a", "b", F.round("meet_s", 6).alias("meet_s"))
+
+
 def _arrive_sql(body: str) -> str:
     """Arrivals as rows of arrive(dest_id, id, reachable, travel_s, eta_unix, distance_m)."""
     snap = SNAP.replace("FROM fleet v", "FROM (SELECT dest_id AS id, dlat AS lat, dlon AS lon, dtype AS vtype FROM dest) v")
