@@ -77,8 +77,18 @@ _WALK0 = "SELECT key, node_id AS target, node_id AS pos, CAST(0 AS BIGINT) AS ho
 
 @query(_with_field("SELECT target, hop, pos AS node_id, edge_id FROM walk", "net_edge", arc=ARC, w=_W60, seed=_SEED0, after={"parent": _PARENT, "walk(key, target, pos, hop, edge_id)": f"{_WALK0} UNION ALL SELECT walk.key, target, parent_node, hop + 1, parent_edge FROM walk JOIN parent ON parent.node_id = walk.pos AND parent.key = walk.key"}))
 def path_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes to every 97th node, step by step."""
-    targets = views.net_node(spark, sf_dir).filter("node_id % 97 = 0").select(F.lit("S").alias("key"), F.col("node_id").alias("target"))
+    """Routes to every 97th node, step by step: a small check against SQL; ``path_route_all`` has every node."""
+    return _steps(spark, sf_dir, views.net_node(spark, sf_dir).filter("node_id % 97 = 0"))
+
+
+@query()
+def path_route_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes to every node, step by step; tests hold them against the field."""
+    return _steps(spark, sf_dir, views.net_node(spark, sf_dir))
+
+
+def _steps(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
+    targets = nodes.select(F.lit("S").alias("key"), F.col("node_id").alias("target"))
     r = paths.routes(_source(spark), targets, network.arcs(views.net_edge(spark, sf_dir)))
     steps = r.select("target", "edges", F.posexplode("nodes").alias("hop", "node_id"))
     return steps.select("target", F.col("hop").cast("bigint").alias("hop"), "node_id", F.when(F.col("hop") > 0, F.get("edges", F.col("hop") - 1)).alias("edge_id"))
