@@ -102,6 +102,27 @@ def comp_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.components(views.net_edge(spark, sf_dir).filter("etype = 1 or node_from % 7 = 0"))
 
 
+@query()
+def comp_connected_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over every edge: the hard case, one that holds the whole table. Tests hold it against plain union."""
+    return network.components(views.net_edge(spark, sf_dir))
+
+
+@query()
+def comp_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over the edges of each type: several, by a real attribute."""
+    edges = views.net_edge(spark, sf_dir)
+    one = lambda k: network.components(edges.filter(F.col("etype") == k)).withColumn("etype", F.lit(k))
+    return one(motion.ROAD).unionByName(one(motion.RAIL))
+
+
+@query()
+def comp_pairs_connected_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each node and the one north of it are in one component over every edge."""
+    pairs = views.net_node(spark, sf_dir).select(F.col("node_id").alias("a"), (F.col("node_id") + 40).alias("b"))
+    return network.connected(pairs, network.components(views.net_edge(spark, sf_dir))).select("a", "b", "connected")
+
+
 @query()
 def comp_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, centroid and first nodes of each component; tests hold them against plain loops."""
