@@ -176,6 +176,12 @@ def join_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.mark_hubs(nodes, some, radius_m=1_100.0).select("node_id", "kind")
 
 
+@query()
+def join_hub_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations near a node that has a road, all roads counting; tests hold them against plain loops."""
+    return spatial.mark_hubs(views.net_node(spark, sf_dir), views.net_edge(spark, sf_dir), radius_m=1_100.0).select("node_id", "kind")
+
+
 _DEGREE = "SELECT node_id, count(*) AS degree FROM (SELECT node_from AS node_id FROM net_edge WHERE speed_kmh >= 6e1 UNION ALL SELECT node_to FROM net_edge WHERE speed_kmh >= 6e1) GROUP BY node_id"
 
 
