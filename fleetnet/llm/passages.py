@@ -9,9 +9,11 @@ A byte goes if it lies in a string of LENGTH bytes that also starts anywhere els
    many copies there are, one of them goes on.
 3. Buckets that still hold different fragments get their text, and tasks sort them, one block of buckets at a time, by
    suffix with a difference-cover sample (see ``suffixes``). Equal windows are then neighbours, compared byte by byte.
-4. A bucket of more than HOT different fragments isn't sorted in one task. Its windows are taken RANGE neighbours at a
-   time; what all of a range share must occur twice for any of them to be a repeat, and only the windows of such ranges
-   are spread by their own digests. So a passage that very many texts share costs each of them a few rows.
+4. A bucket of more than MOST different fragments is too large for a block. Equal windows agree in more than the
+   anchor, so such a bucket is cut finer before it is sorted: FINER neighbouring windows of a fragment go to the bucket of
+   the bytes that all of them share, as a fragment of their own, and steps 2 and 3 are taken again; what is still too
+   large, at FINEST, a window at a time. So a passage that very many texts share costs each of them a few narrow rows,
+   and every bucket that holds different fragments is sorted, whatever its size.
 
 Whole texts travel compressed, twice: to where fragments are cut out, and to where spans are.
 """
@@ -32,10 +34,11 @@ from fleetnet.llm.common import map_batches, partitions, stored
 from fleetnet.llm.suffixes import repeated
 
 LENGTH, GRAM = 400, 64
-#: Bytes of text that are hashed, or sorted, at a time; a longer text is hashed alone.
+#: Bytes of text that are hashed, or sorted, at a time; a longer text is hashed in pieces that overlap by a window.
 SLICE, BLOCK = 1 << 20, 1 << 20
-#: Different fragments of a bucket that are sorted in one task.
-HOT, RANGE = 2000, 16
+POSITION_BITS = 24
+#: Different fragments of a bucket that are sorted together, and neighbouring windows of a fragment in a finer bucket.
+MOST, FINER, FINEST = 2000, 16, 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,7 +61,9 @@ def window_anchors(b: np.ndarray, offsets: np.ndarray, length: int, gram: int) -
     if not len(whole):
         return none, none.astype(np.uint64), none, none, none
     h = gram_hashes(b, gram)
-    bits = np.uint64(max(int(len(h)).bit_length(), 24))  # the same for every slice, but for one text of over 16 MB
+    bits = np.uint64(POSITION_BITS)
+    if len(h) > 1 << POSITION_BITS:
+        raise ValueError("passages: a slice is too long to number its positions")
     key = h * _ODD
     key ^= key >> np.uint64(29)
     key *= np.uint64(0xBF58476D1CE4E5B9)
@@ -84,12 +89,18 @@ def window_anchors(b: np.ndarray, offsets: np.ndarray, length: int, gram: int) -
     return np.searchsorted(offsets, first, side="right") - 1, h[anchor[first]], first, last, anchor[first]
 
 
-def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(start, stop) of runs of texts of about SLICE bytes each."""
+def _slices(offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(first text, offsets of its texts, place in the first text) of runs of texts of about SLICE bytes each; a text that
+    is longer comes alone, in pieces that overlap so that every window lies in just one."""
     at = 0
     while at < len(offsets) - 1:
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
-        yield at, stop
+        begin, end = int(offsets[at]), int(offsets[stop])
+        if end - begin <= 2 * SLICE:
+            yield at, offsets[at : stop + 1], 0
+        else:
+            for k in range(begin, end - length + 1, SLICE):
+                yield at, np.array([k, min(k + SLICE + length - 1, end)], dtype=np.int64), k - begin
         at = stop
 
 
@@ -142,12 +153,12 @@ def fragments(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _bytes(batch.column(2))
-            for a, z in _slices(offsets):
-                part = data[offsets[a] : offsets[z]]
-                text, g, lo, hi, m = window_anchors(part, offsets[a : z + 1] - offsets[a], length, gram)
+            for a, cuts, begin in _slices(offsets, length):
+                part = data[cuts[0] : cuts[-1]]
+                text, g, lo, hi, m = window_anchors(part, cuts - cuts[0], length, gram)
                 raw, digest = part.tobytes(), xxhash.xxh3_64_intdigest
                 d = np.array([digest(raw[s:e]) for s, e in zip(lo.tolist(), (hi + length).tolist(), strict=True)], dtype=np.uint64)
-                base = offsets[a:z] - offsets[a]
+                base = cuts[:-1] - cuts[0] - begin
                 first, times, spans = _own_repeats(text, g, d, lo, hi + length)
                 t = text[first]
                 extra = np.array(spans, dtype=np.int64).reshape(-1, 3)
@@ -223,51 +234,87 @@ def _sorted_spans(wanted: DataFrame, length: int) -> DataFrame:
     return map_batches(wanted.select("_id", "_tag", "g", "at", "own", "bytes"), run, "_id bigint, _tag bigint, lo bigint, stop bigint")
 
 
-def _digests(wanted: DataFrame, length: int, width: int, only: bool) -> DataFrame:
-    """(_id, _tag, g, lo, stop, own, k, w): the windows lo..stop of fragments, ``width`` neighbours at a time, and a digest
-    of the bytes that all of them share; k numbers their distance to the anchor, which equal windows have in common.
-
-    ``only``: of the fragments' column ``ranges``, the numbers of the ranges of RANGE windows that are asked for.
-    """
+def _cores(wanted: DataFrame, length: int, width: int) -> DataFrame:
+    """(_id, _tag, g, at, own, k, w): of each fragment its runs of ``width`` neighbouring windows, numbered by their
+    distance to the anchor, which equal windows have in common, and a digest of the bytes that all windows of a run share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             out = []
             for f, (at, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                far, windows = at >> 10 & 1023, at & 1023
+                out += [(f, k, digest(_core(text, far, k, width, length))) for k in range((far - windows) // width, far // width + 1)]
+            cols = list(zip(*out, strict=True)) if out else [[], [], []]
+            own = pa.array(cols[0], pa.int64())
+            w = pa.array(np.array(cols[2], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in range(5)), pa.array(cols[1], pa.int64()), w], names=["_id", "_tag", "g", "at", "own", "k", "w"])
+
+    return map_batches(wanted.select("_id", "_tag", "g", "at", "own", "bytes"), run, "_id bigint, _tag bigint, g bigint, at bigint, own boolean, k bigint, w bigint")
+
+
+def _core(text: bytes, far: int, k: int, width: int, length: int) -> bytes:
+    """The bytes from the last start to the first end of the windows that start k * width to (k + 1) * width - 1 before the
+    anchor; a fragment that has only some of these windows has these bytes all the same."""
+    return text[far - k * width : far - (k + 1) * width + 1 + length]
+
+
+def _finer(wanted: DataFrame, length: int, width: int) -> DataFrame:
+    """Fragments (_id, _tag, g, at, own, bytes) of the buckets of ``width`` neighbouring windows with one core: of those
+    cores only that occur again; a fragment that isn't asked for stands for two."""
+    cores = stored(_cores(wanted, length, width))
+    again = cores.groupBy("g", "k", "w").agg(F.sum(F.when(F.col("own"), 1).otherwise(2)).alias("_n")).filter("_n > 1").select(F.col("g").alias("_g"), F.col("k").alias("_k"), F.col("w").alias("_w"))
+    kept = cores.join(again, (F.col("g") == F.col("_g")) & (F.col("k") == F.col("_k")) & (F.col("w") == F.col("_w")), "left_semi")
+    runs = kept.groupBy(F.col("_id").alias("_i"), F.col("_tag").alias("_t"), F.col("at").alias("_a"), F.col("g").alias("_g")).agg(F.collect_set(F.struct("k", F.xxhash64("g", "k", "w").alias("f"))).alias("runs"))  # no more than a fragment has
+    both = wanted.join(runs, (F.col("_id") == F.col("_i")) & (F.col("_tag") == F.col("_t")) & (F.col("at") == F.col("_a")) & (F.col("g") == F.col("_g")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for f, (at, text, asked) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 lo, far, windows = at >> 20, at >> 10 & 1023, at & 1023
-                asked = set(batch.column(6)[f].as_py()) if only else None
-                for k in range((far - windows) // width, far // width + 1):  # distances k * width and up
-                    if asked is not None and k * width // RANGE not in asked:
-                        continue
-                    first, last = max(0, far - (k + 1) * width + 1), min(windows, far - k * width)
-                    core = text[far - k * width : far - (k + 1) * width + 1 + length]
-                    out.append((f, lo + first, lo + last, k, digest(core)))
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
+                for r in asked:
+                    first, last = max(0, far - (r["k"] + 1) * width + 1), min(windows, far - r["k"] * width)
+                    out.append((f, r["f"], (lo + first) << 20 | (far - first) << 10 | (last - first), text[first : last + length]))
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
             own = pa.array(cols[0], pa.int64())
-            more = [pa.array(c, pa.int64()) for c in cols[1:3]]
-            w = pa.array(np.array(cols[4], dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in (0, 1, 2)), *more, batch.column(4).take(own), pa.array(cols[3], pa.int64()), w], names=["_id", "_tag", "g", "lo", "stop", "own", "k", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), batch.column(3).take(own), pa.array(cols[3], pa.binary())], names=["_id", "_tag", "g", "at", "own", "bytes"])
+
+    return map_batches(both.select("_id", "_tag", "at", "own", "bytes", "runs"), run, "_id bigint, _tag bigint, g bigint, at bigint, own boolean, bytes binary")
+
 
-    cols = ["_id", "_tag", "g", "at", "own", "bytes", *["ranges"] * only]
-    return map_batches(wanted.select(*cols), run, "_id bigint, _tag bigint, g bigint, lo bigint, stop bigint, own boolean, k bigint, w bigint")
+def _settled(cut_out: DataFrame, length: int) -> DataFrame:
+    """(_id, _tag, lo, stop) of the repeated windows of fragments (_id, _tag, g, at, own, kinds, bytes), which are different
+    in each bucket and stored. Buckets of up to MOST are sorted; larger ones are cut finer, and again, and then sorted."""
+    spans = None
+    for width in (FINER, FINEST):
+        hot, cold = cut_out.filter(F.col("kinds") > MOST), cut_out.filter(F.col("kinds") <= MOST)
+        if not hot.limit(1).count():
+            break
+        found = _sorted_spans(_in_buckets(cold), length)
+        spans = found if spans is None else spans.unionByName(found)
+        parts = stored(_finer(hot, length, width).withColumn("d", F.xxhash64("bytes")))
+        kinds = stored(parts.groupBy("g", "d").agg(F.sum(F.when(F.col("own"), 1).otherwise(2)).alias("c"), F.min(F.struct("_id", "_tag", "at", "bytes")).alias("one")))
+        twice = kinds.filter("c > 1").select(F.col("g").alias("_g"), F.col("d").alias("_d"))
+        whole = parts.filter("own").join(twice, (F.col("g") == F.col("_g")) & (F.col("d") == F.col("_d")), "left_semi")
+        spans = spans.unionByName(_whole_spans(whole, length))
+        cut_out = stored(kinds.join(_mixed_buckets(kinds), F.col("g") == F.col("_g")).select("one._id", "one._tag", "g", "one.at", (F.col("c") == 1).alias("own"), "kinds", "one.bytes"))
+    rest = _sorted_spans(_in_buckets(cut_out), length)
+    return rest if spans is None else spans.unionByName(rest)
 
 
-def _twice(rows: DataFrame) -> DataFrame:
-    """The rows whose (g, k, w) occurs again; a fragment that isn't asked for stands for two."""
-    again = rows.groupBy("g", "k", "w").agg(F.sum(F.when(F.col("own"), 1).otherwise(2)).alias("_n")).filter("_n > 1")
-    again = again.select(F.col("g").alias("_g"), F.col("k").alias("_k"), F.col("w").alias("_w"))
-    return rows.join(again, (F.col("g") == F.col("_g")) & (F.col("k") == F.col("_k")) & (F.col("w") == F.col("_w")), "left_semi")
+def _in_buckets(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g")
 
 
-def _spread_spans(hot: DataFrame, length: int) -> DataFrame:
-    """(_id, _tag, lo, stop) of the repeated windows of fragments in buckets too large to sort."""
-    hot = stored(hot)
-    shared = _twice(stored(_digests(hot, length, RANGE, only=False)))
-    asked = shared.groupBy(F.col("_id").alias("_i"), F.col("_tag").alias("_t"), F.col("g").alias("_g")).agg(F.collect_set("k").alias("ranges"))
-    both = hot.join(asked, (F.col("_id") == F.col("_i")) & (F.col("_tag") == F.col("_t")) & (F.col("g") == F.col("_g")))
-    hit = _twice(stored(_digests(both, length, 1, only=True))).filter("own")
-    return hit.select("_id", "_tag", "lo", (F.col("stop") + length).alias("stop"))
+def _mixed_buckets(kinds: DataFrame) -> DataFrame:
+    """(_g, kinds) of the buckets with different fragments."""
+    return kinds.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("kinds")).filter("kinds > 1")
+
+
+def _whole_spans(rows: DataFrame, length: int) -> DataFrame:
+    lo = F.shiftright("at", 20)
+    return rows.select("_id", "_tag", lo.alias("lo"), (lo + F.col("at").bitwiseAND(F.lit(1023)) + length).alias("stop"))
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -292,7 +339,6 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(_id, _tag, lo, stop): byte spans of the texts that are covered by repeated windows; spans may overlap or repeat."""
-    spark = docs.sparkSession
     rows = stored(fragments(keyed(docs), length, gram))
     inner, found = rows.filter("n = 0").select("_id", "_tag", F.col("at").alias("lo"), F.col("d").alias("stop")), rows.filter("n > 0")
     # Stored, so the join below reads it by an exchange of its own and Spark can split the partition of a frequent anchor.
@@ -303,18 +349,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     kinds = stored(live.groupBy("g", "d").agg(F.sum("n").alias("c"), F.min(F.struct("_id", "_tag", "at")).alias("one")))
     twice = kinds.filter("c > 1").select(F.col("g").alias("_g"), F.col("d").alias("_d"))
     whole = live.join(twice, (F.col("g") == F.col("_g")) & (F.col("d") == F.col("_d")), "left_semi")
-    lo = F.shiftright("at", 20)
-    spans = inner.unionByName(whole.select("_id", "_tag", lo.alias("lo"), (lo + F.col("at").bitwiseAND(F.lit(1023)) + length).alias("stop")))
-
-    buckets = kinds.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1").withColumnRenamed("g", "_g")
-    mixed = kinds.join(buckets, F.col("g") == F.col("_g")).select("one._id", "one._tag", "g", "one.at", (F.col("c") == 1).alias("own"), "kinds")
-    cut_out = _with_bytes(docs, stored(mixed), length)
-    many = buckets.filter(F.col("kinds") > HOT).limit(1).count() > 0
-    if many:
-        cut_out = stored(cut_out)
-        spans = spans.unionByName(_spread_spans(cut_out.filter(F.col("kinds") > HOT).drop("kinds"), length))
-    cold = cut_out.filter(F.col("kinds") <= HOT).repartition(partitions(spark), "g").sortWithinPartitions("g")
-    return spans.unionByName(_sorted_spans(cold, length))
+    spans = inner.unionByName(_whole_spans(whole, length))
+    mixed = kinds.join(_mixed_buckets(kinds), F.col("g") == F.col("_g")).select("one._id", "one._tag", "g", "one.at", (F.col("c") == 1).alias("own"), "kinds")
+    mixed = stored(mixed)
+    cut_out = _with_bytes(docs, mixed, length)
+    if mixed.filter(F.col("kinds") > MOST).limit(1).count():
+        return spans.unionByName(_settled(stored(cut_out), length))
+    return spans.unionByName(_sorted_spans(_in_buckets(cut_out), length))  # each is read once: no need to store them
 
 
 def _pass(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -325,39 +366,41 @@ def _pass(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return joined.drop("_id", "_tag", "_sid", "_stag")
 
 
-def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """(what is left, removed bytes, maximal removed runs) of a text less its spans."""
-    kept, at, removed, runs = [], 0, 0, 0
+def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
+    """(what is left, maximal removed runs) of a text less its spans, which may overlap."""
+    runs: list[tuple[int, int]] = []
     for lo, stop in sorted(spans):
-        if lo > at or not runs:
-            kept.append(data[at:lo])
-            runs += 1
-            removed += stop - lo
+        if runs and lo <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(stop, runs[-1][1]))
         else:
-            removed += max(0, stop - at)
-        at = max(at, stop)
-    return b"".join([*kept, data[at:]]), removed, runs
+            runs.append((lo, stop))
+    edges = [0, *(x for run in runs for x in run), len(data)]
+    return b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)), runs
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text), removal done.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and text of every row of ``docs`` (doc_id, text), removal done.
 
-    Null texts count as empty. Rows that repeat count for one another: all their bytes go if they have ``length`` or
+    spans: the maximal removed runs, as struct(start, stop) in bytes of the text. text: what is left; the digest is of its
+    bytes, of which a cut inside a character drops that character's remains from the text. Null texts count as empty. Rows that repeat count for one another: all their bytes go if they have ``length`` or
     more. Other columns are ignored, an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                data = unpack(text.as_py())
-                kept, gone, runs = cut_spans(data, [(s["lo"], s["stop"]) for s in spans.as_py() or ()])
-                rows.append((len(data), gone, runs, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                rows = []
+                for text, spans in zip(part.column(1), part.column(2), strict=True):
+                    data = unpack(text.as_py())
+                    kept, gone = cut_spans(data, [(s["lo"], s["stop"]) for s in spans.as_py() or ()])
+                    rows.append((len(data), sum(z - a for a, z in gone), len(gone), hashlib.sha256(kept).hexdigest(), [{"start": a, "stop": z} for a, z in gone], kept.decode("utf-8", "ignore")))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], kind_of_spans), pa.array(cols[5], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"])
+
+    kind_of_spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(_pass(docs.select("doc_id", "text"), length, gram).select("doc_id", "text", "_spans"), run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return map_batches(_pass(docs.select("doc_id", "text"), length, gram).select("doc_id", "text", "_spans"), run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, text string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -105,6 +105,57 @@ def test_mixing_covers_all_and_is_calibrated(spark, docs, texts):
     assert kept == {i for i, r in got.items() if r.sampled}
 
 
+def test_expected_marginals_meet_what_is_feasible(spark):
+    docs = table(spark, SF.replace("0.001", "0.01"), "documents")
+    got = mixing.marginals(docs).collect()
+    assert {r.dim for r in got} == set(mixing.DIMS) and all(abs(r.expected / r.feasible - 1) <= 0.01 for r in got)
+    for d in mixing.DIMS:
+        own = [r for r in got if r.dim == d]
+        assert sum(r.feasible for r in own) == pytest.approx(1) and sum(r.wanted for r in own) == pytest.approx(1)
+
+
+def plain_raking(cells, targets, budget, rounds=3_000):
+    """The weights by the same factors in plain loops, from (source, lang, topic, tokens)."""
+    total = sum(c[3] for c in cells)
+    u, cap = [c[3] / total for c in cells], [c[3] / (budget * total) for c in cells]
+    for _ in range(rounds):
+        for d in range(3):
+            for value, t in targets[d].items():
+                own = [i for i, c in enumerate(cells) if c[d] == value]
+                full = sum(cap[i] for i in own if u[i] >= cap[i])
+                open_ = sum(u[i] for i in own if u[i] < cap[i])
+                f = (t - full) / open_ if open_ and t > full else 1.0 if t >= full + open_ else t / (full + open_)
+                for i in own:
+                    u[i] *= f
+    return {c[:3]: min(x, y) for c, x, y in zip(cells, u, cap, strict=True)}
+
+
+def test_bounded_raking_against_plain_loops(spark):
+    rng = random.Random(8)
+    cells = [(s, g, t, rng.choice([20, 100, 900])) for s in "abc" for g in ("en", "de") for t in "pq"]
+    schema = "_source string, _lang string, _topic string, _tokens bigint"
+    total = sum(c[3] for c in cells)
+    share = lambda d, v: sum(c[3] for c in cells if c[d] == v) / total
+    wanted = [{v: share(d, v) ** 0.5 for v in sorted({c[d] for c in cells})} for d in range(3)]
+    frames = {n: spark.createDataFrame([(v, w) for v, w in wanted[d].items()], f"_{n} string, _t double") for d, n in enumerate(mixing.DIMS)}
+    fitted, asked = mixing.fit(spark.createDataFrame(cells, schema), 0.6, frames)
+    feasible = [{r[0]: r["_t"] for r in asked[n].collect()} for n in mixing.DIMS]
+    for d in range(3):
+        z = sum(wanted[d].values())
+        assert all(feasible[d][v] <= 0.95 * share(d, v) / 0.6 + 1e-9 for v in wanted[d])
+        open_ = [v for v in wanted[d] if feasible[d][v] < 0.95 * share(d, v) / 0.6 - 1e-9]
+        assert len({round(feasible[d][v] / wanted[d][v] * z, 9) for v in open_}) <= 1
+    plain = plain_raking(cells, feasible, 0.6)
+    got = {(r._source, r._lang, r._topic): r._weight for r in fitted.collect()}
+    assert got == pytest.approx(plain, abs=2e-4) and any(abs(plain[c[:3]] - c[3] / (0.6 * total)) < 1e-9 for c in cells)
+
+
+def test_topics(spark):
+    texts = {"prose": "plain words that run on and on " * 9, "legal": "copyright 2020, licence, no warranty and no liability", "contact": "write to a.b@c.org or call +44 20 7946 0958", "tabular": "a | b | c | d | e", "numeric": "12 13.5 99% 4,000 7 8 9", "code": "if (a == b) { run(); } else { stop(); }", "promotion": "BUY NOW!! subscribe!! free!!"}
+    df = spark.createDataFrame(list(texts.items()), "t string, text string")
+    assert {r.t: r.x for r in df.select("t", mixing.topic_of(F.col("text")).alias("x")).collect()} == {t: t for t in texts}
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -236,9 +287,9 @@ def test_block_sort_against_counts(letters, length):
     assert (suffixes.repeated(data, at, np.zeros(len(at), dtype=np.int64), length) == want).all()
 
 
-@pytest.mark.parametrize("hot", [2_000, 1])
-def test_passages_against_brute_force(spark, docs, texts, monkeypatch, hot):
-    monkeypatch.setattr(passages, "HOT", hot)
+@pytest.mark.parametrize("most", [2_000, 6, 1])
+def test_passages_against_brute_force(spark, docs, texts, monkeypatch, most):
+    monkeypatch.setattr(passages, "MOST", most)  # so few, and every bucket with different fragments is cut finer
     shared = "".join(chr(97 + random.Random(5).randrange(26) * (i * i % 7 + 1) % 26) for i in range(700))
     more = [(1000 + i, f"start {i} " + shared + f" end {i}") for i in range(5)] + [(1010, "line again\n" * 200), (1011, shared[:399]), (1012, "é" * 400), (1013, None)]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
@@ -249,6 +300,36 @@ def test_passages_against_brute_force(spark, docs, texts, monkeypatch, hot):
     assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in ids] == want
 
 
+def test_a_bucket_of_thousands_of_kinds(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared = word(640)  # in every text, between different ends: its anchors' buckets hold a kind for each text
+    texts_ = [word(rng.randrange(40, 200)) + shared[: rng.randrange(420, 641)] + word(rng.randrange(40, 200)) for _ in range(2_600)]
+    got = rows(passages.removed(spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")))
+    want = brute_spans([t.encode() for t in texts_], 400)
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts_))] == want
+    for i, t in enumerate(texts_):
+        assert got[i].n_removed >= 420 and got[i].text == "".join(t[a:z] for a, z in zip([0, *[s.stop for s in got[i].spans]], [*[s.start for s in got[i].spans], len(t)], strict=True))
+
+
+def test_long_texts_are_hashed_in_pieces(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    part = word(3_000)
+    texts_ = [word(9_000) + part + word(4_000), part[500:] + word(100), word(5_000), part + part]
+    monkeypatch.setattr(passages, "SLICE", 1_024)
+    data = np.frombuffer(texts_[0].encode(), dtype=np.uint8)
+    cut = [(int(c[0]), int(c[-1]), b) for _, c, b in passages._slices(np.array([0, len(data)]), 400)]
+    starts = [i for a, z, _ in cut for i in range(a, z - 399)]
+    assert starts == list(range(len(data) - 399)) and len(cut) > 10
+    frags = []
+    for a, z, begin in cut:  # the fragments' windows, put together, are those of the whole text
+        _, g, lo, hi, m = passages.window_anchors(data[a:z], np.array([0, z - a]), 400, 64)
+        frags += [(int(x) + k + begin, int(h), int(y) + begin) for h, x, last, y in zip(g, lo, hi, m, strict=True) for k in range(int(last - x) + 1)]
+    _, g, lo, hi, m = passages.window_anchors(data, np.array([0, len(data)]), 400, 64)
+    assert frags == [(int(x) + k, int(h), int(y)) for h, x, last, y in zip(g, lo, hi, m, strict=True) for k in range(int(last - x) + 1)]
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -375,10 +456,31 @@ def test_shards(spark, docs, texts, odd):
     assert sharding.shard_documents(odd).count() == 11 and sharding.shard_documents(odd.limit(0)).count() == 0
 
 
-def test_shards_are_written(spark, docs, tmp_path):
-    sharding.write_shards(docs, sharding.shard_documents(docs), str(tmp_path / "s"))
+def test_shards_are_written(spark, docs, odd, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 8
+    sharding.write_shards(odd, str(tmp_path / "odd"), n_shards=3)  # repeated and null ids, clashing names
+    own = lambda df: sorted((tuple(r) for r in df.select(odd.columns).collect()), key=repr)
+    assert own(spark.read.parquet(str(tmp_path / "odd"))) == own(odd)
+
+
+def test_copies_are_neighbours(spark, docs):
+    rows_ = [(i, "the same text", "en", "a", 1) for i in range(700)] + [(None, "the same text", "en", "a", 1)] * 200 + [(10_000 + i, f"text {i % 37}", "en", "a", 1) for i in range(400)]
+    got = sharding.shard_documents(spark.createDataFrame(rows_, DOC)).collect()
+    assert len(got) == 1_300 and Counter(Counter(r.shard for r in got).values()) == {163: 4, 162: 4}
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    runs = [(r.curve, r.text_crc32) for k, r in enumerate(order) if not k or (r.curve, r.text_crc32) != (order[k - 1].curve, order[k - 1].text_crc32)]
+    assert len(runs) == len(set(runs)) == 38
+    assert [r.slot for r in order if r.shard == 3] == list(range(sum(r.shard == 3 for r in order)))
+
+
+def test_names_keep_their_own_coordinate(spark):
+    names = spark.createDataFrame([(f"n{i:03}",) for i in range(100)] + [(None,)] * 50 + [("n001",)] * 50, "s string")
+    for bits, most in ((5, 32), (7, 101)):
+        cuts = sharding.name_cuts(names, "s", bits)
+        got = names.distinct().select("s", sharding.name_coordinate(F.col("s"), cuts).alias("c")).orderBy(F.col("s").asc_nulls_first()).collect()
+        assert [r.c for r in got] == sorted(r.c for r in got) and len({r.c for r in got}) == most == len(cuts)
 
 
 # 10 -----------------------------------------------------------------------------------------------------------------
