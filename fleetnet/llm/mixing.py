@@ -3,42 +3,54 @@
 Token counts are aggregated to (source, lang, topic) cells; the cells' weights are raked until their source, language
 and topic marginals meet the targets; a document's inclusion probability is its cell's weight over its cell's tokens,
 scaled so that the expected number of tokens meets the budget, and a hash of its id decides.
+
+No document can be taken more than once, so a cell can't weigh more than all its tokens. That bound is part of the fit:
+targets that ask for more than nearly all tokens of a value are lowered to what there is and the rest goes to the other
+values, in proportion; and the raking scales only weights below their bound.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetnet.llm.common import WORD, cut, unit
+from fleetnet.llm.common import WORD, cut, let, stored, unit
 
 DIMS = ("source", "lang", "topic")
 #: Exponents that flatten the observed shares into the targets; under 1 favours the small.
 FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 0.7}
-#: Share of the tokens that the sample is to hold.
-BUDGET = 0.6
-TOLERANCE, ROUNDS = 1e-6, 60
+#: Share of the tokens that the sample is to hold, and of a value's tokens that may be asked for.
+BUDGET, MOST = 0.6, 0.95
+TOLERANCE, ROUNDS, ACCEPTED = 1e-5, 100, 5e-3
 #: Up to so many cells (about 100 bytes each) they are broadcast to the documents; beyond, both sides are shuffled.
 BROADCAST_CELLS = 100_000
 
+#: Topics: marks of each, and the share of a text's words at which it outweighs running prose.
+MARKS = {
+    "legal": (r"(?i)\b(?:licen[cs]e[ds]?|copyright|warrant(?:y|ies)|liabilit(?:y|ies)|all rights reserved|permission is)\b", 0.004),
+    "contact": (r"[\w.+-]@[\w-]+\.\w|https?://|\+\d[\d ()-]{7}|\b\d{3}[-.]\d{3,4}[-.]\d{4}\b", 0.01),
+    "tabular": (r" \| |\t|;[^\n;]*;[^\n;]*;", 0.05),
+    "code": (r"\(\)|[{}]|[=!<>]=|->|::|</\w", 0.03),
+    "numeric": (r"(?<![\w.])[-+$€]?\d[\d.,:%/-]*(?![\w])", 0.15),
+    "promotion": (r"!!|(?i)\b(?:click here|buy now|free|subscribe|discount)\b", 0.04),
+}
+
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic by the first rule whose pattern occurs anywhere in the text."""
-    return (
-        F.when(text.rlike(r"(?i)licen[sc]e|copyright"), "legal")
-        .when(text.rlike(r"[\w.+-]@[\w-]+\.|\+\d[\d ()-]{7}"), "contact")
-        .when(text.rlike(r" \| "), "tabular")
-        .otherwise("prose")
-    )
+    """The topic whose marks are densest in the whole text, each in terms of its own threshold; prose if none reaches it."""
+    words = F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1))
+    scores = F.array(*[F.struct((F.regexp_count(text, F.lit(mark)) / words / least).alias("s"), F.lit(name).alias("t")) for name, (mark, least) in MARKS.items()])
+    return let(F.array_max(scores), lambda best: F.when(best["s"] >= 1, best["t"]).otherwise("prose"))
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
+def with_cells(docs: DataFrame, topic: Callable[[Column], Column] = topic_of) -> DataFrame:
     """``docs`` with _source, _lang, _topic (null: the empty name) and _tokens (words; null text: 0)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select("*", name("source").alias("_source"), name("lang").alias("_lang"), topic_of(text).alias("_topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_tokens"))
+    return docs.select("*", name("source").alias("_source"), name("lang").alias("_lang"), F.coalesce(topic(text), F.lit("")).alias("_topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_tokens"))
 
 
 def flattened_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
@@ -47,39 +59,71 @@ def flattened_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.crossJoin(sums.agg(F.sum("_t").alias("_z"))).select(f"_{dim}", (F.col("_t") / F.col("_z")).alias("_t"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+def feasible_targets(cells: DataFrame, dim: str, targets: DataFrame, budget: float) -> DataFrame:
+    """(_dim, _wanted, _t): the target shares (_dim, _t) of values that have tokens, rescaled to 1, and what of them there is.
+
+    A value gives at most MOST of its tokens (more where the budget is near all of them); what it can't give is asked of the
+    others in proportion to their targets, until no other reaches its own bound.
+    """
+    most = max(MOST, (1 + budget) / 2)
+    have = cells.filter("_tokens > 0").groupBy(f"_{dim}").agg(F.sum("_tokens").alias("_have"))
+    rows = targets.select(f"_{dim}", F.col("_t").alias("_wanted")).join(have, f"_{dim}")
+    sums = rows.agg(F.sum("_wanted").alias("w"), F.sum("_have").alias("h")).first()
+    if not sums["w"]:
+        return rows.select(f"_{dim}", "_wanted", F.lit(0.0).alias("_t"))
+    rows = cut(rows.withColumns({"_wanted": F.col("_wanted") / sums["w"], "_bound": F.col("_have") * (most / (budget * sums["h"]))}))
+    scale = 1.0
+    for _ in range(100):
+        full = F.col("_wanted") * scale >= F.col("_bound")
+        got = rows.agg(F.sum(F.when(full, F.col("_bound")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("_wanted"))).alias("open")).first()
+        new = (1 - got["full"]) / got["open"] if got["open"] else scale
+        if new <= scale * (1 + 1e-12):
+            break
+        scale = new
+    return rows.select(f"_{dim}", "_wanted", F.least(F.col("_wanted") * scale, F.col("_bound")).alias("_t"))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float | None = None, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """Fit ``_w`` of cells (_source, _lang, _topic, _tokens) to target shares (_dim, _t) of each dimension.
 
-    Each half-step multiplies a dimension's cells by target over sum. A value without a target, or with no tokens,
-    weighs nothing; targets are rescaled to what has tokens. Ends when all factors of a round are within ``tolerance``
-    of 1; where the targets can't be met together (empty cells), warns once five rounds bring nothing, or after
-    ``rounds``, and gives the last weights.
+    Each half-step multiplies a dimension's cells by one factor for each value, so that its sum meets the target; with a
+    ``budget`` a cell's weight is its product or, if that is less, its bound, all its tokens in shares of the budget, and
+    the factor is that of the cells below their bounds. A value without a target, or with no tokens, weighs nothing;
+    targets are rescaled to what has tokens. Ends when all sums of a round are within ``tolerance`` of their targets; where
+    they can't be met together, stops after ``rounds``, or once ten rounds bring nothing, warns if a sum is over ACCEPTED off,
+    and gives the last weights.
     """
-    state = cells.filter("_tokens > 0").withColumn("_w", F.col("_tokens").cast("double"))
+    total = cells.agg(F.sum("_tokens")).first()[0] or 0
+    state = cells.filter("_tokens > 0").withColumn("_u", F.col("_tokens") / F.lit(float(total or 1)))
+    state = state.withColumn("_cap", F.col("_tokens") / F.lit(budget * total) if budget else F.lit(float("inf")))
     for dim in DIMS:
         state = state.join(targets[dim].select(f"_{dim}", F.col("_t").alias(f"_t_{dim}")), f"_{dim}")
     state = cut(state)
     for dim in DIMS:  # shares of values that have no cell go to the others
-        total = state.groupBy(f"_{dim}").agg(F.first(f"_t_{dim}").alias("_t")).agg(F.sum("_t")).first()[0]
-        state = state.withColumn(f"_t_{dim}", F.col(f"_t_{dim}") / (total or 1.0))
+        there = state.groupBy(f"_{dim}").agg(F.first(f"_t_{dim}").alias("_t")).agg(F.sum("_t")).first()[0]
+        state = state.withColumn(f"_t_{dim}", F.col(f"_t_{dim}") / (there or 1.0))
+    weight, full = F.least(F.col("_u"), F.col("_cap")), F.col("_u") >= F.col("_cap")
     best, idle = float("inf"), 0
     for _ in range(rounds):
         off = F.lit(0.0)
         for dim in DIMS:
-            sums = state.groupBy(f"_{dim}").agg(F.sum("_w").alias("_sum"))
-            state = state.join(sums, f"_{dim}").withColumn("_factor", F.when(F.col("_sum") > 0, F.col(f"_t_{dim}") / F.col("_sum")).otherwise(0.0))
-            state = state.withColumn("_w", F.col("_w") * F.col("_factor")).withColumn(f"_off_{dim}", F.abs(F.col("_factor") - 1)).drop("_sum", "_factor")
+            sums = state.groupBy(f"_{dim}").agg(F.sum(F.when(full, F.col("_cap")).otherwise(0.0)).alias("_full"), F.sum(F.when(full, 0.0).otherwise(F.col("_u"))).alias("_open"))
+            t, whole = F.col(f"_t_{dim}"), F.col("_full") + F.col("_open")
+            factor = F.when((F.col("_open") > 0) & (t > F.col("_full")), (t - F.col("_full")) / F.col("_open")).when(t >= whole, 1.0).otherwise(t / whole)
+            state = state.join(sums, f"_{dim}").withColumns({"_u": F.col("_u") * factor, f"_off_{dim}": F.when(t > 0, F.abs(whole / t - 1)).otherwise(0.0)}).drop("_full", "_open")
             off = F.greatest(off, F.col(f"_off_{dim}"))
         state = cut(state.withColumn("_off", off).drop(*[f"_off_{d}" for d in DIMS]))
         worst = state.agg(F.max("_off")).first()[0]
         state = state.drop("_off")
         if worst is None or worst <= tolerance:
-            return state
+            break
         best, idle = (worst, 0) if worst < 0.99 * best else (best, idle + 1)
-        if idle == 5:
+        if idle == 10:
+            worst = best
             break
-    warnings.warn(f"raking stopped {worst:.2g} off", stacklevel=2)
-    return state
+    if worst is not None and worst > max(tolerance, ACCEPTED):
+        warnings.warn(f"raking stopped {worst:.2g} off", stacklevel=2)
+    return state.withColumn("_w", weight).drop("_u", "_cap")
 
 
 def calibrate(fitted: DataFrame, budget: float) -> DataFrame:
@@ -102,25 +146,54 @@ def calibrate(fitted: DataFrame, budget: float) -> DataFrame:
     return fitted.withColumn("_p", F.least(F.lit(1.0), ratio * F.lit(c)))
 
 
-def mixed(docs: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None, seed: int = 17) -> DataFrame:
-    """``docs`` with _tokens, _topic, _weight, _p and _kept, one row for each row of ``docs``.
+def fit(cells: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(cells with _weight and _p, {dim: feasible_targets}) for a table of cells."""
+    wanted = targets or {d: flattened_targets(cells, d, FLATTEN[d]) for d in DIMS}
+    asked = {d: cut(feasible_targets(cells, d, wanted[d], budget)) for d in DIMS}
+    fitted = calibrate(rake(cells, asked, budget), budget)
+    return cut(fitted.select("_source", "_lang", "_topic", "_tokens", F.col("_w").alias("_weight"), "_p")), asked
 
-    Documents without a word are in no cell: _weight 0, _p 0, not kept. Ids that repeat share a decision; null ids
-    hash as null. Extra columns stay; names that start with an underscore are ours.
-    """
-    rows = with_cells(docs.select([F.col(c) for c in docs.columns if not c.startswith("_")]))
-    cells = cut(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_tokens")))
-    targets = targets or {d: flattened_targets(cells, d, FLATTEN[d]) for d in DIMS}
-    fitted = cut(calibrate(rake(cells, targets), budget).select("_source", "_lang", "_topic", F.col("_w").alias("_weight"), "_p"))
+
+def _cells(rows: DataFrame) -> DataFrame:
+    return cut(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_tokens")))
+
+
+def marginals(docs: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None, topic: Callable[[Column], Column] = topic_of) -> DataFrame:
+    """(dim, value, wanted, feasible, expected): each value's target share, what of it there is, and its expected share of
+    the sample's tokens."""
+    fitted, asked = fit(_cells(with_cells(docs.select("doc_id", "text", "lang", "source"), topic)), budget, targets)
+    total = fitted.agg(F.sum(F.col("_p") * F.col("_tokens"))).first()[0] or 1.0
+    one = lambda d: fitted.groupBy(f"_{d}").agg((F.sum(F.col("_p") * F.col("_tokens")) / total).alias("expected")).join(asked[d], f"_{d}").select(F.lit(d).alias("dim"), F.col(f"_{d}").alias("value"), F.col("_wanted").alias("wanted"), F.col("_t").alias("feasible"), "expected")
+    return one("source").unionByName(one("lang")).unionByName(one("topic"))
+
+
+def _decided(rows: DataFrame, budget: float, targets: dict[str, DataFrame] | None, seed: int) -> DataFrame:
+    """``rows`` (see with_cells) with _weight, _p and _kept."""
+    fitted, _ = fit(_cells(rows), budget, targets)
+    fitted = fitted.drop("_tokens")
     few = fitted.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     out = rows.join(F.broadcast(fitted) if few else fitted, ["_source", "_lang", "_topic"], "left")
     p = F.when(F.col("_tokens") > 0, F.coalesce("_p", F.lit(0.0))).otherwise(0.0)
     return out.withColumns({"_weight": F.coalesce("_weight", F.lit(0.0)), "_p": p, "_kept": unit(F.lit(seed), F.col("doc_id")) < p})
 
 
-def mixture(docs: DataFrame, budget: float = BUDGET, seed: int = 17) -> DataFrame:
-    """The decision for each document: doc_id, source, lang, topic, tokens, cell_weight, probability, sampled."""
-    out = mixed(docs.select("doc_id", "text", "lang", "source"), budget, seed=seed)
+def mixed(docs: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None, seed: int = 17, topic: Callable[[Column], Column] = topic_of) -> DataFrame:
+    """``docs`` with _tokens, _topic, _weight, _p and _kept, one row for each row of ``docs``.
+
+    Documents without a word are in no cell: _weight 0, _p 0, not kept. Ids that repeat share a decision; null ids
+    hash as null. Extra columns stay; names that start with an underscore are ours. Texts are read twice, for the cells and
+    for the rows, so that whole texts are neither stored nor shuffled.
+    """
+    return _decided(with_cells(docs.select([F.col(c) for c in docs.columns if not c.startswith("_")]), topic), budget, targets, seed)
+
+
+def mixture(docs: DataFrame, budget: float = BUDGET, seed: int = 17, targets: dict[str, DataFrame] | None = None, topic: Callable[[Column], Column] = topic_of) -> DataFrame:
+    """The decision for each document: doc_id, source, lang, topic, tokens, cell_weight, probability, sampled.
+
+    Rows as in ``mixed``; texts are read once, what is left of them is stored.
+    """
+    rows = stored(with_cells(docs.select("doc_id", "text", "lang", "source"), topic).select("doc_id", "_source", "_lang", "_topic", "_tokens"))
+    out = _decided(rows, budget, targets, seed)
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_weight").alias("cell_weight"), F.col("_p").alias("probability"), F.col("_kept").alias("sampled"))
 
 
