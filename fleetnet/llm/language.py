@@ -20,15 +20,17 @@ from pyspark.sql import functions as F
 
 from fleetnet.llm.common import cut, let, map_batches, stored, unit
 
-#: Bound of the sample of labelled texts that the text model is fitted on.
-TRAIN_ROWS = 4000
+#: Bound of each language's sample of labelled texts that the text model is fitted on.
+ROWS_PER_LANGUAGE = 1000
 BUCKETS = 1 << 14
 #: A text's evidence saturates at this many trigrams' worth.
 TEXT_WEIGHT = 200.0
 #: Items' worth of the level above in a host's, domain's or suffix's prior.
 SMOOTHING = 5.0
-#: Languages of the training sample that are told apart, most frequent first.
-MAX_LANGUAGES = 64
+#: Languages that are told apart, those with most labelled rows; texts of all further ones are learnt together as OTHER.
+MAX_LANGUAGES, OTHER = 128, "other"
+#: Address suffixes, and hosts, up to which their tables are broadcast; beyond, they are shuffled.
+BROADCAST_ROWS = 100_000
 
 _DROP = re.compile(r"(?is)<(script|style|nav|footer|aside|head|noscript)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>")
 _TAG = re.compile(r"(?s)<[^>]*>")
@@ -60,12 +62,18 @@ class TextModel:
         return total * (TEXT_WEIGHT / (TEXT_WEIGHT + len(codes)))
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
-    """Fit on about ``rows`` of the labelled texts (doc_id, text, lang), chosen by a hash of their id; only trigram
-    counts reach the driver, at most MAX_LANGUAGES * BUCKETS."""
+def train(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, most: int = MAX_LANGUAGES) -> TextModel:
+    """Fit on about ``rows`` texts of each language of ``labelled`` (doc_id, text, lang), chosen by a hash of their id and
+    text, so a rare language is learnt as well as a frequent one; beyond ``most`` languages the least frequent are one,
+    OTHER. Only trigram counts reach the driver, at most (most + 1) * BUCKETS."""
     marked = labelled.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
-    n = marked.count()
-    chosen = marked.filter(unit(F.lit(3), F.col("doc_id")) < rows / max(n, 1)).select("lang", "text")
+    sizes = cut(marked.groupBy("lang").agg(F.count("*").alias("n")))
+    named = [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(most).collect()]
+    own = F.when(F.col("lang").isin(named), F.col("lang")).otherwise(OTHER) if named else F.col("lang")
+    marked = marked.withColumn("lang", own)
+    rates = {r["lang"]: rows / r["n"] for r in sizes.withColumn("lang", own).groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # most + 1 rows
+    rate = F.element_at(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]), F.col("lang")) if rates else F.lit(0.0)
+    chosen = marked.filter(unit(F.lit(3), F.col("doc_id"), F.xxhash64("text")) < rate).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -76,12 +84,11 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    sums = cut(map_batches(chosen, run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    top = sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
-    found = sums.join(F.broadcast(top), "lang", "left_semi").toPandas()
-    languages = sorted(found["lang"].unique())
+    found = map_batches(chosen, run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(rates)
     counts = np.zeros((len(languages), BUCKETS))
-    counts[[languages.index(x) for x in found["lang"]], found["bucket"].to_numpy(int)] = found["n"].to_numpy()
+    if len(found):
+        counts[[languages.index(x) for x in found["lang"]], found["bucket"].to_numpy(int)] = found["n"].to_numpy()
     return TextModel(languages, counts)
 
 
@@ -113,7 +120,7 @@ def identify(items: DataFrame, model: TextModel) -> DataFrame:
 
     Returns id, is_page, host, declared, text_lang, lang, posterior and evidence (posteriors by language). Rows whose
     content is null or empty go by their other evidence; unknown declarations count as one value, missing ones as none;
-    rows without an address share the corpus's prior. Without any language (no labelled text) lang is null. Repeated
+    rows without an address share the corpus's prior. Columns of other names are ignored. Without any language (no labelled text) lang is null. Repeated
     rows count and come out each; an empty table gives an empty result.
     """
     spark, languages = items.sparkSession, model.languages
@@ -132,25 +139,28 @@ def identify(items: DataFrame, model: TextModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, flat, *rest], names=["id", "_text", "is_page", "declared", "_host", "_domain", "_suffix"])
 
     rows = map_batches(items.select("id", "content", "is_page", "declared", *address(F.col("url"))), run, f"id {kinds['id']}, _text array<double>, is_page boolean, declared string, _host string, _domain string, _suffix string")
-    rows = stored(rows.withColumn("_post", _softmax(F.col("_text"))).withColumn("_said", F.when(F.col("declared").isin("", *languages), F.col("declared")).otherwise("other")))
+    rows = stored(rows.withColumn("_post", _softmax(F.col("_text"))).withColumn("_said", F.when(F.col("declared").isNull(), "").when(F.col("declared").isin("", *languages), F.col("declared")).otherwise(OTHER)))
     sums = [F.sum(F.get("_post", F.lit(i))) for i in range(n)]
     vector = F.array(*sums)
 
-    said = rows.filter("_said <> ''").groupBy("_said").agg(vector.alias("_c"))  # at most a row for each language and "other"
+    said = rows.filter("_said <> ''").groupBy("_said").agg(vector.alias("_c"))  # at most a row for each language and OTHER
     heard = {r["_said"]: r["_c"] for r in said.collect()}
-    table = np.array([heard.get(x, [0.0] * n) for x in [*languages, "other"]]) + 0.5
+    values = list(dict.fromkeys([*languages, OTHER]))
+    table = np.array([heard.get(x, [0.0] * n) for x in values]) + 0.5
     chance = np.log(table / table.sum(axis=0))
-    literal = F.map_from_arrays(F.array(*map(F.lit, ["", *languages, "other"])), F.array(*[F.array(*map(F.lit, row)) for row in [[0.0] * n, *chance.tolist()]]))
+    literal = F.map_from_arrays(F.array(*map(F.lit, ["", *values])), F.array(*[F.array(*map(F.lit, row)) for row in [[0.0] * n, *chance.tolist()]]))
 
     overall = rows.agg(vector.alias("_c")).first()["_c"]
     base = np.array([x or 0.0 for x in overall]) + 1.0
     top = F.array(*map(F.lit, (base / base.sum()).tolist()))
-    hosts = rows.filter("_host <> ''").groupBy("_host", "_domain", "_suffix").agg(vector.alias("_h"))
-    domains = hosts.groupBy("_domain").agg(F.array(*[F.sum(F.get("_h", F.lit(i))) for i in range(n)]).alias("_d"))
-    suffixes = hosts.groupBy("_suffix").agg(F.array(*[F.sum(F.get("_h", F.lit(i))) for i in range(n)]).alias("_s"))
-    priors = stored(hosts.join(domains, "_domain").join(suffixes, "_suffix").select(F.col("_host").alias("_at"), "_h", "_d", "_s"))
-
-    joined = rows.join(priors, F.col("_host") == F.col("_at"), "left")
+    hosts = stored(rows.filter("_host <> ''").groupBy("_host", "_domain", "_suffix").agg(vector.alias("_h")))
+    up = lambda key, name: hosts.groupBy(key).agg(F.array(*[F.sum(F.get("_h", F.lit(i))) for i in range(n)]).alias(name))
+    priors = stored(hosts.join(_small(up("_domain", "_d")), "_domain").join(_small(up("_suffix", "_s")), "_suffix").select(F.col("_host").alias("_at"), "_h", "_d", "_s"))
+
+    # Rows without a host meet no prior but the corpus's, so they don't go through the join, where they would be one key.
+    with_host = rows.filter("_host <> ''").join(_small(priors), F.col("_host") == F.col("_at"))
+    none = F.lit(None).cast("array<double>")
+    joined = with_host.drop("_at").unionByName(rows.filter("_host = ''").withColumns({"_h": none, "_d": none, "_s": none}))
     prior = F.when(F.col("_h").isNull(), top).otherwise(let(_mixed(F.col("_s"), F.col("_post"), top), lambda s: let(_mixed(F.col("_d"), F.col("_post"), s), lambda d: _mixed(F.col("_h"), F.col("_post"), d))))
     logs = F.zip_with(F.zip_with(F.col("_text"), F.element_at(literal, F.col("_said")), lambda a, b: a + b), F.transform(prior, lambda p: F.log(p + 1e-12)), lambda a, b: a + b)
     out = joined.withColumn("evidence", _softmax(logs))
@@ -159,6 +169,12 @@ def identify(items: DataFrame, model: TextModel) -> DataFrame:
     return out.select("id", "is_page", F.col("_host").alias("host"), "declared", best(F.col("_post")).alias("text_lang"), best(F.col("evidence")).alias("lang"), F.array_max("evidence").alias("posterior"), "evidence")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A table, to be broadcast if it has few rows; they are counted first."""
+    table = stored(table)
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def corpus_items(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """Pages with all their evidence, and documents, which have their text only, as items."""
     web = pages.select(F.col("page_id").cast("bigint").alias("id"), F.col("html").alias("content"), "url", declared_language(F.coalesce(F.col("html"), F.lit(""))).alias("declared"), F.lit(True).alias("is_page"))
