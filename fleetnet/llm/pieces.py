@@ -6,13 +6,18 @@ for each distinct block of a batch, all blocks side by side, one character posit
 every occurrence is drawn backwards. The random number at a position is a hash of the seed, the row's key and the
 position, so a row's segmentation depends on nothing but its key, its text and the model.
 
+A merge model only ranks its pieces. Their probabilities are then estimated from the corpus by expectation-maximisation
+over the same lattices, once for each distinct block with its number of occurrences in all documents; the vocabulary and
+the model file stay as they are. Expected counts are summed as whole numbers, so the estimate, and with it every
+segmentation, doesn't depend on how the rows are dealt.
+
 Characters without a piece fall back to their UTF-8 bytes, a literal U+2581 too, so decoding gives back every text.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
 
@@ -21,12 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetnet.llm.common import map_batches
+from fleetnet.llm.common import map_batches, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 42
-#: Characters of text that are encoded at a time; a longer text is encoded alone.
-BATCH_CHARS = 3_000_000
+#: Characters of text that are encoded at a time, and of distinct blocks that are weighed at a time; a longer text is
+#: encoded alone.
+BATCH_CHARS, ESTIMATED_CHARS = 3_000_000, 500_000
+
+#: Rounds of the estimate, characters of a block that are counted together (a longer one is counted in parts; it is encoded
+#: as a whole), the share of an expected occurrence that counts, and the occurrences that every piece has besides.
+EM_ROUNDS, COUNTED_CHARS, FINE, BESIDES = 2, 256, 1 << 12, 0.1
 
 _BLOCK = re.compile(r" +[^ ]*|[^ ]+")
 _FALLBACK = 65535
@@ -36,7 +46,7 @@ _NORMAL, _BYTE = 1, 6
 class Pieces:
     """The model's pieces as a trie over characters, their weights and their bytes."""
 
-    def __init__(self, model: str | bytes, alpha: float = 1.0) -> None:
+    def __init__(self, model: str | bytes, alpha: float = 1.0, log_weights: np.ndarray | None = None) -> None:
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -50,15 +60,22 @@ class Pieces:
                 self.bytes[i] = bytes([int(p.piece[1:-1], 16)])
         for i, piece, _ in named:
             self.bytes[i] = piece.encode()
-        #: A unigram model's scores are log-probabilities; a merge model's only rank the pieces, so Zipf's law stands in.
-        logs = {i: s for i, _, s in named} if proto.trainer_spec.model_type == 1 else {i: -np.log(r + 2.0) for r, (i, _, _) in enumerate(sorted(named, key=lambda x: -x[2]))}
-        low = min(logs.values())
-        self.weight = np.zeros(_FALLBACK + 1)
-        self.weight[list(logs)] = np.exp(alpha * np.array(list(logs.values())))
-        self.weight[_FALLBACK] = np.exp(alpha * (low - 10.0))
+        if len(proto.pieces) > _FALLBACK:
+            raise ValueError(f"{len(proto.pieces)} pieces are more than the {_FALLBACK} that fit in two bytes")
+        #: A unigram model's scores are log-probabilities; for a merge model, Zipf's law is where the estimate starts.
+        self.unigram = proto.trainer_spec.model_type == 1
+        logs = {i: s for i, _, s in named} if self.unigram else {i: -np.log(r + 2.0) for r, (i, _, _) in enumerate(sorted(named, key=lambda x: -x[2]))}
+        self.named = np.array(sorted(logs), dtype=np.int64)
+        self.weigh(np.array([logs[i] for i in self.named.tolist()]) if log_weights is None else log_weights, alpha)
         self.longest = max(len(p) for _, p, _ in named)
         self._trie([(p, i) for i, p, _ in named])
 
+    def weigh(self, logs: np.ndarray, alpha: float = 1.0) -> None:
+        """Set the weights of the pieces ``named`` to probabilities, in logarithms, to the power ``alpha``."""
+        self.weight = np.zeros(_FALLBACK + 1)
+        self.weight[self.named] = np.exp(alpha * logs)
+        self.weight[_FALLBACK] = np.exp(alpha * (logs.min() - 10.0))
+
     def _trie(self, named: list[tuple[str, int]]) -> None:
         chars = sorted({c for p, _ in named for c in p})
         self.char_class = np.zeros(0x110000, dtype=np.int32)
@@ -123,7 +140,7 @@ class Lattices:
         sizes = lengths[order]
         deepest = int(sizes[0]) if len(sizes) else 0
         reach = np.searchsorted(-sizes, -np.arange(deepest + 1), side="right")  # blocks of at least j characters
-        self.level = np.concatenate([[0], np.cumsum(reach)])
+        self.level = np.concatenate([[0], np.cumsum(reach)]).astype(np.int64)
         width = pieces.longest
         alphas: dict[int, np.ndarray] = {0: np.ones(len(blocks))}
         pending: dict[int, list] = defaultdict(list)
@@ -183,6 +200,29 @@ class Lattices:
         self.cum, self.span, self.id = join(cums, np.float32), join(spans, np.uint8), join(ids, np.uint16)
         self.last = np.append(self.first[1:], edges) - 1  # of a node's edges
 
+    def expected(self, times: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in all paths of blocks that occur ``times``, in whole FINE parts."""
+        deepest = len(self.level) - 2
+        there = np.zeros(self.level[-1] if len(self.level) else 0)
+        at = self.level[self.lengths] + self.rank
+        there[at[self.lengths > 0]] = 1.0  # a path is at its block's end for certain
+        counts = np.zeros(_FALLBACK + 1, dtype=np.int64)
+        often = np.empty(len(times), dtype=np.float64)
+        often[self.rank] = times
+        for j in range(deepest, 0, -1):
+            nodes = np.arange(self.level[j], self.level[j + 1])
+            a, z = int(self.first[nodes[0]]), int(self.last[nodes[-1]]) + 1
+            per = self.last[nodes] - self.first[nodes] + 1
+            own = np.repeat(np.arange(len(nodes)), per)
+            cum = self.cum[a:z].astype(np.float64)
+            share = np.diff(cum, prepend=0.0)
+            heads = self.first[nodes] - a
+            share[heads] = cum[heads]
+            share = np.maximum(share, 0.0) * there[nodes][own]
+            np.add.at(there, self.level[j - self.span[a:z].astype(np.int64)] + own, share)
+            np.add.at(counts, self.id[a:z], np.floor(share * often[own] * FINE + 0.5).astype(np.int64))
+        return counts
+
     def sample(self, block: np.ndarray, key: np.ndarray, at: np.ndarray, out: np.ndarray, offset: np.ndarray) -> None:
         """Draw a path for each occurrence: ``block`` its number, ``key`` its row's key, ``at`` its end in its text and
         ``offset`` in the batch. A drawn piece is written to ``out`` at the offset of its last character."""
@@ -214,10 +254,19 @@ def uniform(key: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
 
 
+def blocks_of(text: str) -> list[str]:
+    """The blocks of a text with the model's leading space."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return _BLOCK.findall(f" {text}")
+    return [f" {w}" for w in text.split(" ")]
+
+
 def encode(pieces: Pieces, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
     """The sampled piece ids of each text; an empty text has none. ``keys``: an unsigned 64-bit number for each."""
     number: dict[str, int] = defaultdict(count().__next__)
-    found = [[number[b] for b in _BLOCK.findall(f" {t}")] if t else [] for t in texts]
+    found = [[number[b] for b in blocks_of(t)] for t in texts]
     per = np.fromiter(map(len, found), np.int64, len(found))
     block = np.fromiter((b for row in found for b in row), np.int64, int(per.sum()))
     del found
@@ -256,32 +305,83 @@ def decode(pieces: Pieces, ids: list[int] | np.ndarray) -> str:
     return b"".join([table[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
 
 
-def row_keys(doc_ids: list, seed: int) -> np.ndarray:
-    """A key for each row of its id; null and non-integer ids by their text's hash."""
+def row_keys(doc_ids: list, seed: int, texts: list[str | None]) -> np.ndarray:
+    """A key for each row of its id; of a null id by its text."""
     import xxhash
 
-    return np.array([xxhash.xxh64_intdigest(str(d), seed) for d in doc_ids], dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(str(d), seed) if d is not None else digest((t or "").encode("utf-8", "surrogatepass"), seed + 1) for d, t in zip(doc_ids, texts, strict=True)], dtype=np.uint64)
+
+
+def block_counts(docs: DataFrame) -> DataFrame:
+    """(block, n): the distinct blocks of all texts and how often they occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                found = blocks_of(text or "")
+                if found and max(map(len, found)) > COUNTED_CHARS:
+                    found = [b[k : k + COUNTED_CHARS] for b in found for k in range(0, len(b), COUNTED_CHARS)]
+                seen.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["block", "n"])
+
+    return map_batches(docs.select("text"), run, "block string, n bigint").groupBy("block").agg(F.sum("n").alias("n"))
+
+
+def estimated(docs: DataFrame, blob: bytes, rounds: int = EM_ROUNDS) -> np.ndarray:
+    """Log-probabilities of the model's named pieces, from all texts of ``docs``; of a unigram model, its own.
+
+    Each round sends the weights, a number for each piece, to the tasks and gets as many sums back.
+    """
+    pieces = Pieces(blob)
+    logs = np.log(pieces.weight[pieces.named])
+    if pieces.unigram:
+        return logs
+    spark, blocks = docs.sparkSession, stored(block_counts(docs))
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((blob, logs))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, counts = Pieces(shared.value[0], log_weights=shared.value[1]), np.zeros(_FALLBACK + 1, dtype=np.int64)
+            for batch in batches:
+                texts = batch.column(0).to_pylist()
+                sizes = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+                for at, n in _runs(sizes // ESTIMATED_CHARS):
+                    counts += Lattices(own, texts[at : at + n]).expected(batch.column(1).to_numpy()[at : at + n])
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["piece", "n"])
+
+        sums = map_batches(blocks, run, "piece bigint, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()  # a row for each piece
+        counts = np.zeros(_FALLBACK + 1)
+        counts[sums["piece"].to_numpy(int)] = sums["n"].to_numpy() / FINE
+        counts = counts[pieces.named] + BESIDES
+        logs = np.log(counts / counts.sum())
+        shared.unpersist()
+    return logs
 
 
 def encoded(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float = 1.0) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, ids array<int>, n_pieces, lossless (decodes to the text).
 
-    Null texts have null ids, no pieces and are lossless; empty texts have no ids. Rows with equal id and text have equal
-    ids. Other columns are ignored, an empty table gives an empty result. The model file is read on the driver only.
+    Segmentations are drawn with the probabilities that ``estimated`` gives for ``docs``, to the power ``alpha``. Null
+    texts have null ids, no pieces and are lossless; empty texts have no ids. Rows with equal id and text have equal
+    ids; a row with a null id is keyed by its text. Other columns are ignored, an empty table gives an empty result. The
+    model file is read on the driver only.
     """
     spark = docs.sparkSession
-    blob = b"".join(r[0] for r in spark.read.format("binaryFile").load(model).select("content").collect()) if "://" in model else open(model, "rb").read()
-    shared = spark.sparkContext.broadcast(blob)
+    blob = _model(spark, model)
+    shared = spark.sparkContext.broadcast((blob, estimated(docs.select("text"), blob)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(shared.value, alpha)
+        pieces = Pieces(shared.value[0], alpha, shared.value[1])
         for batch in batches:
             sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)], dtype=np.int64)
             group = np.cumsum(sizes) // BATCH_CHARS
             for at, n in _runs(group):
                 part = batch.slice(at, n)
                 texts = part.column(1).to_pylist()
-                drawn = encode(pieces, [t or "" for t in texts], row_keys(part.column(0).to_pylist(), seed))
+                drawn = encode(pieces, [t or "" for t in texts], row_keys(part.column(0).to_pylist(), seed, texts))
                 same = [decode(pieces, x) == (t or "") for x, t in zip(drawn, texts, strict=True)]
                 ends = np.append(0, np.cumsum([len(x) for x in drawn])).astype(np.int32)
                 flat = np.concatenate(drawn).astype(np.int32) if drawn else np.zeros(0, dtype=np.int32)
@@ -292,6 +392,10 @@ def encoded(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>, n_pieces bigint, lossless boolean")
 
 
+def _model(spark, model: str) -> bytes:
+    return b"".join(r[0] for r in spark.read.format("binaryFile").load(model).select("content").collect()) if "://" in model else open(model, "rb").read()
+
+
 def _runs(group: np.ndarray) -> list[tuple[int, int]]:
     """(start, length) of each run of equal values."""
     edges = np.flatnonzero(np.diff(group)) + 1
@@ -301,7 +405,7 @@ def _runs(group: np.ndarray) -> list[tuple[int, int]]:
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and text of rows of doc_id and ids; null ids give a null text, no ids the empty text."""
-    shared = rows.sparkSession.sparkContext.broadcast(open(model, "rb").read())
+    shared = rows.sparkSession.sparkContext.broadcast(_model(rows.sparkSession, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value)
