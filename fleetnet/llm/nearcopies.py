@@ -1,13 +1,15 @@
-"""Near copies by exact shingle likeness: all pairs of texts whose sets of five-word shingles have a Jaccard likeness of
-4/5 or more, none left out.
-
-A SimHash of 64 bits can't find them: at likeness 0.8 two fingerprints differ in about ten bits, in some pairs in twice as
-many. Two sets of n and m shingles with likeness 4/5 or more share one of the first n // 5 + 1 and m // 5 + 1 in any
-order common to all sets (prefix filter). The order here is by the frequency in a sample of the texts, then by hash; the
-sample bears on the cost only. Candidates are verified on the whole sets.
-
-Texts with equal sets are one node. Large groups don't make all their pairs: first each key's members are verified
-against one of them, twice, and only pairs of nodes that aren't yet in one component are made after that.
+"""Near copies: texts whose sets of five-word shingles have a Jaccard likeness of 4/5 or more, no link lost.
+
+SimHash links come first: fingerprints of the same shingles, put together by deletion-variant signatures (see ``simhash``),
+propose pairs, which are verified on the whole sets. By themselves they can't find all: at likeness 0.8 two fingerprints of
+64 bits differ in about ten. So an exact completion follows. Two sets of n and m shingles with likeness 4/5 or more share
+one of the first n // 5 + 1 and m // 5 + 1 in any order common to all sets (prefix filter). The order here is by the
+frequency in a sample of the texts, then by hash; the sample bears on the cost only. Each shingle of these prefixes is a
+key, and what has no other text at any of its keys is never looked at again.
+
+Texts with equal sets are one node. Keys of two texts give that pair. Of keys with more, first the least and the greatest
+node meet, then all members one of them, in rounds; only pairs of nodes that aren't in one component by then are made. A
+key lies among the first fifth of a set's shingles, the frequent ones last, so texts that share one and are not near are few.
 """
 
 from __future__ import annotations
@@ -20,26 +22,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetnet.llm import simhash
 from fleetnet.llm.common import map_batches, stored
 from fleetnet.llm.graphs import components
-from fleetnet.llm.simhash import shingle_hashes
 
 SHINGLE_WORDS = 5
 #: One in SAMPLE texts is counted for the order; shingles of SEEN or more of them, at most about MOST_COMMON, go last.
-SAMPLE, SEEN, MOST_COMMON = 8, 3, 1 << 20
+SAMPLE, SEEN, MOST_COMMON = 32, 2, 1 << 20
 #: Rounds in which a key's members meet one of them only.
 STAR_ROUNDS = 2
-#: Keys of two or more nodes, counted first, that are broadcast; more are joined by an exchange.
-MOST_KEYS = 2_000_000
+#: Keys, and rows whose sets are asked for, that are broadcast if there are no more, counted first; else both sides are shuffled.
+MOST_KEYS, MOST_ROWS = 500_000, 500_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The sorted distinct shingle hashes, as signed integers."""
-    return np.unique(shingle_hashes(text, SHINGLE_WORDS).view(np.int64))
+    return np.unique(simhash.shingle_hashes(text, SHINGLE_WORDS).view(np.int64))
 
 
-def _node(shingles: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(shingles.tobytes())
+def _node(shingles: np.ndarray) -> int:
+    """A set's number: equal sets have equal ones."""
+    value = xxhash.xxh3_64_intdigest(shingles.tobytes())
+    return value - (1 << 64) if value >> 63 else value
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +70,8 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, text_hash, node, n, prefix) of every row: its set's digest and size, and the first n // 5 + 1 of its shingles."""
+    """(doc_id, text_hash, node, fp, n, prefix) of every row: its set's number, SimHash and size, and the first n // 5 + 1
+    of its shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def first(s: np.ndarray) -> np.ndarray:
@@ -79,12 +84,18 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(2)]
-            columns = [pa.array([_node(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([first(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "node", "n", "prefix"])
+            hashes = [simhash.shingle_hashes(t.as_py(), SHINGLE_WORDS) for t in batch.column(2)]
+            sets = [np.unique(h.view(np.int64)) for h in hashes]
+            columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([simhash.bits_of(h) for h in hashes], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([first(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "node", "fp", "n", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, f"doc_id {kind}, text_hash bigint, node binary, n int, prefix array<bigint>")
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, f"doc_id {kind}, text_hash bigint, node bigint, fp bigint, n int, prefix array<bigint>")
+
+
+def _some(table: DataFrame, most: int) -> DataFrame:
+    """A stored table, to be broadcast if it has no more than ``most`` rows."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -93,18 +104,20 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
-    w = wanted.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))
+    w = _some(stored(wanted.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))), MOST_ROWS)
     rows = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_h")), "left_semi")
-    return map_batches(rows.select("text"), run, "node binary, shingles binary")
+    return map_batches(rows.select("text"), run, "node bigint, shingles binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose sets have a likeness of 4/5 or more. Only sets in a pair are made."""
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, repeats: bool) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets have a likeness of 4/5 or more. Only sets in a pair are made; ``repeats``:
+    whether rows repeat both id and text, so that a set can come more than once."""
     pairs = stored(pairs.distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(whole_sets(docs, nodes.join(ends, "node", "left_semi")))
+    sets = whole_sets(docs, nodes.join(ends, "node", "left_semi"))
+    sets = sets.dropDuplicates(["node"]) if repeats else sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,8 +127,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 near.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
+    sets = stored(sets)
     side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"_{k}"))
-    return stored(map_batches(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b"), run, "a binary, b binary"))
+    return stored(map_batches(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b"), run, "a bigint, b bigint"))
 
 
 def _possible(a: str, b: str) -> Column:
@@ -127,37 +141,47 @@ def _possible(a: str, b: str) -> Column:
 
 def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
     """``rows`` with comp, each node's component over ``links``, of the keys that nodes of several components have."""
-    roots = components(links, "a", "b").select(F.col("node").alias("_node"), "root")
-    named = rows.join(roots, F.col("node") == F.col("_node"), "left").withColumn("comp", F.coalesce("root", "node")).drop("_node", "root")
+    roots = stored(components(links, "a", "b").select(F.col("node").alias("_node"), "root"))
+    named = stored(rows.join(roots, F.col("node") == F.col("_node"), "left").withColumn("comp", F.coalesce("root", "node")).drop("_node", "root"))
     several = named.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter("_x <> _y").select("key")
     return stored(named.join(several, "key", "left_semi"))
 
 
+def _simhash_pairs(own: DataFrame) -> DataFrame:
+    """(a, b): nodes with equal fingerprints, the least and the greatest of each, and the least of linked ones."""
+    prints = stored(own.groupBy("fp").agg(F.min("node").alias("a"), F.max("node").alias("b")))
+    linked = stored(simhash.links(prints.select("fp")))
+    one = lambda k, name: prints.select(F.col("fp").alias(k), F.col("a").alias(name))
+    far = linked.join(one("fp_a", "x"), "fp_a").join(one("fp_b", "y"), "fp_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return prints.filter("a <> b").select("a", "b").unionByName(far.filter("a <> b"))
+
+
 def near_links(docs: DataFrame, own: DataFrame) -> DataFrame:
     """(a, b): nodes with a likeness of 4/5 or more, enough of them that components over them are those over all."""
-    nodes = stored(own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "n", "prefix")).alias("_f")).select("node", "_f.doc_id", "_f.text_hash", "_f.n", "_f.prefix"))
-    keyed = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
-    twice = stored(keyed.groupBy("key").agg(F.count("*").alias("_k")).filter("_k > 1").select("key"))
-    few = twice.count() <= MOST_KEYS
-    open_rows = stored(keyed.join(F.broadcast(twice) if few else twice, "key").select("node", "n", "pos", "key", F.col("node").alias("comp")))
-    links = None
+    repeats = own.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count() > 0
+    nodes = stored(own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("_f")).select("node", "_f.doc_id", "_f.text_hash"))
+    keyed = own.select("node", F.explode("prefix").alias("key"))
+    twice = stored(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").cast("int").alias("k")).filter("a <> b"))
+    links = verified(_simhash_pairs(own).unionByName(twice.select("a", "b")), docs, nodes, repeats)
+    rest_of_keys = stored(twice.filter("k > 2").select("key"))  # two rows are one pair, and that has been looked at
+    placed = own.select("node", "n", F.posexplode("prefix").alias("pos", "key")).join(_some(rest_of_keys, MOST_KEYS), "key", "left_semi")
+    open_rows = _grouped(stored(placed.distinct()), links)
     for k in range(STAR_ROUNDS):
         one = open_rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("comp", F.lit(k)), "node", "n", "pos", "comp")).alias("_o")).select(F.col("key"), "_o.node", "_o.n", "_o.pos", "_o.comp")
         met = open_rows.alias("a").join(one.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b"))
-        found = verified(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")), docs, nodes)
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(verified(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")), docs, nodes, repeats))
         open_rows = _grouped(open_rows.drop("comp"), links)
     rest = open_rows.alias("a").join(open_rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b"))
-    return links.unionByName(verified(rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), docs, nodes))
+    return links.unionByName(verified(rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), docs, nodes, repeats))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, component_id) of every row: the smallest doc_id of its component, over links of likeness 4/5 or more.
 
     Null and empty texts have no shingles and are copies of each other. A null doc_id is a component's id only where it
-    has no other.
+    has no other. Repeated rows each keep a row, other columns are ignored, an empty table gives an empty result.
     """
-    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = stored(prefixes(rows, common_shingles(rows)))
     roots = components(near_links(rows, own), "a", "b").select(F.col("node").alias("_node"), "root")
     least = own.groupBy("node").agg(F.min("doc_id").alias("_least"))
@@ -169,7 +193,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: its smallest doc_id's, the first of them where that id repeats."""
     found = near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id").filter(F.col("_id").eqNullSafe(F.col("component_id"))).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    kept = docs.join(stored(found), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
     ids = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if not ids:  # ids are unique, as a rule: no shuffle of whole texts
         return kept

@@ -41,15 +41,19 @@ def shingle_hashes(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], dtype=np.uint64)
 
 
-def simhash(text: str | None, size: int = SHINGLE_WORDS) -> int:
-    """The fingerprint as a signed 64-bit integer: a bit is 1 if set in over half of the shingles' hashes."""
-    hashes = shingle_hashes(text, size)
+def bits_of(hashes: np.ndarray) -> int:
+    """A fingerprint as a signed 64-bit integer: a bit is 1 if set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):  # very long texts in pieces
         ones += np.unpackbits(hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def simhash(text: str | None, size: int = SHINGLE_WORDS) -> int:
+    """The fingerprint of a text's shingles."""
+    return bits_of(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp) of every row; null and empty texts have fp 0."""
 

@@ -132,11 +132,11 @@ def plain_raking(cells, targets, budget, rounds=3_000):
 
 def test_bounded_raking_against_plain_loops(spark):
     rng = random.Random(8)
-    cells = [(s, g, t, rng.choice([20, 100, 900])) for s in "abc" for g in ("en", "de") for t in "pq"]
+    cells = [(s, g, t, rng.choice([5, 20, 100, 900])) for s in "abc" for g in ("en", "de") for t in "pq"]
     schema = "_source string, _lang string, _topic string, _tokens bigint"
     total = sum(c[3] for c in cells)
     share = lambda d, v: sum(c[3] for c in cells if c[d] == v) / total
-    wanted = [{v: share(d, v) ** 0.5 for v in sorted({c[d] for c in cells})} for d in range(3)]
+    wanted = [{v: share(d, v) ** 0.1 for v in sorted({c[d] for c in cells})} for d in range(3)]
     frames = {n: spark.createDataFrame([(v, w) for v, w in wanted[d].items()], f"_{n} string, _t double") for d, n in enumerate(mixing.DIMS)}
     fitted, asked = mixing.fit(spark.createDataFrame(cells, schema), 0.6, frames)
     feasible = [{r[0]: r["_t"] for r in asked[n].collect()} for n in mixing.DIMS]
@@ -182,6 +182,49 @@ def test_language_evidence_decides_where_text_does_not(spark, docs):
     assert nothing.lang is None
 
 
+def test_fused_posterior_against_plain_loops(spark):
+    model = language.TextModel(["de", "en", "fr"], np.random.default_rng(3).integers(0, 9, (3, language.BUCKETS)).astype(float))
+    rng = random.Random(9)
+    hosts = ["a.x.de", "b.x.de", "c.y.de", "d.z.com", "e.z.com", None]
+    items = [(i, " ".join(rng.choice(["foo", "bar", "der", "the", "les"]) for _ in range(rng.randrange(0, 6))), rng.choice(hosts), rng.choice(["", "de", "en", "xx", None]), True) for i in range(60)] + [(99, None, None, "", False)]
+    df = spark.createDataFrame([(i, t, f"http://{h}/p{i}" if h else None, d, p, 1, "z", 2.0) for i, t, h, d, p in items], "id bigint, content string, url string, declared string, is_page boolean, _text int, _host string, lang double")
+    got = rows(language.identify(df, model), "id")
+
+    def soft(v):
+        e = np.exp(v - np.max(v))
+        return e / e.sum()
+
+    logs = {i: model.loglik(language.visible_text(t or "") if p else t or "") for i, t, _, _, p in items}
+    post = {i: soft(v) for i, v in logs.items()}
+    said = {i: "" if d in (None, "") else d if d in model.languages else "other" for i, _, _, d, _ in items}
+    table_ = np.array([sum((post[i] for i in post if said[i] == x), np.zeros(3)) for x in [*model.languages, "other"]]) + 0.5
+    chance = dict(zip([*model.languages, "other"], np.log(table_ / table_.sum(axis=0)), strict=True)) | {"": np.zeros(3)}
+    base = sum(post.values()) + 1.0
+    at = {i: h or "" for i, _, h, _, _ in items}
+    level = lambda f: {k: sum(post[i] for i in post if at[i] and f(at[i]) == k) for k in {f(h) for h in at.values() if h}}
+    own, domain, suffix = level(str), level(lambda h: ".".join(h.split(".")[-2:])), level(lambda h: h.split(".")[-1])
+    for i in post:
+        prior = base / base.sum()
+        if at[i]:
+            for sums in (suffix[at[i].split(".")[-1]], domain[".".join(at[i].split(".")[-2:])], own[at[i]]):
+                prior = np.maximum(sums - post[i], 0) + language.SMOOTHING * prior
+                prior /= prior.sum()
+        want = soft(logs[i] + chance[said[i]] + np.log(prior + 1e-12))
+        assert list(got[i].evidence) == pytest.approx(list(want), abs=1e-9) and got[i].lang == model.languages[int(np.argmax(want))]
+
+
+def test_rare_and_surplus_languages(spark):
+    sets = {"aa": "alpha beta gamma", "bb": "xylo quux zork", "cc": "mi tu su", "dd": "ning nong nang"}
+    n = {"aa": 900, "bb": 300, "cc": 6, "dd": 5}
+    df = spark.createDataFrame([(k, f"{t} {k % 7}", g) for g, t in sets.items() for k in range(n[g])], "doc_id bigint, text string, lang string")
+    model = language.train(df, rows=100)
+    assert model.languages == ["aa", "bb", "cc", "dd"] and all(model.languages[int(np.argmax(model.loglik(t)))] == g for g, t in sets.items())
+    few = language.train(df, rows=100, most=2)
+    assert few.languages == ["aa", "bb", "other"] and few.languages[int(np.argmax(few.loglik(sets["dd"])))] == "other"
+    one = language.identify(spark.createDataFrame([(1, sets["cc"], None, "cc", True)], "id bigint, content string, url string, declared string, is_page boolean"), few).first()
+    assert one.lang == "other"
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -221,7 +264,12 @@ def test_pieces_round_trip_and_reproduce(spark, docs, texts, odd):
     again = {r.doc_id: r.ids for r in pieces.encoded(docs.repartition(7)).collect()}
     assert again == {r.doc_id: r.ids for r in got.collect()}
     assert again != {r.doc_id: r.ids for r in pieces.encoded(docs, seed=9).collect()}
-    assert pieces.encoded(odd).filter("not lossless").count() == 0
+    strange = pieces.encoded(odd).collect()
+    assert all(r.lossless for r in strange) and len(strange) == 11
+    assert [r.ids for r in strange if r.doc_id == 1] == [None] and [list(r.ids) for r in strange if r.doc_id == 2] == [[]]
+    same = [list(r.ids) for r in strange if r.doc_id == 7]
+    assert len(same) == 2 and same[0] == same[1]
+    assert list(pieces.row_keys([None, None, 4], 1, ["a", "b", "a"])) != list(pieces.row_keys([None, None, 4], 1, ["b", "b", "a"]))
 
 
 def test_pieces_are_drawn_by_the_lattice():
@@ -247,6 +295,57 @@ def test_pieces_are_drawn_by_the_lattice():
     assert max(abs(drawn[k] / n - w / total) for k, w in paths.items()) < 0.01
 
 
+def test_expected_pieces_against_all_paths():
+    p = pieces.Pieces(pieces.MODEL)
+    number = {b: i for i, b in enumerate(p.bytes) if i > 258}
+    blocks, times = [" then", " a", " others", "x", " then"], np.array([3, 5, 2, 7, 1])
+    want = Counter()
+    for text, n in zip(blocks, times.tolist(), strict=True):
+        paths = []
+
+        def walk(at, weight, path, text=text, paths=paths):
+            if at == len(text):
+                paths.append((weight, path))
+            for k in range(1, len(text) - at + 1):
+                i = number.get(text[at : at + k].encode())
+                if i:
+                    walk(at + k, weight * p.weight[i], [*path, i])
+
+        walk(0, 1.0, [])
+        total = sum(w for w, _ in paths)
+        for w, path in paths:
+            for i in path:
+                want[i] += n * w / total
+    got = pieces.Lattices(p, blocks).expected(times) / pieces.FINE
+    assert {i: got[i] for i in want} == pytest.approx(dict(want), abs=0.01) and got.sum() == pytest.approx(sum(want.values()), abs=0.05)
+
+
+def test_block_counts_and_estimate(spark, docs, texts):
+    want = Counter(b for t in texts.values() if t for b in pieces._BLOCK.findall(f" {t}"))
+    assert max(map(len, want)) <= pieces.COUNTED_CHARS and {r.block: r.n for r in pieces.block_counts(docs).collect()} == dict(want)
+    assert pieces.blocks_of(" a  b ") == ["  a", "  b", " "] and pieces.blocks_of("a\nb c") == [" a\nb", " c"]
+    long = spark.createDataFrame([("y" * 1_000,), (None,), ("",)], "text string")
+    assert sum(len(r.block) * r.n for r in pieces.block_counts(long).collect()) == 1_001
+    blob = open(pieces.MODEL, "rb").read()
+    logs = [pieces.estimated(d, blob) for d in (docs, docs.repartition(5))]
+    assert (logs[0] == logs[1]).all() and np.exp(logs[0]).sum() == pytest.approx(1)
+    p = pieces.Pieces(blob)
+    score = lambda lw: sum(n * np.log(paths_weight(pieces.Pieces(blob, log_weights=lw), b)) for b, n in list(want.items())[:300])
+    start = np.log(p.weight[p.named] / p.weight[p.named].sum())
+    assert score(logs[0]) > score(start)  # likelier than by rank
+
+
+def paths_weight(p, block):
+    """The weight of all paths of a block."""
+    number = {b: i for i, b in enumerate(p.bytes) if i > 258}
+    ways = [1.0] + [0.0] * len(block)
+    for z in range(1, len(block) + 1):
+        for a in range(max(0, z - p.longest), z):
+            i = number.get(block[a:z].encode())
+            ways[z] += ways[a] * (p.weight[i] if i else p.weight[pieces._FALLBACK] if z - a == 1 else 0.0)
+    return ways[-1]
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 
