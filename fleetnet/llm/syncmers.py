@@ -1,9 +1,11 @@
 """Document fingerprints of closed syncmers [native].
 
-A text is a sequence of tokens: words, long ones cut into pieces of TOKEN_CHARS characters. A run of K tokens is a
-closed syncmer if, of the runs of S tokens inside it, the one with the least hash is the first or the last. Whether a run
+A text is a sequence of tokens: words, and of runs of over TOKEN_CHARS characters without white space, as in scripts
+without spaces or in minified text, single characters, so a character put in or left out moves no other token. A run of K
+tokens is a closed syncmer if, of the runs of S tokens inside it, the one with the least hash is the first or the last. Whether a run
 is chosen depends on its own tokens only, so the same passage gives the same anchors wherever it stands.
 The fingerprint is the SKETCH least distinct anchor hashes; likeness is the Jaccard estimate over two sketches' union.
+Where a passage lies in two texts is told by anchors that both have, at one distance (``matched_passages``).
 
 Whole texts travel once: they are dealt to contiguous ranges of doc_id, where a window finds each row's next document.
 """
@@ -21,7 +23,7 @@ SKETCH = 64
 #: Hexadecimal digits of an anchor's hash in a fingerprint.
 DIGITS = 10
 
-_TOKEN = rf"[^\x20\x09-\x0D]{{1,{TOKEN_CHARS}}}"
+_TOKEN = rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{{1,{TOKEN_CHARS}}}+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
 
 
 def token_hashes(text: Column) -> Column:
@@ -67,6 +69,19 @@ def document_anchors(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(anchors(token_hashes(F.coalesce("text", F.lit(""))))).alias("_a")).select("doc_id", "_a.pos", "_a.hash")
 
 
+def matched_passages(pairs: DataFrame, found: DataFrame, least: int = 3) -> DataFrame:
+    """(a, b, shift, n_anchors, a_from, a_to): of each pair (a, b: doc_ids) the passages that both have, as ``least`` or more
+    anchors at one distance: token p of a is token p - shift of b, from a_from to the last anchor's first token a_to.
+
+    ``found``: document_anchors of both. An anchor that a text has several times counts at each of its distances. Pairs
+    meet their own anchors only, so what joins is bounded by the pairs' texts. Ids that are null or in no pair have no row.
+    """
+    wanted = pairs.select("a", "b").distinct()
+    one = lambda k: found.select(F.col("doc_id").alias(k), F.col("hash"), F.col("pos").alias(f"_{k}"))
+    both = wanted.join(one("a"), "a").join(one("b"), ["b", "hash"]).withColumn("shift", F.col("_a") - F.col("_b"))
+    return both.groupBy("a", "b", "shift").agg(F.countDistinct("_a").alias("n_anchors"), F.min("_a").alias("a_from"), F.max("_a").alias("a_to")).filter(F.col("n_anchors") >= least).select("a", "b", "shift", "n_anchors", "a_from", "a_to")
+
+
 def range_number(value: Column, cuts: list[int]) -> Column:
     """How many of the sorted ``cuts`` lie below a value, by binary search."""
     low = F.lit(cuts).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
