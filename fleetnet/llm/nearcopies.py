@@ -15,10 +15,12 @@ key lies among the first fifth of a set's shingles, the frequent ones last, so t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ SHINGLE_WORDS = 5
 SAMPLE, SEEN, MOST_COMMON = 32, 2, 1 << 20
 #: Rounds in which a key's members meet one of them only.
 STAR_ROUNDS = 2
-#: Keys, and rows whose sets are asked for, that are broadcast if there are no more, counted first; else both sides are shuffled.
+#: Keys, and rows whose texts are asked for, that are broadcast if there are no more, counted first; else both sides are shuffled.
 MOST_KEYS, MOST_ROWS = 500_000, 500_000
 
 
@@ -98,37 +100,48 @@ def _some(table: DataFrame, most: int) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the rows that ``wanted`` (doc_id, text_hash) names, repeated rows repeatedly; shingles as bytes."""
+def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, packed) of the rows that ``wanted`` (node, doc_id, text_hash) names, repeated rows repeatedly: texts
+    compressed, which are smaller than their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press(t) for t in batch.column(1).cast(pa.large_binary()).to_pylist()], pa.binary())], names=["node", "packed"])
 
-    w = _some(stored(wanted.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))), MOST_ROWS)
-    rows = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_h")), "left_semi")
-    return map_batches(rows.select("text"), run, "node bigint, shingles binary")
+    w = _some(stored(wanted.select("node", F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))), MOST_ROWS)
+    rows = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_h")))
+    return map_batches(rows.select("node", "text"), run, "node bigint, packed binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, repeats: bool) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose sets have a likeness of 4/5 or more. Only sets in a pair are made; ``repeats``:
-    whether rows repeat both id and text, so that a set can come more than once."""
-    pairs = stored(pairs.distinct())
+    """The ``pairs`` (a, b) of ``nodes`` (node, n, doc_id, text_hash) whose sets have a likeness of 4/5 or more.
+
+    Pairs whose sizes rule it out go first; texts of the others meet. ``repeats``: whether rows repeat both id and text, so
+    that a node's text can come more than once.
+    """
+    size = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"))
+    able = pairs.distinct().join(size("a"), "a").join(size("b"), "b").filter(5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
+    pairs = stored(able.select("a", "b"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = whole_sets(docs, nodes.join(ends, "node", "left_semi"))
-    sets = sets.dropDuplicates(["node"]) if repeats else sets
+    texts = packed_texts(docs, nodes.join(ends, "node", "left_semi"))
+    texts = stored(texts.dropDuplicates(["node"]) if repeats else texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        @lru_cache(maxsize=64)
+        def known(packed: bytes) -> np.ndarray:
+            return shingle_set(unpack(packed).decode("utf-8", "surrogatepass"))
+
         for batch in batches:
             near = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), dtype=np.int64), np.frombuffer(y.as_py(), dtype=np.int64)
+                x, y = known(x.as_py()), known(y.as_py())
                 near.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    sets = stored(sets)
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"_{k}"))
+    side = lambda k: texts.select(F.col("node").alias(k), F.col("packed").alias(f"_{k}"))
     return stored(map_batches(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b"), run, "a bigint, b bigint"))
 
 
@@ -159,7 +172,7 @@ def _simhash_pairs(own: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, own: DataFrame) -> DataFrame:
     """(a, b): nodes with a likeness of 4/5 or more, enough of them that components over them are those over all."""
     repeats = own.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count() > 0
-    nodes = stored(own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("_f")).select("node", "_f.doc_id", "_f.text_hash"))
+    nodes = stored(own.groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("_f")).select("node", "n", "_f.doc_id", "_f.text_hash"))
     keyed = own.select("node", F.explode("prefix").alias("key"))
     twice = stored(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").cast("int").alias("k")).filter("a <> b"))
     links = verified(_simhash_pairs(own).unionByName(twice.select("a", "b")), docs, nodes, repeats)
