@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetnet.functions import geo
 from fleetnet.functions.geo import bearing_rad, cell, haversine_m
+from fleetnet.operators.ranks import ranked_within
 
 
 def latest_state(pings: DataFrame, key: str = "vehicle", order: str = "ping_id") -> DataFrame:
@@ -26,17 +27,30 @@ def grid_clusters(vehicles: DataFrame, cell_deg: float = geo.FLEET_CELL, most: i
 def bearing_bins(rows: DataFrame, bins: int) -> DataFrame:
     """(dest_id, id, bearing, bin): equal numbers of each destination's vehicles in order of bearing; ``rows``: dest_id, id, lat, lon, dest_lat, dest_lon."""
     turned = rows.withColumn("bearing", F.round(bearing_rad(F.col("lat"), F.col("lon"), F.col("dest_lat"), F.col("dest_lon")), 6))
-    every = Window.partitionBy("dest_id")
-    n = F.count("*").over(every)
-    per = F.ceil(n / F.greatest(F.lit(1), F.least(F.lit(bins), n)))
-    place = F.row_number().over(every.orderBy("bearing", "id")) - 1
-    return turned.select("dest_id", "id", "bearing", F.floor(place / per).cast("int").alias("bin"))
+    sizes = turned.groupBy("dest_id").agg(F.count("*").alias("_n"))
+    per = F.ceil(F.col("_n") / F.greatest(F.lit(1), F.least(F.lit(bins), F.col("_n"))))
+    placed = ranked_within(turned, "dest_id", [F.col("bearing"), F.col("id")], "_place").join(sizes, "dest_id")
+    return placed.select("dest_id", "id", "bearing", F.floor((F.col("_place") - 1) / per).cast("int").alias("bin"))
 
 
 def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, median): the element at half the count, rounded down, of each key's values in order, without collecting them."""
-    ranked = rows.select(key, value, F.row_number().over(Window.partitionBy(key).orderBy(value)).alias("_r"), F.count("*").over(Window.partitionBy(key)).alias("_n"))
-    return ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(key, F.col(value).alias("median"))
+    """(key, median): the element at half the count, rounded down, of each key's values in order; no key is one task's."""
+    counts = rows.select(key, value).groupBy(key, value).agg(F.count("*").alias("_n"))
+    order = ranked_within(counts, key, [F.col(value)], "_r")
+    # Equal values were counted together, so ranks run over distinct values and their counts are summed up along them.
+    sums = _running(order, key, "_r", "_n")
+    half = F.floor(F.col("_all") / 2) + 1
+    return sums.filter((F.col("_upto") >= half) & (F.col("_upto") - F.col("_n") < half)).select(key, F.col(value).alias("median"))
+
+
+def _running(rows: DataFrame, key: str, rank: str, n: str, block: int = 1 << 16) -> DataFrame:
+    """``rows`` with _upto and _all: the sum of ``n`` up to a row in the order of ``rank``, and of all; blocks of ranks first."""
+    blocks = rows.withColumn("_b", F.floor(F.col(rank) / block))
+    sums = blocks.groupBy(key, "_b").agg(F.sum(n).alias("_s"))
+    along = Window.partitionBy(key).orderBy("_b")
+    before = sums.select(F.col(key).alias("_k"), F.col("_b").alias("_c"), (F.sum("_s").over(along) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy(key)).alias("_all"))
+    joined = blocks.join(before, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c")))
+    return joined.withColumn("_upto", F.col("_before") + F.sum(n).over(Window.partitionBy(key, "_b").orderBy(rank))).drop("_b", "_k", "_c", "_before")
 
 
 def outlier_split(rows: DataFrame) -> DataFrame:
@@ -47,8 +61,8 @@ def outlier_split(rows: DataFrame) -> DataFrame:
     marked = rows.join(upper_median(rows, "dest_id", "dist_m"), "dest_id")
     far = (F.col("dist_m") > 250_000) | ((F.col("dist_m") > 2.5 * F.col("median")) & (F.col("dist_m") - F.col("median") > 120_000))
     marked = marked.withColumn("_far", far)
-    near = F.sum(F.when(F.col("_far"), 0).otherwise(1)).over(Window.partitionBy("dest_id"))
-    return marked.withColumn("remote", F.col("_far") & ~((near < 8) & (F.col("median") < 150_000))).drop("_far")
+    near = marked.groupBy("dest_id").agg(F.count_if(~F.col("_far")).alias("_near"))
+    return marked.join(near, "dest_id").withColumn("remote", F.col("_far") & ~((F.col("_near") < 8) & (F.col("median") < 150_000))).drop("_far", "_near")
 
 
 def speed_groups(vehicles: DataFrame, together: int = 8) -> DataFrame:

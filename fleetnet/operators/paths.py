@@ -22,12 +22,15 @@ from fleetnet.storage import cut
 #: The bound of a broadcast network: 28 bytes an arc, 140 MB at most.
 MAX_ARCS = 5_000_000
 NO_HORIZON = (1 << 62)
+#: About so many targets of a key are routed in one task; a key with more is searched from again in other tasks.
+ROUTES_TOGETHER = 256
 
 
 def cost_ms(length_m: Column, limit_kmh: Column, kmh: Column) -> Column:
-    """Whole milliseconds of an arc at a vehicle's speed under the arc's limit, if it has one."""
+    """Whole milliseconds of an arc at a vehicle's speed under the arc's limit, if it has one; at least one, so that no way
+    goes round in a circle of arcs without length."""
     v = F.when(limit_kmh > 0, F.least(kmh, limit_kmh)).otherwise(kmh)
-    return F.floor(length_m * 3.6e3 / v + 0.5).cast("bigint")
+    return F.greatest(F.floor(length_m * 3.6e3 / v + 0.5).cast("bigint"), F.lit(1))
 
 
 def seeds(places: DataFrame) -> DataFrame:
@@ -43,53 +46,63 @@ def seeds(places: DataFrame) -> DataFrame:
 
 
 class Network:
-    """Arcs of one type as sorted arrays."""
+    """Arcs of one type as sorted arrays, read through memory views: a search touches only the arcs that it relaxes."""
 
     def __init__(self, source: np.ndarray, target: np.ndarray, edge: np.ndarray, length: np.ndarray, limit: np.ndarray) -> None:
         self.ids = np.unique(np.concatenate([source, target]))
         order = np.lexsort((edge, target, source))
         row = np.searchsorted(self.ids, source[order])
         self.first = np.searchsorted(row, np.arange(len(self.ids) + 1))
-        self.to, self.edge, self.length, self.limit = np.searchsorted(self.ids, target[order]), edge[order], length[order], limit[order]
-        self._costs: dict[float, list[int]] = {}
-
-    def costs(self, kmh: float) -> list[int]:
-        if kmh not in self._costs:
-            v = np.where(self.limit > 0, np.minimum(kmh, self.limit), kmh)
-            self._costs = {kmh: np.floor(self.length * 3.6e3 / v + 0.5).astype(np.int64).tolist()}  # one speed at a time
-        return self._costs[kmh]
+        self.to, self.edge, self.length, self.limit = np.searchsorted(self.ids, target[order]).astype(np.int32), edge[order].astype(np.int64), length[order].astype(np.float64), limit[order].astype(np.float64)
 
     def row(self, node: int) -> int | None:
         at = int(np.searchsorted(self.ids, node))
         return at if at < len(self.ids) and self.ids[at] == node else None
 
     def search(self, starts: list[tuple[int, int]], kmh: float, horizon: int) -> dict[int, int]:
-        """Least time of each row within the horizon."""
-        cost, first, to = self.costs(kmh), self.first.tolist(), self.to.tolist()
+        """Least time of each row within the horizon, in the order of times."""
+        first, to, length, limit = memoryview(self.first), memoryview(self.to), memoryview(self.length), memoryview(self.limit)
+        push, pop = heapq.heappush, heapq.heappop
         best: dict[int, int] = {}
-        heap = [(t, r) for n, t in starts if (r := self.row(n)) is not None and t <= horizon]
+        near: dict[int, int] = {}
+        heap = []
+        for n, t in starts:
+            r = self.row(n)
+            if r is not None and t <= horizon and t < near.get(r, t + 1):
+                near[r] = t
+                heap.append((t, r))
         heapq.heapify(heap)
         while heap:
-            t, r = heapq.heappop(heap)
+            t, r = pop(heap)
             if r in best:
                 continue
             best[r] = t
             for a in range(first[r], first[r + 1]):
-                if to[a] not in best and t + cost[a] <= horizon:
-                    heapq.heappush(heap, (t + cost[a], to[a]))
+                k = to[a]
+                if k in best:
+                    continue
+                cap = limit[a]
+                u = t + (int(length[a] * 3.6e3 / (cap if 0 < cap < kmh else kmh) + 0.5) or 1)
+                if u <= horizon and u < near.get(k, u + 1):
+                    near[k] = u
+                    push(heap, (u, k))
         return best
 
     def walker(self, best: dict[int, int], kmh: float):
         """A function of a row to (row, node, edge), its step towards the start: of the optimal ones the least node, then
         the least edge. Steps are kept, as routes to one start share most of them."""
-        cost, first, to, edge, ids = self.costs(kmh), self.first.tolist(), self.to.tolist(), self.edge.tolist(), self.ids.tolist()
+        first, to, length, limit, edge, ids = (memoryview(x) for x in (self.first, self.to, self.length, self.limit, self.edge, self.ids))
         known: dict[int, tuple[int, int, int] | None] = {}
 
         def step(row: int) -> tuple[int, int, int] | None:
             if row not in known:
-                t = best[row]
-                options = [(ids[to[a]], edge[a], to[a]) for a in range(first[row], first[row + 1]) if best.get(to[a], t) + cost[a] == t]
-                known[row] = (lambda n, e, r: (r, n, e))(*min(options)) if options else None
+                t, found = best[row], None
+                for a in range(first[row], first[row + 1]):  # arcs come in order of node and edge
+                    k = to[a]
+                    if k in best and best[k] + (int(length[a] * 3.6e3 / (limit[a] if 0 < limit[a] < kmh else kmh) + 0.5) or 1) == t:
+                        found = (k, ids[k], edge[a])
+                        break
+                known[row] = found
             return known[row]
 
         return step
@@ -177,12 +190,14 @@ def routes(sources: DataFrame, targets: DataFrame, arcs: DataFrame, engine: str
     if engine == "relax":
         return _walked(relaxed_fields(sources, arcs), wanted, arcs)
     nets = _broadcast(arcs)
-    jobs = _grouped(sources).join(wanted.groupBy("key").agg(F.collect_list("target").alias("targets")), "key")
+    blocks = wanted.groupBy("key").agg(F.ceil(F.count("*") / ROUTES_TOGETHER).alias("_n"))
+    dealt = wanted.join(blocks, "key").withColumn("_b", F.pmod(F.xxhash64("target"), F.col("_n")))
+    jobs = _grouped(sources).join(dealt.groupBy("key", "_b").agg(F.collect_list("target").alias("targets")), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for row in batch.to_pylist():
+                out = []
                 net = nets.value.get(row["etype"])
                 best = net.search([(s["node_id"], s["t_ms"]) for s in row["starts"]], row["kmh"], row["horizon_ms"]) if net else {}
                 starts = {s["node_id"]: s["t_ms"] for s in row["starts"]}
@@ -197,9 +212,9 @@ def routes(sources: DataFrame, targets: DataFrame, arcs: DataFrame, engine: str
                         nodes.append(node)
                         edges.append(edge)
                     out.append({"key": row["key"], "target": target, "t_ms": t, "nodes": nodes, "edges": edges})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("target", pa.int64()), ("t_ms", pa.int64()), ("nodes", pa.list_(pa.int64())), ("edges", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("target", pa.int64()), ("t_ms", pa.int64()), ("nodes", pa.list_(pa.int64())), ("edges", pa.list_(pa.int64()))]))
 
-    return jobs.repartition("key").mapInArrow(run, "key string, target bigint, t_ms bigint, nodes array<bigint>, edges array<bigint>")
+    return jobs.repartition("key", "_b").mapInArrow(run, "key string, target bigint, t_ms bigint, nodes array<bigint>, edges array<bigint>")
 
 
 def _walked(fields: DataFrame, wanted: DataFrame, arcs: DataFrame) -> DataFrame:

@@ -76,35 +76,68 @@ def edges_in_boxes(boxes: DataFrame, edges: DataFrame, size: float = EDGE_CELL)
 _ENDS = ("flat", "flon", "tlat", "tlon")
 
 
+def _corridor_cells(corridors: DataFrame, reach: Column, size: float) -> DataFrame:
+    """``corridors`` with gx, gy: of each row of cells those that lie within ``reach`` metres of the segment a-b.
+
+    A point of the row can only be near to the part of the segment that passes the row with the reach as its margin, so
+    that part's longitudes, with their own margin, are the cells. No cell off the corridor is made.
+    """
+    a_lat, a_lon, b_lat, b_lon = (F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon"))
+    spread = corridors.repartition(int(corridors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "corridor_id")  # a few rows make many cells
+    pad = reach / geo.METERS_PER_DEGREE
+    rows = F.sequence(cell(F.least(a_lat, b_lat) - pad, size), cell(F.greatest(a_lat, b_lat) + pad, size))
+    rows = spread.withColumn("_pad", pad).withColumn("gx", F.explode(rows))
+    low, high, rise = F.col("gx") * size - F.col("_pad"), (F.col("gx") + 1) * size + F.col("_pad"), b_lat - a_lat
+    t = lambda lat: F.when(F.abs(rise) > 1e-12, (lat - a_lat) / rise)
+    unit = lambda v, level: F.when(v.isNull(), level).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
+    rows = rows.withColumns({"_t0": unit(F.least(t(low), t(high)), 0.0), "_t1": unit(F.greatest(t(low), t(high)), 1.0), "_side": geo.lon_pad_deg(F.col("_pad") * geo.METERS_PER_DEGREE, F.greatest(F.abs(low), F.abs(high)))})
+    rows = rows.withColumns({"_x0": a_lon + F.col("_t0") * (b_lon - a_lon), "_x1": a_lon + F.col("_t1") * (b_lon - a_lon)})
+    across = F.sequence(cell(F.least("_x0", "_x1") - F.col("_side"), size), cell(F.greatest("_x0", "_x1") + F.col("_side"), size))
+    return rows.withColumn("gy", F.explode(across)).drop("_pad", "_t0", "_t1", "_side", "_x0", "_x1")
+
+
+def _near_squared(lat: Column, lon: Column, east: Column) -> Column:
+    """Squared distance, in squared metres, of a point to the segment a-b on the plane at the point; ``east``: metres per
+    radian of longitude there, a column of the point's own, so a pair costs no trigonometry."""
+    ax, ay = F.radians(F.col("a_lon") - lon) * east, F.radians(F.col("a_lat") - lat) * geo.EARTH_RADIUS_M
+    dx, dy = F.radians(F.col("b_lon") - F.col("a_lon")) * east, F.radians(F.col("b_lat") - F.col("a_lat")) * geo.EARTH_RADIUS_M
+    square = dx * dx + dy * dy
+    t = F.when(square > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / square))).otherwise(0.0)
+    x, y = ax + t * dx, ay + t * dy
+    return x * x + y * y
+
+
+def _east(lat: Column) -> Column:
+    return F.cos(F.radians(lat)) * geo.EARTH_RADIUS_M
+
+
 def corridor_edges(corridors: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (corridor_id, edge_id) of edges whose middle lies within width_m of a corridor's segment a-b.
 
-    An edge's middle lies in one of its cells, so of the box around the segment only cells near it are probed: 2 km is
-    more than from a cell's centre to its corners.
+    Each edge is looked for by its middle's cell, so a pair meets once.
     """
     size = EDGE_CELL
-    box = geo.segment_box(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"), F.col("width_m"))
-    off = lambda c: point_segment((c["gx"] + 0.5) * size, (c["gy"] + 0.5) * size, F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))[0]
-    spread = corridors.repartition(int(corridors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "corridor_id")  # a few rows make many cells
-    probes = spread.withColumn("_c", F.explode(_box_cells(box, size))).filter(off(F.col("_c")) <= F.col("width_m") + 2_000).select("*", "_c.gx", "_c.gy").drop("_c")
-    cells = edge_cells(edges, size).join(edges.select("edge_id", *_ENDS), "edge_id")
-    mid_lat, mid_lon = (F.col("flat") + F.col("tlat")) * 0.5, (F.col("flon") + F.col("tlon")) * 0.5
-    dist, _ = point_segment(mid_lat, mid_lon, F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    own = (F.col("gx") == cell(mid_lat, size)) & (F.col("gy") == cell(mid_lon, size))  # each edge by its middle's cell: once
-    return probes.join(cells.filter(own), ["gx", "gy"]).filter(dist <= F.col("width_m")).select("corridor_id", "edge_id")
+    probes = _corridor_cells(corridors, F.col("width_m"), size)
+    lat, lon = (F.col("flat") + F.col("tlat")) * 0.5, (F.col("flon") + F.col("tlon")) * 0.5
+    middles = edges.select("edge_id", lat.alias("_lat"), lon.alias("_lon"), _east(lat).alias("_east"), cell(lat, size).alias("gx"), cell(lon, size).alias("gy"))
+    near = _near_squared(F.col("_lat"), F.col("_lon"), F.col("_east")) <= F.col("width_m") * F.col("width_m")
+    return probes.join(middles, ["gx", "gy"]).filter(near).select("corridor_id", "edge_id")
 
 
 def corridor_or_anchor_edges(corridors: DataFrame, edges: DataFrame, keep_m: float = 8_000.0) -> DataFrame:
-    """Distinct edge_id of edges with an end or the middle within a corridor, or within ``keep_m`` of one of its ends."""
-    boxes = corridors.select(F.col("corridor_id").alias("box_id"), geo.segment_box(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"), F.greatest("width_m", F.lit(keep_m))).alias("box"))
-    near = edges_in_boxes(boxes, edges).withColumnRenamed("box_id", "corridor_id").join(corridors, "corridor_id").join(edges.select("edge_id", *_ENDS), "edge_id")
-    hit = F.lit(False)
-    for lat, lon in (("flat", "flon"), ("tlat", "tlon"), (None, None)):
-        la = F.col(lat) if lat else (F.col("flat") + F.col("tlat")) * 0.5
-        lo = F.col(lon) if lon else (F.col("flon") + F.col("tlon")) * 0.5
-        dist, _ = point_segment(la, lo, F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-        hit = hit | (dist <= F.col("width_m")) | (haversine_m(la, lo, F.col("a_lat"), F.col("a_lon")) <= keep_m) | (haversine_m(la, lo, F.col("b_lat"), F.col("b_lon")) <= keep_m)
-    return near.filter(hit).select("edge_id").distinct()
+    """Distinct edge_id of edges with an end or the middle within a corridor, or within ``keep_m`` of one of its ends.
+
+    Points of edges meet the cells of corridors widened to ``keep_m``; each point's own cell, so a pair of them meets once.
+    """
+    size = EDGE_CELL
+    probes = _corridor_cells(corridors, F.greatest("width_m", F.lit(float(keep_m))), size)
+    mid_lat, mid_lon = (F.col("flat") + F.col("tlat")) * 0.5, (F.col("flon") + F.col("tlon")) * 0.5
+    points = F.array(*[F.struct(la.alias("lat"), lo.alias("lon")) for la, lo in ((F.col("flat"), F.col("flon")), (F.col("tlat"), F.col("tlon")), (mid_lat, mid_lon))])
+    at = edges.select("edge_id", F.explode(points).alias("_p")).select("edge_id", F.col("_p.lat").alias("_lat"), F.col("_p.lon").alias("_lon"))
+    at = at.withColumns({"_east": _east(F.col("_lat")), "gx": cell(F.col("_lat"), size), "gy": cell(F.col("_lon"), size)})
+    inside = _near_squared(F.col("_lat"), F.col("_lon"), F.col("_east")) <= F.col("width_m") * F.col("width_m")
+    ends = [haversine_m(F.col("_lat"), F.col("_lon"), F.col(f"{k}_lat"), F.col(f"{k}_lon")) <= keep_m for k in "ab"]
+    return probes.join(at, ["gx", "gy"]).filter(inside | ends[0] | ends[1]).select("edge_id").distinct()
 
 
 def edges_in_radius(points: DataFrame, edges: DataFrame) -> DataFrame:

@@ -72,43 +72,41 @@ def path_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PARENT = "SELECT * FROM (SELECT f.key, f.node_id, w.node_to AS parent_node, w.edge_id AS parent_edge, row_number() OVER (PARTITION BY f.key, f.node_id ORDER BY w.node_to, w.edge_id) AS r FROM f JOIN w ON w.node_from = f.node_id AND w.key = f.key JOIN f g ON g.node_id = w.node_to AND g.key = f.key WHERE g.t_ms + w.cost_ms = f.t_ms) WHERE r = 1"
-_WALK0 = "SELECT key, node_id AS target, node_id AS pos, CAST(0 AS BIGINT) AS hop, CAST(NULL AS BIGINT) AS edge_id FROM f WHERE node_id % 97 = 0"
+_WALK0 = "SELECT key, node_id AS target, node_id AS pos, CAST(0 AS BIGINT) AS hop, CAST(NULL AS BIGINT) AS edge_id FROM f"
 
 
 @query(_with_field("SELECT target, hop, pos AS node_id, edge_id FROM walk", "net_edge", arc=ARC, w=_W60, seed=_SEED0, after={"parent": _PARENT, "walk(key, target, pos, hop, edge_id)": f"{_WALK0} UNION ALL SELECT walk.key, target, parent_node, hop + 1, parent_edge FROM walk JOIN parent ON parent.node_id = walk.pos AND parent.key = walk.key"}))
 def path_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes to every 97th node, step by step: a small check against SQL; ``path_route_all`` has every node."""
-    return _steps(spark, sf_dir, views.net_node(spark, sf_dir).filter("node_id % 97 = 0"))
-
-
-@query()
-def path_route_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes to every node, step by step; tests hold them against the field."""
-    return _steps(spark, sf_dir, views.net_node(spark, sf_dir))
-
-
-def _steps(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
-    targets = nodes.select(F.lit("S").alias("key"), F.col("node_id").alias("target"))
+    """Routes to every node, step by step."""
+    targets = views.net_node(spark, sf_dir).select(F.lit("S").alias("key"), F.col("node_id").alias("target"))
     r = paths.routes(_source(spark), targets, network.arcs(views.net_edge(spark, sf_dir)))
     steps = r.select("target", "edges", F.posexplode("nodes").alias("hop", "node_id"))
     return steps.select("target", F.col("hop").cast("bigint").alias("hop"), "node_id", F.when(F.col("hop") > 0, F.get("edges", F.col("hop") - 1)).alias("edge_id"))
 
 
-_LINK = "SELECT node_from AS a, node_to AS b FROM net_edge WHERE etype = 1 OR node_from % 7 = 0"
+def _component_sql(body: str, where: str = "TRUE") -> str:
+    """``body`` over c(etype, node_id, comp), components over the edges of each group: etype, or 0 for all."""
+    link = f"SELECT CAST(0 AS BIGINT) AS g, node_from AS a, node_to AS b FROM net_edge WHERE {where}"
+    return _grouped_components(link, body)
 
 
-@query(with_views("SELECT 1", "net_edge", recursive=True, link=f"{_LINK} UNION ALL SELECT b, a FROM ({_LINK})").replace(" SELECT 1", ", c(node_id, comp) USING KEY (node_id) AS (SELECT DISTINCT a, a FROM link UNION SELECT link.b, min(c.comp) FROM c JOIN link ON link.a = c.node_id JOIN recurring.c AS r ON r.node_id = link.b WHERE c.comp < r.comp GROUP BY link.b) SELECT node_id, comp AS component FROM c"))
-def comp_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return network.components(views.net_edge(spark, sf_dir).filter("etype = 1 or node_from % 7 = 0"))
+def _grouped_components(link: str, body: str) -> str:
+    both = f"{link} UNION ALL SELECT g, b, a FROM ({link})"
+    c = "c(g, node_id, comp) USING KEY (g, node_id) AS (SELECT DISTINCT g, a, a FROM link UNION SELECT link.g, link.b, min(c.comp) FROM c JOIN link ON link.a = c.node_id AND link.g = c.g JOIN recurring.c AS r ON r.node_id = link.b AND r.g = link.g WHERE c.comp < r.comp GROUP BY link.g, link.b)"
+    return with_views("SELECT 1", "net_edge", recursive=True, link=both).replace(" SELECT 1", f", {c}{body}")
+
+
+#: The fast network, which falls into several components.
+_FAST = "speed_kmh >= 6e1"
 
 
-@query()
-def comp_connected_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components over every edge: the hard case, one that holds the whole table. Tests hold it against plain union."""
+@query(_component_sql(" SELECT node_id, comp AS component FROM c"))
+def comp_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over every edge: the hard case, one that holds the whole table."""
     return network.components(views.net_edge(spark, sf_dir))
 
 
-@query()
+@query(_grouped_components("SELECT CAST(etype AS BIGINT) AS g, node_from AS a, node_to AS b FROM net_edge", " SELECT CAST(g AS INTEGER) AS etype, node_id, comp AS component FROM c"))
 def comp_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components over the edges of each type: several, by a real attribute."""
     edges = views.net_edge(spark, sf_dir)
@@ -116,19 +114,40 @@ def comp_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(motion.ROAD).unionByName(one(motion.RAIL))
 
 
-@query()
-def comp_pairs_connected_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each node and the one north of it are in one component over every edge."""
+_PAIRS_SQL = " SELECT n.node_id AS a, n.node_id + 40 AS b, x.comp IS NOT NULL AND y.comp IS NOT NULL AND x.comp = y.comp AS connected FROM net_node n LEFT JOIN c x ON x.node_id = n.node_id LEFT JOIN c y ON y.node_id = n.node_id + 40"
+
+
+def _pairs_connected(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
     pairs = views.net_node(spark, sf_dir).select(F.col("node_id").alias("a"), (F.col("node_id") + 40).alias("b"))
-    return network.connected(pairs, network.components(views.net_edge(spark, sf_dir))).select("a", "b", "connected")
+    return network.connected(pairs, network.components(edges)).select("a", "b", "connected")
+
+
+@query(_component_sql(_PAIRS_SQL))
+def comp_pairs_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each node and the one north of it are in one component over every edge."""
+    return _pairs_connected(spark, sf_dir, views.net_edge(spark, sf_dir))
+
+
+@query(_component_sql(_PAIRS_SQL, _FAST))
+def comp_pairs_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the edges with a limit of 60 km/h or more."""
+    return _pairs_connected(spark, sf_dir, views.net_edge(spark, sf_dir).filter("speed_kmh >= 60"))
 
 
-@query()
+@query(_component_sql(f""", loc AS MATERIALIZED (SELECT c.node_id, comp, lat, lon, count(*) OVER (PARTITION BY comp) AS n FROM c JOIN net_node USING (node_id)) SELECT component, node_from, node_to, length_m FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY length_m, node_from, node_to) AS r FROM (
+    SELECT a.comp AS component, a.node_id AS node_from, b.node_id AS node_to, round({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) AS length_m FROM loc a JOIN loc b ON a.comp <> b.comp AND abs(a.lat - b.lat) < 5e-2 WHERE a.n <= 48) WHERE length_m <= 5e3) WHERE r = 1""", _FAST))
+def comp_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each small component of the fast network the shortest way to another one."""
+    labels = network.components(views.net_edge(spark, sf_dir).filter("speed_kmh >= 60"))
+    return network.bridges(views.net_node(spark, sf_dir), labels, reach_m=5_000.0, size=0.02)
+
+
+@query(_component_sql(" SELECT comp AS component, count(*) AS size, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, CAST(least(24, count(*)) AS INTEGER) AS n_seeds, list_sum(list_slice(list_sort(list(node_id)), 1, 24)) AS seed_sum FROM c JOIN net_node USING (node_id) GROUP BY comp", _FAST))
 def comp_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size, centroid and first nodes of each component; tests hold them against plain loops."""
-    labels = network.components(views.net_edge(spark, sf_dir).filter("etype = 1"))
+    """Size, centroid and first nodes of each component of the fast network."""
+    labels = network.components(views.net_edge(spark, sf_dir).filter("speed_kmh >= 60"))
     c = network.component_seeds(views.net_node(spark, sf_dir), labels)
-    return c.select("component", "size", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.size("seeds").alias("n_seeds"))
+    return c.select("component", "size", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.size("seeds").alias("n_seeds"), F.aggregate("seeds", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("seed_sum"))
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +167,8 @@ def match_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prepared(spark, sf_dir).select("id", "edge_id", "node_id", F.round("kmh", 9).alias("kmh"))
 
 
-def _meet_sql(pairs: str, body: str) -> str:
-    """Meetings of ``pairs`` (a, b), as rows of best(a, b, t0, found, t, kind, place, s)."""
+def _meet_sql(pairs: str, body: str, **more: str) -> str:
+    """Meetings of ``pairs`` (a, b), as rows of best(a, b, t0, found, t, kind, place, s); ``more``: tables in terms of it."""
     reach = f"""SELECT a.id AS a, b.id AS b, greatest(a.ts_unix, b.ts_unix) AS t0, a.ts_unix AS tsa, b.ts_unix AS tsb, a.kmh AS ka, b.kmh AS kb, a.etype,
         CAST(floor(least(1.728e5, greatest(4.8e2, d / greatest(5e0, least(a.kmh / 3.6e0, b.kmh / 3.6e0)) * 1.35e0 + 2.4e2)) * 1000) AS BIGINT) AS horizon_ms
         FROM (SELECT p.a AS pa, p.b AS pb, round({hav('x.lat', 'x.lon', 'y.lat', 'y.lon')}, 3) AS d FROM ({pairs}) p JOIN prep x ON x.id = p.a JOIN prep y ON y.id = p.b) JOIN prep a ON a.id = pa JOIN prep b ON b.id = pb
@@ -162,17 +181,19 @@ def _meet_sql(pairs: str, body: str) -> str:
     spot = "SELECT *, unnest([0e0, l, greatest(0e0, least(l, (b1 - a0 + l * pb) / (pa + pb))), greatest(0e0, least(l, (a1 - b0 + l * pa) / (pb + pa)))]) AS s FROM edge"
     cand = "SELECT a, b, round(greatest(ua, ub), 3) AS t, 0 AS kind, node_id AS place, 0e0 AS s FROM mutual UNION ALL SELECT a, b, round(greatest(least(a0 + s * pa, a1 + (l - s) * pa), least(b0 + s * pb, b1 + (l - s) * pb)), 3), 1, edge_id, round(s, 3) FROM spot"
     best = "SELECT r.a, r.b, r.t0, c.t, c.kind, c.place, c.s FROM reach r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY t, kind, place, s) AS k FROM cand) c ON c.a = r.a AND c.b = r.b AND c.k = 1"
-    return _with_field(body, "net_edge", "fleet", "ping", arc=ARC, cell=CELL, snap=SNAP, prep=PREP, reach=reach, need=need, seed=seed, w=w, after={"mutual": mutual, "edge": edge, "spot": spot, "cand": cand, "best": best})
+    return _with_field(body, "net_edge", "fleet", "ping", arc=ARC, cell=CELL, snap=SNAP, prep=PREP, reach=reach, need=need, seed=seed, w=w, after={"mutual": mutual, "edge": edge, "spot": spot, "cand": cand, "best": best, **more})
 
 
-_CLOSE = f"SELECT x.id AS a, y.id AS b FROM fleet x JOIN fleet y ON x.s_suppkey < y.s_suppkey AND x.vtype = y.vtype AND {hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} <= 4e3"
+_EVERY = "SELECT x.id AS a, y.id AS b FROM fleet x JOIN fleet y ON x.s_suppkey < y.s_suppkey AND x.vtype = y.vtype"
 _LEAD = "SELECT x.id AS a, y.id AS b FROM fleet x JOIN fleet y ON x.id <> y.id WHERE x.s_suppkey = 1"
+_FOCAL = "SELECT x.id AS a, y.id AS b FROM fleet x JOIN fleet y ON x.id <> y.id WHERE x.s_suppkey % 100 = 1"
 
 
-def _close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = spatial.nearby_vehicles(views.fleet(spark, sf_dir), 4_000.0)
-    number = lambda c: F.substring(c, 2, 20).cast("bigint")
-    return near.filter(number("id") < number("other_id")).select(F.col("id").alias("a"), F.col("other_id").alias("b"))
+def _every_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two vehicles of a type once: what is asked for is a row for each pair within the operator's reach."""
+    fleet = views.fleet(spark, sf_dir)
+    side = lambda k: fleet.select(F.col("id").alias(k), F.col("s_suppkey").alias(f"_{k}"), "vtype")
+    return side("a").join(side("b"), "vtype").filter("_a < _b").select("a", "b")
 
 
 def _lead_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +201,13 @@ def _lead_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.filter("s_suppkey = 1").select(F.col("id").alias("a")).crossJoin(fleet.filter("s_suppkey <> 1").select(F.col("id").alias("b")))  # one row
 
 
+def _focal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The focal vehicles, a stated query set, against all others: both directions, and no radius but the operator's reach."""
+    fleet = views.fleet(spark, sf_dir)
+    focal = fleet.filter("s_suppkey % 100 = 1").select(F.col("id").alias("a"))
+    return fleet.select(F.col("id").alias("b")).join(F.broadcast(focal), F.col("a") != F.col("b"))  # few queries
+
+
 _SHOW = "SELECT a, b, t IS NOT NULL AS found, round(t / 1000, 6) AS meet_s, CASE kind WHEN 0 THEN CAST(place AS VARCHAR) WHEN 1 THEN concat('edge:', CAST(place AS VARCHAR)) END AS location_id FROM best"
 
 
@@ -191,10 +219,14 @@ def _meetings(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
     return meetings.meetings(pairs, _prepared(spark, sf_dir), views.net_edge(spark, sf_dir), views.net_node(spark, sf_dir))
 
 
-@query(_meet_sql(_CLOSE, _SHOW))
+def _routed(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    return meetings.with_routes(found, _prepared(spark, sf_dir), views.net_edge(spark, sf_dir), views.net_node(spark, sf_dir))
+
+
+@query(_meet_sql(_EVERY, _SHOW))
 def meet_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Meetings of all vehicles of a type within 4 km of each other."""
-    return _shown(_meetings(spark, sf_dir, _close_pairs(spark, sf_dir)))
+    """Meetings of all vehicles of a type."""
+    return _shown(_meetings(spark, sf_dir, _every_pair(spark, sf_dir)))
 
 
 @query(_meet_sql(_LEAD, f"SELECT a, b, found, meet_s, location_id, CAST(row_number() OVER (PARTITION BY a ORDER BY found DESC, t, b) AS INTEGER) AS rank FROM (SELECT *, t IS NOT NULL AS found, round(t / 1000, 6) AS meet_s, CASE kind WHEN 0 THEN CAST(place AS VARCHAR) WHEN 1 THEN concat('edge:', CAST(place AS VARCHAR)) END AS location_id FROM best)"))
@@ -203,27 +235,38 @@ def meet_lead_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(meetings.ranked_for_lead(_meetings(spark, sf_dir, _lead_pairs(spark, sf_dir))), "rank")
 
 
-@query(_meet_sql(_CLOSE, "SELECT a, b, round(t / 1000, 6) AS meet_s FROM (SELECT best.*, row_number() OVER (PARTITION BY best.a ORDER BY t0 + t / 1000, s_suppkey) AS k FROM best JOIN fleet ON fleet.id = best.b WHERE t IS NOT NULL) WHERE k = 1"))
-def meet_best_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vehicle's soonest partner among the later ones within 4 km; of equal times the first in the fleet's order."""
+_SOONEST = "SELECT a, b, t0, t, kind, place, s FROM (SELECT best.*, row_number() OVER (PARTITION BY best.a ORDER BY round(t0 + t / 1000, 6), s_suppkey) AS k FROM best JOIN fleet ON fleet.id = best.b WHERE t IS NOT NULL) WHERE k = 1"
+
+
+def _soonest(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = views.fleet(spark, sf_dir).select("id", F.col("s_suppkey").alias("ord"))
-    best = meetings.best_partner(_meetings(spark, sf_dir, _close_pairs(spark, sf_dir)), order)
-    return best.select("a", "b", F.round("meet_s", 6).alias("meet_s"))
+    return meetings.best_partner(_meetings(spark, sf_dir, _focal_pairs(spark, sf_dir)), order)
 
 
-def _focal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The focal vehicles, every hundredth, against all others: both directions, and no radius but the operator's reach."""
-    fleet = views.fleet(spark, sf_dir)
-    focal = fleet.filter("s_suppkey % 100 = 1").select(F.col("id").alias("a"))
-    return fleet.select(F.col("id").alias("b")).join(F.broadcast(focal), F.col("a") != F.col("b"))  # few queries
+@query(_meet_sql(_FOCAL, f"SELECT a, b, round(t / 1000, 6) AS meet_s FROM ({_SOONEST})"))
+def meet_best_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each focal vehicle's soonest partner among all others of its type; of equal times the first in the fleet's order."""
+    return _soonest(spark, sf_dir).select("a", "b", F.round("meet_s", 6).alias("meet_s"))
 
 
-@query()
-def meet_best_focal_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The soonest partner of each focal vehicle among all others of its type; tests hold it against the lead's ranking."""
-    order = views.fleet(spark, sf_dir).select("id", F.col("s_suppkey").alias("ord"))
-    best = meetings.best_partner(_meetings(spark, sf_dir, _focal_pairs(spark, sf_dir)), order)
-    return best.select("a", "b", F.round("meet_s", 6).alias("meet_s"))
+def _route_sql(pairs: str, body: str, chosen: str = "SELECT a, b, t0, t, kind, place, s FROM best WHERE t IS NOT NULL") -> str:
+    """Ways to meetings as rows of way(a, b, side, len, hops), the polylines' lengths; ``chosen``: the meetings."""
+    spot = f"SELECT c.*, round(coalesce(n.lat, e.flat + (e.tlat - e.flat) * (s / e.length_m)), 6) AS mlat, round(coalesce(n.lon, e.flon + (e.tlon - e.flon) * (s / e.length_m)), 6) AS mlon, e.node_from, e.node_to, e.length_m AS el FROM ({chosen}) c LEFT JOIN net_node n ON c.kind = 0 AND n.node_id = c.place LEFT JOIN net_edge e ON c.kind = 1 AND e.edge_id = c.place"
+    ends = "SELECT *, place AS target, 0e0 AS off FROM mspot WHERE kind = 0 UNION ALL SELECT *, node_from, abs(s) FROM mspot WHERE kind = 1 UNION ALL SELECT *, node_to, abs(s - el) FROM mspot WHERE kind = 1"
+    goal = "SELECT 'self' AS side, a AS id, * FROM mend UNION ALL SELECT 'partner', b, * FROM mend"
+    pick = "SELECT * FROM (SELECT g.*, p.lat AS vlat, p.lon AS vlon, row_number() OVER (PARTITION BY g.a, g.b, side ORDER BY round(f.t_ms + off * 3.6e3 / p.kmh, 3), target) AS r FROM goal g JOIN prep p ON p.id = g.id JOIN f ON f.key = g.id AND f.node_id = target) WHERE r = 1"
+    parent = "SELECT * FROM (SELECT f.key, f.node_id, w.node_to AS parent_node, row_number() OVER (PARTITION BY f.key, f.node_id ORDER BY w.node_to, w.edge_id) AS r FROM f JOIN w ON w.node_from = f.node_id AND w.key = f.key JOIN f g ON g.node_id = w.node_to AND g.key = f.key WHERE g.t_ms + w.cost_ms = f.t_ms AND NOT EXISTS (SELECT 1 FROM seed s WHERE s.key = f.key AND s.node_id = f.node_id AND s.t_ms = f.t_ms)) WHERE r = 1"
+    first = f"SELECT pick.a, pick.b, side, id, vlat, vlon, target AS pos, 0 AS hops, CASE WHEN {hav('n.lat', 'n.lon', 'mlat', 'mlon')} > 1e0 THEN {hav('n.lat', 'n.lon', 'mlat', 'mlon')} ELSE 0e0 END AS len FROM pick JOIN net_node n ON n.node_id = target"
+    steps = f"SELECT walk.a, walk.b, side, id, vlat, vlon, parent_node, hops + 1, len + {hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} FROM walk JOIN parent ON parent.key = walk.id AND parent.node_id = walk.pos JOIN net_node x ON x.node_id = parent_node JOIN net_node y ON y.node_id = walk.pos"
+    way = f"SELECT walk.a, walk.b, side, walk.hops, round(len + CASE WHEN {hav('vlat', 'vlon', 'n.lat', 'n.lon')} > 2.5e1 THEN {hav('vlat', 'vlon', 'n.lat', 'n.lon')} ELSE 0e0 END, 1) AS len FROM walk JOIN net_node n ON n.node_id = pos LEFT JOIN parent ON parent.key = walk.id AND parent.node_id = walk.pos WHERE parent.key IS NULL"
+    return _meet_sql(pairs, body, mspot=spot, mend=ends, goal=goal, pick=pick, parent=parent, **{"walk(a, b, side, id, vlat, vlon, pos, hops, len)": f"{first} UNION ALL {steps}"}, way=way)
+
+
+@query(_route_sql(_LEAD, "SELECT best.a, best.b, best.t IS NOT NULL AS found, x.len AS self_m, y.len AS partner_m, x.hops AS hops_self, y.hops AS hops_partner FROM best LEFT JOIN way x ON x.a = best.a AND x.b = best.b AND x.side = 'self' LEFT JOIN way y ON y.a = best.a AND y.b = best.b AND y.side = 'partner'"))
+def meet_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lead's and its partners' ways to where they meet: lengths of the polylines and edges in full."""
+    found = _routed(spark, sf_dir, _meetings(spark, sf_dir, _lead_pairs(spark, sf_dir)))
+    return found.select("a", "b", "found", "self_m", "partner_m", "hops_self", "hops_partner")
 
 
 def _arrive_sql(body: str) -> str:
@@ -294,19 +337,21 @@ def json_arrival_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.groupBy("dest_id").agg(F.count("*").alias("n"), F.count_if("v.reachable").alias("n_reachable"), F.min("v.vehicleId").alias("first_id"), F.bool_and(F.size("v.route") >= 2).alias("has_route"))
 
 
-@query(_meet_sql(_LEAD, "SELECT a, count(*) AS n, CAST(sum(CASE WHEN t IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_found FROM best GROUP BY a"))
+@query(_route_sql(_LEAD, "SELECT best.a, best.b, best.t IS NOT NULL AS found, x.len AS self_m, y.len AS partner_m, x.len IS NOT NULL AS drawn FROM best LEFT JOIN way x ON x.a = best.a AND x.b = best.b AND x.side = 'self' LEFT JOIN way y ON y.a = best.a AND y.b = best.b AND y.side = 'partner'"))
 def json_lead_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lead's JSON, read back."""
-    j = export.lead_json(meetings.ranked_for_lead(_meetings(spark, sf_dir, _lead_pairs(spark, sf_dir))))
-    m = F.from_json(F.get_json_object("json", "$.meetings"), "array<struct<found:boolean,partner:string>>")
-    return j.select("a", F.explode(m).alias("m")).groupBy("a").agg(F.count("*").alias("n"), F.count_if("m.found").alias("n_found"))
+    j = export.lead_json(meetings.ranked_for_lead(_routed(spark, sf_dir, _meetings(spark, sf_dir, _lead_pairs(spark, sf_dir)))))
+    m = F.from_json(F.get_json_object("json", "$.meetings"), "array<struct<found:boolean,partner:string,routeDistanceSelfM:double,routeDistancePartnerM:double,routeSelf:array<array<double>>>>")
+    rows = j.select("a", F.explode(m).alias("m"))
+    return rows.select("a", F.col("m.partner").alias("b"), "m.found", F.col("m.routeDistanceSelfM").alias("self_m"), F.col("m.routeDistancePartnerM").alias("partner_m"), (F.coalesce(F.size("m.routeSelf"), F.lit(-1)) > 0).alias("drawn"))
 
 
-@query(_meet_sql(_CLOSE, "SELECT a, b AS partner, t IS NOT NULL AS found FROM best WHERE t IS NOT NULL"))
+@query(_route_sql(_FOCAL, "SELECT c.a, c.b AS partner, TRUE AS found, x.len AS self_m, y.len AS partner_m FROM soonest c LEFT JOIN way x ON x.a = c.a AND x.b = c.b AND x.side = 'self' LEFT JOIN way y ON y.a = c.a AND y.b = c.b AND y.side = 'partner'", "SELECT * FROM soonest").replace(", mspot AS (", f", soonest AS ({_SOONEST}), mspot AS (", 1))
 def json_meeting_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = export.meeting_json(_meetings(spark, sf_dir, _close_pairs(spark, sf_dir)))
-    rows = j.select(F.get_json_object("json", "$.focal").alias("a"), F.get_json_object("json", "$.partner").alias("partner"), F.get_json_object("json", "$.found").cast("boolean").alias("found"))
-    return rows.filter("found")
+    """The focal vehicles' best meetings as JSON, read back."""
+    j = export.meeting_json(_routed(spark, sf_dir, _soonest(spark, sf_dir)))
+    get = lambda name, kind: F.get_json_object("json", f"$.{name}").cast(kind)
+    return j.select(get("focal", "string").alias("a"), get("partner", "string").alias("partner"), get("found", "boolean").alias("found"), get("routeDistanceSelfM", "double").alias("self_m"), get("routeDistancePartnerM", "double").alias("partner_m"))
 
 
 @query(with_views(f"SELECT id, round({hav('lat', 'lon', '2.22e1', '1.132e2')}, 3) AS dist_m, CAST(row_number() OVER (ORDER BY round({hav('lat', 'lon', '2.22e1', '1.132e2')}, 3), id) AS INTEGER) AS rank FROM fleet ORDER BY dist_m, id LIMIT 10", "fleet"))
@@ -333,20 +378,3 @@ def path_position_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = spatial.nearest_edge(fleet, edges).join(fleet.select("id", F.col("speed_kmh").alias("kmh"), motion.edge_type(F.col("vtype")).alias("etype")), "id")
     sources = paths.seeds(places).join(places.select("id", "kmh", "etype"), "id").select(F.col("id").alias("key"), "node_id", "t_ms", "kmh", "etype", F.lit(600_000).cast("bigint").alias("horizon_ms"))
     return paths.position_after(paths.time_fields(sources, network.arcs(edges)))
-
-
-_LABEL_SQL = with_views("SELECT 1", "net_edge", recursive=True, link=f"{_LINK} UNION ALL SELECT b, a FROM ({_LINK})").replace(" SELECT 1", ", c(node_id, comp) USING KEY (node_id) AS (SELECT DISTINCT a, a FROM link UNION SELECT link.b, min(c.comp) FROM c JOIN link ON link.a = c.node_id JOIN recurring.c AS r ON r.node_id = link.b WHERE c.comp < r.comp GROUP BY link.b)")
-
-
-@query(_LABEL_SQL + f""", loc AS MATERIALIZED (SELECT c.node_id, comp, lat, lon, count(*) OVER (PARTITION BY comp) AS n FROM c JOIN net_node USING (node_id)) SELECT component, node_from, node_to, length_m FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY length_m, node_from, node_to) AS r FROM (
-    SELECT a.comp AS component, a.node_id AS node_from, b.node_id AS node_to, round({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) AS length_m FROM loc a JOIN loc b ON a.comp <> b.comp AND abs(a.lat - b.lat) < 5e-2 WHERE a.n <= 48) WHERE length_m <= 5e3) WHERE r = 1""")
-def comp_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = network.components(views.net_edge(spark, sf_dir).filter("etype = 1 or node_from % 7 = 0"))
-    return network.bridges(views.net_node(spark, sf_dir), labels, reach_m=5_000.0, size=0.02)
-
-
-@query(_LABEL_SQL + " SELECT n.node_id AS a, n.node_id + 40 AS b, x.comp IS NOT NULL AND y.comp IS NOT NULL AND x.comp = y.comp AS connected FROM net_node n LEFT JOIN c x ON x.node_id = n.node_id LEFT JOIN c y ON y.node_id = n.node_id + 40")
-def comp_pairs_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = network.components(views.net_edge(spark, sf_dir).filter("etype = 1 or node_from % 7 = 0"))
-    pairs = views.net_node(spark, sf_dir).select(F.col("node_id").alias("a"), (F.col("node_id") + 40).alias("b"))
-    return network.connected(pairs, labels).select("a", "b", "connected")

@@ -168,17 +168,9 @@ def join_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.edges_in_radius(points, views.net_edge(spark, sf_dir))
 
 
-@query(with_views("SELECT node_id, kind FROM (SELECT n.node_id, CASE WHEN n.kind = 1 AND EXISTS (SELECT 1 FROM net_node r WHERE r.node_id IN (SELECT node_from FROM net_edge WHERE etype = 0 UNION SELECT node_to FROM net_edge WHERE etype = 0) AND r.node_id % 4 = 1 AND abs(r.lat - n.lat) < 2e-2 AND " + hav("n.lat", "n.lon", "r.lat", "r.lon") + " <= 1.1e3) THEN 2 ELSE n.kind END AS kind FROM net_node n)", "net_edge"))
+@query(with_views("SELECT node_id, kind FROM (SELECT n.node_id, CASE WHEN n.kind = 1 AND EXISTS (SELECT 1 FROM net_node r WHERE r.node_id IN (SELECT node_from FROM net_edge WHERE etype = 0 UNION SELECT node_to FROM net_edge WHERE etype = 0) AND abs(r.lat - n.lat) < 2e-2 AND " + hav("n.lat", "n.lon", "r.lat", "r.lon") + " <= 1.1e3) THEN 2 ELSE n.kind END AS kind FROM net_node n)", "net_edge"))
 def join_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations near a node that has a road; here only every fourth node counts as having one, so not all are hubs."""
-    nodes, edges = views.net_node(spark, sf_dir), views.net_edge(spark, sf_dir).filter("etype = 0")
-    some = edges.select(F.explode(F.array("node_from", "node_to")).alias("n")).filter("n % 4 = 1").select(F.col("n").alias("node_from"), F.col("n").alias("node_to"), F.lit(0).alias("etype"))
-    return spatial.mark_hubs(nodes, some, radius_m=1_100.0).select("node_id", "kind")
-
-
-@query()
-def join_hub_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations near a node that has a road, all roads counting; tests hold them against plain loops."""
+    """Stations near a node that has a road."""
     return spatial.mark_hubs(views.net_node(spark, sf_dir), views.net_edge(spark, sf_dir), radius_m=1_100.0).select("node_id", "kind")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetnet import schemas
 from fleetnet.functions import geo, motion, routes
-from fleetnet.operators import arrivals, export, meetings, network, paths, spatial
+from fleetnet.operators import arrivals, export, fleetops, meetings, network, paths, ranks, spatial
 from fleetnet.sources import binary, osm, requests
 from fleetnet.streaming import state
 
@@ -341,3 +341,41 @@ def test_field_times_and_positions(spark, random_graph):
     want = min(best.get(edge.node_from, 1 << 60) + 1_000, best.get(edge.node_to, 1 << 60) + round((edge.length_m - 10) * 100))
     found = [r.t_ms for r in paths.times_at(paths.time_fields(source.withColumn("horizon_ms", F.lit(None).cast("bigint")), arcs), place).collect()]
     assert found == ([want] if want < 1 << 60 else [])
+
+
+def test_meeting_routes(spark, tiny):
+    nodes, edges = tiny
+    cars = fleet(spark, ("A", 43.80, 87.50), ("B", 43.82, 87.52), ("C", 43.8201, 87.52)).withColumn("ts_unix", F.when(F.col("id") == "A", T0 - 50).otherwise(T0).cast("bigint"))
+    ready = meetings.prepare(cars, edges)
+    found = meetings.meetings(pairs_of(spark, ("A", "B"), ("B", "C")), ready, edges, nodes)
+    rows = {(r.a, r.b): r for r in meetings.with_routes(found, ready, edges, nodes).collect()}
+    ab = rows["A", "B"]
+    assert [(round(p.lat, 2), round(p.lon, 2)) for p in ab.route_self[:2]] == [(43.80, 87.50), (43.81, 87.51)] and (round(ab.route_partner[0].lat, 2), ab.hops_self, ab.hops_partner) == (43.82, 1, 0)
+    for r, line, m in ((ab, ab.route_self, ab.self_m), (ab, ab.route_partner, ab.partner_m)):
+        assert (line[-1].lat, line[-1].lon) == (r.lat, r.lon) and m == pytest.approx(sum(hav(*p, *q) for p, q in zip(line, line[1:], strict=False)), abs=0.06)
+    got = {r.a: r.json for r in export.meeting_json(meetings.with_routes(found, ready, edges, nodes)).collect()}
+    assert '"routeDistanceSelfM"' in got["A"] and '"routePartner":[[' in got["A"]
+
+
+def test_ranks_of_a_large_group(spark):
+    rng = random.Random(13)
+    rows = [("big" if rng.random() < 0.8 else rng.choice(["x", "y", None]), rng.randrange(50), k) for k in range(4_000)]
+    got = ranks.ranked_within(spark.createDataFrame(rows, "g string, v int, k int").repartition(9), "g", [F.col("v"), F.col("k")]).collect()
+    want = {}
+    for g in {r[0] for r in rows}:
+        for place, (v, k) in enumerate(sorted((v, k) for h, v, k in rows if h == g), 1):
+            want[k] = place
+    assert {r.k: r["rank"] for r in got} == want
+    place = {r.k: (r._pos, r.n) for r in ranks.in_order(spark.createDataFrame(rows, "g string, v int, k int"), [F.col("k")], "_pos", "n").collect()}
+    assert place == {k: (k, 4_000) for k in range(4_000)}
+    halves = {r.g: r["median"] for r in fleetops.upper_median(spark.createDataFrame(rows, "g string, v int, k int").filter("g is not null"), "g", "v").collect()}
+    assert halves == {g: sorted(v for h, v, _ in rows if h == g)[sum(h == g for h, _, _ in rows) // 2] for g in ("big", "x", "y")}
+
+
+def test_arcs_without_length_end(spark):
+    edges = spark.createDataFrame([(1, 1, 2, 0, 0.0, 0.0), (2, 2, 3, 0, 0.0, 0.0), (3, 1, 3, 0, 5.0, 0.0)], schemas.EDGE)
+    source = spark.createDataFrame([("a", 1, 0, 60.0, 0, None)], "key string, node_id bigint, t_ms bigint, kmh double, etype int, horizon_ms bigint")
+    targets = spark.createDataFrame([("a", n) for n in (1, 2, 3)], "key string, target bigint")
+    for engine in ("heap", "relax"):
+        got = {r.target: list(r.nodes) for r in paths.routes(source, targets, network.arcs(edges), engine).collect()}
+        assert got == {1: [1], 2: [2, 1], 3: [3, 2, 1]}

@@ -25,9 +25,9 @@ def plain(edges):
 def test_components_over_every_edge(spark):
     edges = views.net_edge(spark, SF).collect()
     want = plain(edges)
-    assert {r.node_id: r.component for r in answers.comp_connected_all(spark, SF).collect()} == want
+    assert {r.node_id: r.component for r in answers.comp_connected(spark, SF).collect()} == want
     types = {(k, i): c for k in (0, 1) for i, c in plain([e for e in edges if e.etype == k]).items()}
     assert {(r.etype, r.node_id): r.component for r in answers.comp_by_type(spark, SF).collect()} == types
-    got = {(r.a, r.b): r.connected for r in answers.comp_pairs_connected_all(spark, SF).collect()}
+    got = {(r.a, r.b): r.connected for r in answers.comp_pairs_connected(spark, SF).collect()}
     nodes = [r.node_id for r in views.net_node(spark, SF).collect()]
     assert got == {(i, i + 40): i in want and want.get(i) == want.get(i + 40) for i in nodes}

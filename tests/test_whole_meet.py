@@ -14,5 +14,5 @@ def test_best_focal_is_over_all_vehicles(spark):
     ms = {i: r.ts_unix for i, r in fleet.items()}
     lead = [r for r in answers.meet_lead_ranked(spark, SF).collect() if r.found]  # against its SQL twin in test_oracle
     first = min(lead, key=lambda r: (round(max(ms[r.a], ms[r.b]) + r.meet_s, 6), fleet[r.b].s_suppkey))
-    got = {r.a: r for r in answers.meet_best_focal_all(spark, SF).collect()}
+    got = {r.a: r for r in answers.meet_best_focal(spark, SF).collect()}
     assert (got[first.a].b, got[first.a].meet_s) == (first.b, first.meet_s)

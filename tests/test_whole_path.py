@@ -18,7 +18,7 @@ def test_every_reachable_node_has_a_shortest_route(spark):
         ms = int(e.length_m * 3.6e3 / (min(60.0, e.speed_kmh) if e.speed_kmh > 0 else 60.0) + 0.5)
         cost[e.edge_id, e.node_from, e.node_to] = cost[e.edge_id, e.node_to, e.node_from] = ms
     got = defaultdict(list)
-    for r in answers.path_route_all(spark, SF).collect():
+    for r in answers.path_route(spark, SF).collect():
         got[r.target].append((r.hop, r.node_id, r.edge_id))
     assert set(got) == set(field) and len([t for t in got if t % 97]) > 100
     for target, steps in got.items():
