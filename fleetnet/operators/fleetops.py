@@ -76,6 +76,13 @@ def speed_groups(vehicles: DataFrame, together: int = 8) -> DataFrame:
     return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("kmh").alias("min_kmh"), F.max("horizon_s").alias("max_horizon_s"), F.max("dist_m").alias("max_dist_m"))
 
 
+def home_center(placed: DataFrame, regions: DataFrame) -> DataFrame:
+    """One row: lat, lon, the mean of the centres of the regions (see ``spatial.region_of``) that vehicles are in, and n."""
+    homes = placed.select(F.col("region").alias("suffix")).distinct()
+    mid = lambda k: F.avg((F.col(f"min_{k}") + F.col(f"max_{k}")) * 0.5).alias(k)
+    return regions.join(homes, "suffix", "left_semi").agg(mid("lat"), mid("lon"), F.count("*").alias("n"))
+
+
 def fleet_box(vehicles: DataFrame, padding_m: float) -> DataFrame:
     """One row: the box around all vehicles with a margin; nulls for an empty fleet."""
     ends = vehicles.agg(F.min("lon").alias("a"), F.min("lat").alias("b"), F.max("lon").alias("c"), F.max("lat").alias("d"))

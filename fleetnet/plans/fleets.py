@@ -140,8 +140,8 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     none = F.array().cast("array<double>")
     rows = e.select(F.concat(F.lit("V"), F.col("user_id").cast("string")).alias("id"), F.col("event_id").alias("seq"), F.lit("truck").alias("vtype"), F.lit(22.0).alias("lat"), F.lit(113.0).alias("lon"), F.round(F.col("value") / 5e0, 3).alias("speed_kmh"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts_unix"), none.alias("history"), (F.col("event_id") % 9 == 0).alias("removed"))
-    first = state.merge_latest(rows.filter("seq < 0"), rows.filter("seq % 2 = 0 or removed"))
-    return state.merge_latest(first, rows.filter("seq % 2 = 1 or removed")).select("id", "seq", "speed_kmh")
+    first = state.merge_latest(rows.limit(0), rows.filter("seq % 2 = 0"))
+    return state.present(state.merge_latest(first, rows.filter("seq % 2 = 1"))).select("id", "seq", "speed_kmh")
 
 
 _JSON = "concat('{\"id\":\"', id, '\",\"type\":\"', vtype, '\",\"lat\":', CAST(lat AS VARCHAR(40)), ',\"lon\":', CAST(lon AS VARCHAR(40)), ',\"speed\":', CAST(speed_kmh AS VARCHAR(40)), ',\"time\":\"2024-01-01T00:0', CAST(s_suppkey % 10 AS VARCHAR(4)), ':00Z\",\"history\":[60.5,61.5]}')"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("scalars", "networks", "fleets", "answers")
+_MODULES = ("scalars", "networks", "fleets", "answers", "extras")
 
 
 def query(sql: str | None = None) -> Callable:

@@ -232,12 +232,12 @@ def fn_along_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.net_edge(spark, sf_dir).select("edge_id", F.round(geo.interpolate(F.col("flat"), F.col("tlat"), 0.25), 9).alias("lat"), F.round(geo.interpolate(F.col("flon"), F.col("tlon"), 0.25), 9).alias("lon"))
 
 
-_ROUTE = f"SELECT node_id, g, k, lat, lon, CASE WHEN lag(lat) OVER w IS NOT NULL THEN {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} END AS d, count(*) OVER (PARTITION BY g) AS n FROM (SELECT node_id, lat, lon, node_id // 40 AS g, node_id % 40 AS k FROM net_node WHERE node_id % 13 <> 5) WINDOW w AS (PARTITION BY g ORDER BY k)"
+_ROUTE = f"SELECT node_id, g, k, lat, lon, CASE WHEN lag(lat) OVER w IS NOT NULL THEN {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} END AS d, count(*) OVER (PARTITION BY g) AS n FROM (SELECT node_id, lat, lon, node_id // 40 AS g, node_id % 40 AS k FROM net_node) WINDOW w AS (PARTITION BY g ORDER BY k)"
 
 
 def grid_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A route along each row of the grid, with some points left out."""
-    n = views.net_node(spark, sf_dir).filter("node_id % 13 <> 5")
+    """A route along each row of the grid."""
+    n = views.net_node(spark, sf_dir)
     lists = n.groupBy(F.floor(F.col("node_id") / 40).cast("bigint").alias("g")).agg(F.array_sort(F.collect_list(F.struct("node_id", "lat", "lon"))).alias("_p"))
     return lists.select("g", F.transform("_p", lambda x: routes.point(x["lat"], x["lon"])).alias("route"))
 

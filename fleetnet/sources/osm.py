@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetnet.functions.geo import haversine_m
@@ -16,8 +16,10 @@ _NODE = "_id BIGINT, _lat DOUBLE, _lon DOUBLE, tag ARRAY<STRUCT<_k: STRING, _v:
 _WAY = "_id BIGINT, nd ARRAY<STRUCT<_ref: BIGINT>>, tag ARRAY<STRUCT<_k: STRING, _v: STRING>>"
 
 
-def _tags():
-    return F.map_from_entries(F.transform(F.coalesce("tag", F.array().cast("array<struct<_k:string,_v:string>>")), lambda t: F.struct(t["_k"], t["_v"])))
+def _tag(key: str) -> Column:
+    """The value of an element's tag; of a key that it has twice, the last."""
+    own = F.filter("tag", lambda t: t["_k"] == key)
+    return F.element_at(F.when(F.size(own) > 0, own), -1)["_v"]
 
 
 def read_ways(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -26,11 +28,11 @@ def read_ways(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    rows = rows.groupBy("_id").agg(F.max_by(F.struct("nd", "tag"), "_input").alias("_w")).select("_id", "_w.nd", "_w.tag").withColumn("_t", _tags())
-    road = F.col("_t")["highway"].isin(*ROADS) & ~F.coalesce(F.col("_t")["area"] == "yes", F.lit(False))
-    rail = F.col("_t")["railway"] == "rail"
+    rows = rows.groupBy("_id").agg(F.max_by(F.struct("nd", "tag"), "_input").alias("_w")).select("_id", "_w.nd", "_w.tag")
+    road = _tag("highway").isin(*ROADS) & ~F.coalesce(_tag("area") == "yes", F.lit(False))
+    rail = _tag("railway") == "rail"
     etype = F.when(road, 0).when(rail, 1)
-    return rows.select(F.col("_id").alias("way_id"), etype.alias("etype"), maxspeed_kmh(F.col("_t")["maxspeed"]).alias("speed_kmh"), F.transform("nd", lambda n: n["_ref"]).alias("refs")).filter("etype is not null and size(refs) >= 2")
+    return rows.select(F.col("_id").alias("way_id"), etype.alias("etype"), maxspeed_kmh(_tag("maxspeed")).alias("speed_kmh"), F.transform("nd", lambda n: n["_ref"]).alias("refs")).filter("etype is not null and size(refs) >= 2")
 
 
 def read_nodes(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -39,8 +41,8 @@ def read_nodes(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    rows = rows.groupBy("_id").agg(F.max_by(F.struct("_lat", "_lon", "tag"), "_input").alias("_n")).select("_id", "_n._lat", "_n._lon", "_n.tag").withColumn("_t", _tags())
-    return rows.select(F.col("_id").alias("node_id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), F.when(F.col("_t")["railway"].isin(*STATIONS), 1).otherwise(0).alias("kind"))
+    rows = rows.groupBy("_id").agg(F.max_by(F.struct("_lat", "_lon", "tag"), "_input").alias("_n")).select("_id", "_n._lat", "_n._lon", "_n.tag")
+    return rows.select(F.col("_id").alias("node_id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), F.when(_tag("railway").isin(*STATIONS), 1).otherwise(0).alias("kind"))
 
 
 def segments(ways: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -27,9 +27,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/fleetnet-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again, for tables that are read several times."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fleetnet-{uuid.uuid4().hex}"
+    """``df`` written as Parquet into the shared folder and read again, for tables that are read several times.
+
+    The files stay until ``sweep``, as results that are read later may need them.
+    """
+    path = f"{_own(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the stored tables of this application; call it once results have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -206,7 +206,7 @@ def test_route_checks(spark):
 
 OSM = """<osm><node id="1001" lat="43.80" lon="87.50"/><node id="1002" lat="43.81" lon="87.51"/>
 <node id="1003" lat="43.82" lon="87.52"><tag k="railway" v="station"/></node><node id="5" lat="1" lon="1"/>
-<way id="2001"><nd ref="1001"/><nd ref="1002"/><nd ref="1003"/><tag k="highway" v="primary"/><tag k="maxspeed" v="72"/></way>
+<way id="2001"><nd ref="1001"/><nd ref="1002"/><nd ref="1003"/><tag k="highway" v="footway"/><tag k="highway" v="primary"/><tag k="maxspeed" v="72"/></way>
 <way id="2002"><nd ref="1001"/><nd ref="77"/><tag k="highway" v="primary"/></way>
 <way id="2003"><nd ref="1001"/><nd ref="1002"/><tag k="highway" v="footway"/></way></osm>"""
 
@@ -274,8 +274,17 @@ def test_merge_latest(spark):
     cols = "id string, seq bigint, vtype string, lat double, lon double, speed_kmh double, ts_unix bigint, history array<double>, removed boolean"
     a = spark.createDataFrame([("A", 1, "truck", 1.0, 1.0, 50.0, 10, [3.0], False), ("B", 2, "truck", 1.0, 1.0, 50.0, 10, [], False)], cols).select("id", *state._FIELDS)
     b = spark.createDataFrame([("A", 3, "truck", 2.0, 2.0, 60.0, 5, [], False), ("B", 4, "truck", 1.0, 1.0, 50.0, 11, [], True)], cols).select("id", *state._FIELDS)
-    (r,) = state.merge_latest(a, b).collect()
+    both = state.merge_latest(a, b)
+    (r,) = state.present(both).collect()
     assert r.id == "A" and r.lat == 2.0 and list(r.history) == [3.0]
+    old = spark.createDataFrame([("B", 3, "truck", 1.0, 1.0, 50.0, 12, [7.0], False)], cols).select("id", *state._FIELDS)
+    assert [x.id for x in state.present(state.merge_latest(both, old)).collect()] == ["A"]  # an older row brings no one back
+    new = spark.createDataFrame([("B", 9, "truck", 1.3, 1.0, 50.0, 12, [], False)], cols).select("id", *state._FIELDS)
+    back = {x.id: x for x in state.present(state.merge_latest(state.merge_latest(both, old), new)).collect()}
+    assert back["B"].seq == 9 and list(back["B"].history) == []
+    changes = {x.id: (x.change, x.gx, x.old_gx) for x in state.cell_changes(both, state.merge_latest(both, new)).collect()}
+    assert changes == {"B": ("insert", 5, None)}
+    assert {(x.id, x.change) for x in state.cell_changes(a, both).collect()} == {("A", "move"), ("B", "remove")}
 
 
 def test_round_robin_covers_cells(spark, tiny):
