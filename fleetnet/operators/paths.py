@@ -4,7 +4,9 @@ Times are whole milliseconds, so plus and least are exact and ties are ties. Two
 
 * ``heap``: the arcs, if there are at most MAX_ARCS of them, are broadcast as arrays and each source's search is a heap
   search in an Arrow batch; sources are spread over the tasks.
-* ``relax``: a loop of joins, all sources at once, whose frontier holds the nodes that improved; for larger networks.
+* ``relax``: the network is cut into blocks of neighbouring node numbers; each round searches, inside every block that got
+  better times from outside, as far as the block goes and hands on what crosses its border. All sources go at once, and
+  rounds grow with the blocks on a way, not with its nodes. For larger networks.
 """
 
 from __future__ import annotations
@@ -13,11 +15,13 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetnet.storage import cut
+from fleetnet.operators.ranks import in_order
+from fleetnet.storage import cut, new_path
 
 #: The bound of a broadcast network: 28 bytes an arc, 140 MB at most.
 MAX_ARCS = 5_000_000
@@ -148,21 +152,70 @@ def _heap_fields(sources: DataFrame, arcs: DataFrame) -> DataFrame:
     return jobs.repartition("key").mapInArrow(run, "key string, node_id bigint, t_ms bigint, kmh double, etype int")
 
 
-def relaxed_fields(sources: DataFrame, arcs: DataFrame, max_rounds: int = 1_000_000) -> DataFrame:
-    """``time_fields`` by relaxation; fails if ``max_rounds`` don't suffice, rather than give a partial field."""
-    state = sources.select("key", "node_id", "t_ms", "kmh", "etype", F.coalesce("horizon_ms", F.lit(NO_HORIZON)).alias("horizon_ms")).filter("t_ms <= horizon_ms")
+#: Nodes of a block, and keys that one task searches for in it, about.
+BLOCK_NODES, KEYS_TOGETHER = 20_000, 32
+
+
+def node_blocks(arcs: DataFrame, size: int = BLOCK_NODES) -> DataFrame:
+    """(node_id, block): nodes in order of their numbers, ``size`` a block; near numbers are near on the ground, mostly."""
+    nodes = arcs.select(F.col("node_from").alias("node_id")).union(arcs.select("node_to")).distinct()
+    return in_order(nodes, [F.col("node_id")], "_pos").select("node_id", F.floor(F.col("_pos") / size).cast("bigint").alias("block"))
+
+
+def _search_block(frontier: pd.DataFrame, known: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+    """Better times in a block, and times across its border, from the ones that came in; ``known``: the block's own."""
+    nets = {int(k): Network(*(part[c].to_numpy() for c in ("node_from", "node_to", "edge_id", "length_m", "limit_kmh"))) for k, part in arcs.groupby("etype")}
+    held: dict[str, dict[int, int]] = {k: {} for k in set(known["key"])}
+    for k, n, t in zip(known["key"], known["node_id"].tolist(), known["t_ms"].tolist(), strict=True):
+        held[k][n] = min(t, held[k].get(n, t))
+    out = []
+    for (key, kmh, etype, horizon), g in frontier.groupby(["key", "kmh", "etype", "horizon_ms"]):
+        old = held.get(key, {})
+        starts = [(n, t) for n, t in zip(g["node_id"].tolist(), g["t_ms"].tolist(), strict=True) if t < old.get(n, t + 1)]
+        found = dict(starts)
+        if starts and int(etype) in nets:
+            net = nets[int(etype)]
+            found |= {int(net.ids[r]): t for r, t in net.search(starts, float(kmh), int(horizon)).items()}
+        out += [(key, n, t, kmh, int(etype), int(horizon)) for n, t in found.items() if t < old.get(n, t + 1)]
+    return pd.DataFrame(out, columns=["key", "node_id", "t_ms", "kmh", "etype", "horizon_ms"])
+
+
+def relaxed_fields(sources: DataFrame, arcs: DataFrame, max_rounds: int = 1_000_000, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """``time_fields`` by blocks; fails if ``max_rounds`` don't suffice, rather than give a partial field.
+
+    A round reads the arcs and the state of blocks with a frontier only, in lots of keys. Better times are written as further
+    rows of the state, which is never written anew; of a node's rows the least time counts.
+    """
+    spark = sources.sparkSession
+    blocks = cut(node_blocks(arcs, block_nodes))
+    steps = cut(arcs.select("node_from", "node_to", "edge_id", "etype", "length_m", "limit_kmh").join(blocks.withColumnRenamed("node_id", "node_from"), "node_from"))
+    lot = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-sources.select("key").distinct().count() // KEYS_TOGETHER))))
     one = lambda df: df.groupBy("key", "node_id").agg(F.min("t_ms").alias("t_ms"), F.first("kmh").alias("kmh"), F.first("etype").alias("etype"), F.first("horizon_ms").alias("horizon_ms"))
-    state = cut(one(state).withColumn("_new", F.lit(True)))
-    step = arcs.select(F.col("node_from").alias("_from"), F.col("node_to").alias("_to"), F.col("etype").alias("_etype"), "length_m", "limit_kmh")
-    for _ in range(max_rounds):
-        if state.filter("_new").limit(1).count() == 0:
-            return state.select("key", "node_id", "t_ms", "kmh", "etype")
-        frontier = state.filter("_new").join(step, (F.col("node_id") == F.col("_from")) & (F.col("etype") == F.col("_etype")))
-        t = F.col("t_ms") + cost_ms(F.col("length_m"), F.col("limit_kmh"), F.col("kmh"))
-        reached = frontier.select("key", F.col("_to").alias("node_id"), t.alias("t_ms"), "kmh", "etype", "horizon_ms").filter("t_ms <= horizon_ms")
-        both = state.withColumn("_old", F.col("t_ms")).drop("_new").unionByName(one(reached).withColumn("_old", F.lit(None).cast("bigint")))
-        state = both.groupBy("key", "node_id").agg(F.min("t_ms").alias("t_ms"), F.first("kmh").alias("kmh"), F.first("etype").alias("etype"), F.first("horizon_ms").alias("horizon_ms"), F.min("_old").alias("_old"))
-        state = cut(state.withColumn("_new", F.col("_old").isNull() | (F.col("t_ms") < F.col("_old"))).drop("_old"))
+    start = cut(one(sources.select("key", "node_id", "t_ms", "kmh", "etype", F.coalesce("horizon_ms", F.lit(NO_HORIZON)).alias("horizon_ms")).filter("t_ms <= horizon_ms")))
+    alone = start.join(blocks, "node_id", "left_anti")  # starts off the network reach themselves only
+    frontier = cut(start.join(blocks, "node_id").withColumn("lot", lot))
+    keep = ["block", "lot", "key", "node_id", "t_ms", "kmh", "etype"]
+    path, schema = new_path(spark), frontier.select(*keep).schema
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def go(group: tuple, new: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+        arc = rest["edge_id"].notna()
+        known = rest.loc[~arc, ["key", "node_from", "node_to"]].set_axis(["key", "node_id", "t_ms"], axis=1)
+        return _search_block(new, known, rest[arc].astype({"edge_id": "int64", "etype": "int64"})).assign(lot=int(group[1]), home=int(group[0]))
+
+    for k in range(max_rounds):
+        if not frontier.limit(1).count():
+            state = spark.read.schema(schema).parquet(f"{path}/*") if k else frontier.select(*keep)
+            done = state.groupBy("key", "node_id").agg(F.min("t_ms").alias("t_ms"), F.first("kmh").alias("kmh"), F.first("etype").alias("etype"))
+            return done.unionByName(alone.select(*done.columns))
+        active = frontier.select("block", "lot").distinct()
+        held = spark.read.schema(schema).parquet(f"{path}/*").join(active, ["block", "lot"], "left_semi") if k else frontier.select(*keep).limit(0)
+        held = held.select("block", "lot", "key", F.col("node_id").alias("node_from"), F.col("t_ms").alias("node_to"), none("bigint").alias("edge_id"), none("int").alias("etype"), none("double").alias("length_m"), none("double").alias("limit_kmh"))
+        rest = steps.join(active, "block").select(F.col("block").alias("block"), F.col("lot").alias("lot"), none("string").alias("key"), "node_from", "node_to", "edge_id", "etype", "length_m", "limit_kmh").unionByName(held)
+        found = frontier.groupBy("block", "lot").cogroup(rest.withColumnsRenamed({"block": "_block", "lot": "_lot"}).groupBy("_block", "_lot")).applyInPandas(go, "key string, node_id bigint, t_ms bigint, kmh double, etype int, horizon_ms bigint, lot bigint, home bigint")
+        found = cut(found.join(blocks, "node_id"))
+        found.filter("block = home").select(*keep).write.parquet(f"{path}/round-{k}")
+        frontier = cut(one(found.filter("block <> home")).join(blocks, "node_id").withColumn("lot", lot))
     raise RuntimeError(f"the field isn't complete after {max_rounds} rounds")
 
 
@@ -217,17 +270,44 @@ def routes(sources: DataFrame, targets: DataFrame, arcs: DataFrame, engine: str
     return jobs.repartition("key", "_b").mapInArrow(run, "key string, target bigint, t_ms bigint, nodes array<bigint>, edges array<bigint>")
 
 
-def _walked(fields: DataFrame, wanted: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Routes by following parents, all targets a step at a time."""
+def _walked(fields: DataFrame, wanted: DataFrame, arcs: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """Routes by following parents: each round takes every open route as far as its block goes."""
     fields = cut(fields)
-    parents = cut(field_parents(fields, arcs).withColumnsRenamed({"node_id": "_at", "key": "_key"}))
-    state = wanted.join(fields.select("key", F.col("node_id").alias("target"), "t_ms"), ["key", "target"])
-    state = cut(state.withColumns({"nodes": F.array("target"), "edges": F.array().cast("array<bigint>"), "_open": F.lit(True)}))
-    while state.filter("_open").limit(1).count():
-        nxt = state.join(parents, (F.col("key") == F.col("_key")) & (F.element_at("nodes", -1) == F.col("_at")) & F.col("_open"), "left")
-        more = F.col("parent_node").isNotNull()
-        state = cut(nxt.select("key", "target", "t_ms", F.when(more, F.concat("nodes", F.array("parent_node"))).otherwise(F.col("nodes")).alias("nodes"), F.when(more, F.concat("edges", F.array("parent_edge"))).otherwise(F.col("edges")).alias("edges"), more.alias("_open")))
-    return state.drop("_open")
+    blocks = cut(node_blocks(arcs, block_nodes))
+    lot = F.pmod(F.xxhash64("key", "target"), F.lit(max(1, -(-wanted.count() // ROUTES_TOGETHER))))
+    parents = cut(field_parents(fields, arcs).join(blocks, "node_id"))
+    begun = wanted.join(fields.select("key", F.col("node_id").alias("target"), "t_ms"), ["key", "target"])
+    state = cut(begun.select("key", "target", "t_ms", F.col("target").alias("at"), F.array("target").alias("nodes"), F.array().cast("array<bigint>").alias("edges")))
+    shape = "key string, target bigint, t_ms bigint, at bigint, nodes array<bigint>, edges array<bigint>"
+    off = state.join(blocks.withColumnRenamed("node_id", "at"), "at", "left_anti").select(*state.columns)
+    done, todo = [off], state.join(blocks.withColumnRenamed("node_id", "at"), "at")
+
+    def go(group: tuple, rows: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
+        step = {(k, n): (p, e) for k, n, p, e in zip(ways["key"], ways["node_id"].tolist(), ways["parent_node"].tolist(), ways["parent_edge"].tolist(), strict=True)}
+        out = []
+        for key, target, t, at, nodes, edges in zip(rows["key"], rows["target"], rows["t_ms"], rows["at"], rows["nodes"], rows["edges"], strict=True):
+            nodes, edges, at = list(nodes), list(edges), int(at)
+            while (key, at) in step:
+                at, edge = step[key, at]
+                nodes.append(at)
+                edges.append(edge)
+            out.append((key, target, t, at, nodes, edges))
+        return pd.DataFrame(out, columns=["key", "target", "t_ms", "at", "nodes", "edges"])
+
+    while True:
+        todo = cut(todo.withColumn("lot", lot))
+        if not todo.limit(1).count():
+            break
+        active = todo.select("block", "lot", "key").distinct()
+        ways = parents.join(active, ["block", "key"]).select("block", "lot", "key", "node_id", "parent_node", "parent_edge")
+        moved = cut(todo.groupBy("block", "lot").cogroup(ways.withColumnsRenamed({"block": "_block", "lot": "_lot"}).groupBy("_block", "_lot")).applyInPandas(go, shape))
+        there = moved.join(blocks.withColumnRenamed("node_id", "at"), "at").join(parents.select(F.col("key"), F.col("node_id").alias("at"), F.lit(True).alias("_more")), ["key", "at"], "left")
+        done.append(there.filter("_more is null").select(*moved.columns))
+        todo = there.filter("_more").drop("_more")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select("key", "target", "t_ms", "nodes", "edges")
 
 
 def times_at(fields: DataFrame, places: DataFrame) -> DataFrame:

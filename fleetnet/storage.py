@@ -31,12 +31,17 @@ def _own(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/fleetnet-{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, deleted by ``sweep``."""
+    return f"{_own(spark)}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again, for tables that are read several times.
 
     The files stay until ``sweep``, as results that are read later may need them.
     """
-    path = f"{_own(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

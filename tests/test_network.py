@@ -388,3 +388,18 @@ def test_arcs_without_length_end(spark):
     for engine in ("heap", "relax"):
         got = {r.target: list(r.nodes) for r in paths.routes(source, targets, network.arcs(edges), engine).collect()}
         assert got == {1: [1], 2: [2, 1], 3: [3, 2, 1]}
+
+
+def test_blocks_of_a_network(spark, random_graph):
+    edges, df = random_graph
+    arcs = network.arcs(df)
+    sources = spark.createDataFrame([(f"k{n}", n, 0, 60.0, 0, None) for n in range(0, 60, 13)] + [("k0", 7, 90_000, 60.0, 0, None), ("off", 999, 5, 60.0, 0, None)], "key string, node_id bigint, t_ms bigint, kmh double, etype int, horizon_ms bigint")
+    own = lambda rows: sorted((r.key, r.node_id, r.t_ms) for r in rows.collect())
+    small = own(paths.relaxed_fields(sources, arcs, block_nodes=7))  # nine blocks, ways go in and out of them
+    assert small == sorted([*[x for x in own(paths.time_fields(sources, arcs, "heap"))], ("off", 999, 5)])
+    targets = spark.createDataFrame([(f"k{n}", t) for n in range(0, 60, 13) for t in range(60)] + [("off", 999)], "key string, target bigint")
+    line = lambda rows: {(r.key, r.target): (list(r.nodes), list(r.edges)) for r in rows.collect()}
+    got = line(paths._walked(paths.relaxed_fields(sources, arcs, block_nodes=7), targets, arcs, block_nodes=7))
+    assert got.pop(("off", 999)) == ([999], []) and got == line(paths.routes(sources, targets, arcs, "heap"))
+    with pytest.raises(RuntimeError, match="isn't complete"):
+        paths.relaxed_fields(sources, arcs, max_rounds=1, block_nodes=7)
