@@ -140,6 +140,21 @@ def corridor_or_anchor_edges(corridors: DataFrame, edges: DataFrame, keep_m: flo
     return probes.join(at, ["gx", "gy"]).filter(inside | ends[0] | ends[1]).select("edge_id").distinct()
 
 
+def pair_corridors(pairs: DataFrame, vehicles: DataFrame, most_m: float = 55_000.0) -> DataFrame:
+    """Corridors (a, b, corridor_id, a_lat, a_lon, b_lat, b_lon, width_m) between the vehicles of pairs (a, b)."""
+    side = lambda k: vehicles.select(F.col("id").alias(k), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon"))
+    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    dist = haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    return rows.select("a", "b", F.concat_ws("-", "a", "b").alias("corridor_id"), "a_lat", "a_lon", "b_lat", "b_lon", geo.pair_corridor_m(F.round(dist, 3), most_m).alias("width_m"))
+
+
+def destination_corridors(vehicles: DataFrame, destinations: DataFrame, most_m: float = 55_000.0) -> DataFrame:
+    """Corridors (dest_id, id, corridor_id, a_lat, a_lon, b_lat, b_lon, width_m) from vehicles to the destinations for their type."""
+    rows = vehicles.select("id", "vtype", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")).join(destinations.select("dest_id", "vtype", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), "vtype")
+    dist = haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    return rows.select("dest_id", "id", F.concat_ws("-", "dest_id", "id").alias("corridor_id"), "a_lat", "a_lon", "b_lat", "b_lon", geo.destination_corridor_m(F.round(dist, 3), most_m).alias("width_m"))
+
+
 def edges_in_radius(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (point_id, edge_id) of edges with an end within radius_m of a point."""
     boxes = points.select(F.col("point_id").alias("box_id"), geo.segment_box(F.col("lat"), F.col("lon"), F.col("lat"), F.col("lon"), F.col("radius_m")).alias("box"))

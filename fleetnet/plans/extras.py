@@ -9,7 +9,7 @@ from fleetnet.operators import export, fleetops, spatial
 from fleetnet.plans import answers, fleets, views
 from fleetnet.plans.networks import IN, the_box
 from fleetnet.plans.registry import query
-from fleetnet.plans.scalars import destinations
+from fleetnet.plans.scalars import DEST_SQL, destinations, seg_sql
 from fleetnet.plans.views import hav, with_views
 from fleetnet.streaming import state
 
@@ -73,3 +73,33 @@ def stream_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.select("id", F.col("s_suppkey").cast("bigint").alias("seq"), "vtype", "lat", "lon", "speed_kmh", "ts_unix", F.array().cast("array<double>").alias("history"), F.lit(False).alias("removed"))
     shown = state.map_snapshot(state.merge_latest(rows.limit(0), rows))
     return shown.select("vtype", F.size("vehicles").cast("bigint").alias("n"), F.round("view.min_lat", 7).alias("min_lat"), F.round("view.max_lon", 7).alias("max_lon"), F.size(F.array_distinct(F.transform("vehicles", lambda x: x["id"]))).cast("bigint").alias("n_ids"))
+
+
+def _corridor_sql(rows: str, key: str) -> str:
+    """Edges with their middle in a corridor of ``rows`` (columns of ``key``, alat, alon, blat, blon, w), counted."""
+    d = seg_sql("((flat + tlat) * 5e-1)", "((flon + tlon) * 5e-1)", ("alat", "alon"), ("blat", "blon"))["d"]
+    return f"SELECT {key}, count(*) AS n_edges, min(edge_id) AS first_edge, CAST(sum(edge_id) AS BIGINT) AS edge_sum FROM ({rows}) JOIN net_edge ON {d} <= w GROUP BY {key}"
+
+
+def _extract(corridors: DataFrame, edges: DataFrame, *key: str) -> DataFrame:
+    found = spatial.corridor_edges(corridors.drop(*key), edges).join(corridors.select("corridor_id", *key), "corridor_id")
+    return found.groupBy(*key).agg(F.count("*").alias("n_edges"), F.min("edge_id").alias("first_edge"), F.sum("edge_id").alias("edge_sum"))
+
+
+_D2 = f"round({hav('alat', 'alon', 'blat', 'blon')}, 3)"
+_PAIR_ROWS = f"SELECT *, least(3e3, {_D2} * 3.5e-1 + 1.2e4) AS w FROM (SELECT x.id AS a, y.id AS b, x.lat AS alat, x.lon AS alon, y.lat AS blat, y.lon AS blon FROM fleet x JOIN fleet y ON x.id <> y.id WHERE x.s_suppkey = 1)"
+_DEST_ROWS = f"SELECT *, least(9e3, CASE WHEN {_D2} < 1.5e4 THEN greatest(5e3, {_D2} * 5e-1 + 4e3) WHEN {_D2} < 5e4 THEN greatest(7e3, {_D2} * 1.8e-1 + 5e3) WHEN {_D2} < 1e5 THEN greatest(9e3, {_D2} * 1.2e-1 + 6e3) WHEN {_D2} > 4e5 THEN 2.2e4 ELSE {_D2} * 2e-1 + 8e3 END) AS w FROM (SELECT dest_id, id, lat AS alat, lon AS alon, dlat AS blat, dlon AS blon FROM fleet JOIN dest ON dtype = vtype)"
+
+
+@query(with_views(_corridor_sql(_PAIR_ROWS, "a, b"), "net_edge", "fleet"))
+def net_pair_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the network between the lead and each other vehicle."""
+    corridors = spatial.pair_corridors(answers._lead_pairs(spark, sf_dir), views.fleet(spark, sf_dir), 3_000.0)
+    return _extract(corridors, views.net_edge(spark, sf_dir), "a", "b")
+
+
+@query(with_views(_corridor_sql(_DEST_ROWS, "dest_id, id"), "net_edge", "fleet", dest=DEST_SQL))
+def net_destination_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the network between each vehicle and its destinations."""
+    corridors = spatial.destination_corridors(views.fleet(spark, sf_dir), destinations(spark), 9_000.0)
+    return _extract(corridors, views.net_edge(spark, sf_dir), "dest_id", "id")
