@@ -121,7 +121,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 20
     """(posterior of each pattern, votes' probabilities [class, rule, vote], prior of the good class) by EM.
 
     Starts from the good class for patterns without a reject vote; every estimate is smoothed by one vote, so unseen
-    votes keep a probability. Without rows, the posterior is empty and the prior a half.
+    votes keep a probability; should the classes have changed places, they are put back. Without rows, the posterior is empty and the prior a half.
     """
     votes = (patterns[:, None] // 3 ** np.arange(n_rules)) % 3
     good = np.where((votes == 0).any(axis=1), 0.05, 0.95)
@@ -139,6 +139,8 @@ def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 20
         moved, good = float(np.abs(new - good).max()), new
         if moved <= tolerance:
             break
+    if chance[1, :, 0].sum() > chance[0, :, 0].sum():  # the good class is the one that rules reject less
+        good, chance, prior = 1 - good, chance[::-1], 1 - prior
     return good, chance, prior
 
 

@@ -460,6 +460,16 @@ def test_em_recovers_rule_accuracies():
     assert chance[0, :, 0] / (chance[0, :, 0] + chance[0, :, 2]) == pytest.approx([0.9, 0.5, 0.7, 0.8], abs=0.05)
 
 
+def test_classes_keep_their_places():
+    rng = np.random.default_rng(5)
+    good = rng.random(20_000) < 0.7
+    votes = np.stack([np.where(rng.random(20_000) < np.where(good, 0.35, 0.9), 0, 2) for _ in range(5)], axis=1)  # most patterns hold a reject
+    codes, counts = np.unique((votes * 3 ** np.arange(5)).sum(axis=1), return_counts=True)
+    post, chance, prior = rules.fit(codes, counts.astype(float), 5)
+    assert (chance[1, :, 0] < chance[0, :, 0]).all() and prior == pytest.approx(0.7, abs=0.08)
+    assert post[np.flatnonzero(codes == (2 * 3 ** np.arange(5)).sum())[0]] > 0.9 and post[np.flatnonzero(codes == 0)[0]] < 0.1
+
+
 def test_rules_find_junk(spark):
     sf = SF.replace("0.001", "0.01")
     got, bad, kept = rows(queries.op7_quality_rules(spark, sf)), 0, 0
