@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row it gets and returns the rows it keeps with the columns of
 ``documents``; the last returns the encoded corpus.
+
+Nulls in any column, empty and very long texts, repeated rows and further columns go through every stage: a null text
+scores like an empty one, null and empty texts are copies of each other and have no passage, a document without a word is
+never sampled, and null texts get null ids. Repeated rows score alike; one of them stays. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id; near is a likeness of 0.8 or more
-    over five-word shingles, exactly, which four bits of op8's fingerprints don't reach."""
+    over five-word shingles. SimHash links come first; what four bits of fingerprints don't reach is completed exactly."""
     return nearcopies.deduplicated(docs)
 
 
