@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetnet.functions import geo, motion
-from fleetnet.functions.geo import EDGE_CELL, FLEET_CELL, cell, haversine_m, point_segment
+from fleetnet.functions.geo import EDGE_CELL, FLEET_CELL, cell, haversine_m
 
 
 def edge_cells(edges: DataFrame, size: float = EDGE_CELL) -> DataFrame:
@@ -37,10 +37,19 @@ def _box_cells(b: Column, size: float) -> Column:
 
 
 def _snap(vehicles: DataFrame, edges: DataFrame, cells: DataFrame, near: Column, max_m: float) -> DataFrame:
-    probes = vehicles.select("id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), motion.edge_type(F.col("vtype")).alias("_etype"), F.explode(near).alias("_c")).select("*", "_c.gx", "_c.gy").drop("_c")
+    own = vehicles.select("id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.cos(F.radians("lat")).alias("_cos"), motion.edge_type(F.col("vtype")).alias("_etype"), near.alias("_cs"))
+    probes = own.withColumn("_c", F.explode("_cs")).select("*", "_c.gx", "_c.gy").drop("_c", "_cs")
     rows = cells.join(edges.select("edge_id", "node_from", "node_to", "etype", "length_m", "speed_kmh", "flat", "flon", "tlat", "tlon"), "edge_id")
     found = probes.join(rows, ["gx", "gy"]).filter("etype = _etype")
-    dist, share = point_segment(F.col("_lat"), F.col("_lon"), F.col("flat"), F.col("flon"), F.col("tlat"), F.col("tlon"))
+    # Step by step, on the plane at the vehicle, whose cosine travels with it: a pair costs no trigonometry.
+    east = lambda lon: F.radians(F.col(lon) - F.col("_lon")) * F.col("_cos") * geo.EARTH_RADIUS_M
+    north = lambda lat: F.radians(F.col(lat) - F.col("_lat")) * geo.EARTH_RADIUS_M
+    found = found.withColumns({"_ax": east("flon"), "_ay": north("flat"), "_bx": east("tlon"), "_by": north("tlat")})
+    zero = F.lit(0.0)
+    found = found.withColumn("_t", geo.along_segment(zero, zero, F.col("_ax"), F.col("_ay"), F.col("_bx"), F.col("_by")))
+    share = F.col("_t")
+    dx, dy = zero - (F.col("_ax") + share * (F.col("_bx") - F.col("_ax"))), zero - (F.col("_ay") + share * (F.col("_by") - F.col("_ay")))
+    dist = F.sqrt(dx * dx + dy * dy)
     # Ties go by distance rounded to a millimetre, then by edge.
     best = found.groupBy("id").agg(F.min(F.struct(F.round(dist, 3).alias("dist_m"), "edge_id", (share * F.col("length_m")).alias("along_m"), "node_from", "node_to", "length_m", F.col("speed_kmh").alias("limit_kmh"))).alias("_b"))
     best = best.select("id", "_b.*").filter(F.col("dist_m") <= max_m)
