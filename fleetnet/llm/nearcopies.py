@@ -33,8 +33,8 @@ SHINGLE_WORDS = 5
 SAMPLE, SEEN, MOST_COMMON = 32, 2, 1 << 20
 #: Rounds in which a key's members meet one of them only.
 STAR_ROUNDS = 2
-#: Keys, and rows whose texts are asked for, that are broadcast if there are no more, counted first; else both sides are shuffled.
-MOST_KEYS, MOST_ROWS = 500_000, 500_000
+#: Rows whose texts are asked for that are broadcast if there are no more, counted first; else both sides are shuffled.
+MOST_ROWS = 500_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -177,7 +177,7 @@ def near_links(docs: DataFrame, own: DataFrame) -> DataFrame:
     twice = stored(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").cast("int").alias("k")).filter("a <> b"))
     links = verified(_simhash_pairs(own).unionByName(twice.select("a", "b")), docs, nodes, repeats)
     rest_of_keys = stored(twice.filter("k > 2").select("key"))  # two rows are one pair, and that has been looked at
-    placed = own.select("node", "n", F.posexplode("prefix").alias("pos", "key")).join(_some(rest_of_keys, MOST_KEYS), "key", "left_semi")
+    placed = own.select("node", "n", F.posexplode("prefix").alias("pos", "key")).join(rest_of_keys.hint("merge"), "key", "left_semi")  # alike at every size
     open_rows = _grouped(stored(placed.distinct()), links)
     for k in range(STAR_ROUNDS):
         one = open_rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("comp", F.lit(k)), "node", "n", "pos", "comp")).alias("_o")).select(F.col("key"), "_o.node", "_o.n", "_o.pos", "_o.comp")
