@@ -25,6 +25,8 @@ FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 #: Share of the tokens that the sample is to hold, and of a value's tokens that may be asked for.
 BUDGET, MOST = 0.6, 0.95
 TOLERANCE, ROUNDS, ACCEPTED = 1e-5, 100, 5e-3
+#: What a mixture is fitted to: each round is a dozen small jobs, and the driver keeps something of each.
+FIT_TOLERANCE, FIT_ROUNDS = 2e-4, 30
 #: Up to so many cells (about 100 bytes each) they are broadcast to the documents; beyond, both sides are shuffled.
 BROADCAST_CELLS = 100_000
 
@@ -163,7 +165,7 @@ def fit(cells: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame]
     """(cells with _weight and _p, {dim: feasible_targets}) for a table of cells."""
     wanted = targets or {d: flattened_targets(cells, d, FLATTEN[d]) for d in DIMS}
     asked = {d: cut(feasible_targets(cells, d, wanted[d], budget)) for d in DIMS}
-    fitted = calibrate(rake(cells, asked, budget), budget)
+    fitted = calibrate(rake(cells, asked, budget, FIT_TOLERANCE, FIT_ROUNDS), budget)
     return cut(fitted.select("_source", "_lang", "_topic", "_tokens", F.col("_w").alias("_weight"), "_p")), asked
 
 
