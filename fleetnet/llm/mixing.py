@@ -27,7 +27,7 @@ BUDGET, MOST = 0.6, 0.95
 TOLERANCE, ROUNDS, ACCEPTED = 1e-5, 100, 5e-3
 #: What a mixture is fitted to: each round is a dozen small jobs, and the driver keeps something of each.
 FIT_TOLERANCE, FIT_ROUNDS = 2e-4, 30
-#: Up to so many cells (about 100 bytes each) they are broadcast to the documents; beyond, both sides are shuffled.
+#: Up to so many cells (about 100 bytes each) they are raked in one task and broadcast to the documents; beyond, both are shuffled.
 BROADCAST_CELLS = 100_000
 
 #: Topics: the strings, or after "re:" a pattern, that mark each, and their number for each word of a text from which on
@@ -170,7 +170,9 @@ def fit(cells: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame]
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    return cut(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_tokens")))
+    """The cells of rows; up to BROADCAST_CELLS of them, counted first, lie in one partition, so raking shuffles nothing."""
+    cells = cut(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_tokens")))
+    return cut(cells.coalesce(1)) if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else cells
 
 
 def marginals(docs: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None, topic: Callable[[Column, Column], Column] = topic_of) -> DataFrame:
