@@ -198,7 +198,7 @@ def _every_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lead_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet = views.fleet(spark, sf_dir)
-    return fleet.filter("s_suppkey = 1").select(F.col("id").alias("a")).crossJoin(fleet.filter("s_suppkey <> 1").select(F.col("id").alias("b")))  # one row
+    return fleet.filter("s_suppkey <> 1").select(F.col("id").alias("b")).crossJoin(F.broadcast(fleet.filter("s_suppkey = 1").select(F.col("id").alias("a")))).select("a", "b")  # one row
 
 
 def _focal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
