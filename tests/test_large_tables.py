@@ -23,3 +23,26 @@ def test_a_union_of_corridors_makes_no_pairs(spark):
         assert "LeftSemi" in planned(df)
         if pairs is not None:
             assert {r.edge_id for r in df.collect()} == {r.edge_id for r in pairs.collect()}
+
+
+def test_corridors_are_not_broadcast_by_a_guess(spark):
+    """Nothing says how many cells a corridor makes; they meet the edges by a shuffle unless they are measured as few."""
+    assert any("SortMergeJoin [gx" in line for line in planned(networks.join_corridor(spark, SF)).splitlines())
+
+
+def test_rounds_do_not_multiply_the_guess_of_bytes(spark):
+    """A plan's guess of its size grew with the power of the rounds, to numbers that filled the driver's memory."""
+    from fleetnet.storage import cut
+
+    rows = spark.range(9).selectExpr("id as a", "id as b")
+    guess = lambda df: len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    for _ in range(4):
+        rows = cut(rows.join(rows.withColumnRenamed("b", "c"), "a").select("a", "b"))
+    assert guess(rows) < 25 and sorted(r.a for r in rows.collect()) == list(range(9))
+
+
+def test_the_broadcast_network_is_small(spark):
+    """Its arcs pass through the driver."""
+    from fleetnet.operators import paths
+
+    assert 28 * paths.MAX_ARCS <= 30_000_000
