@@ -46,3 +46,21 @@ def test_the_broadcast_network_is_small(spark):
     from fleetnet.operators import paths
 
     assert 28 * paths.MAX_ARCS <= 30_000_000
+
+
+def test_arrivals_hold_no_route_unless_it_is_asked_for(spark):
+    """Sums along a way are the route's, whatever blocks it goes through."""
+    from fleetnet.operators import network, paths
+    from fleetnet.plans import answers
+
+    assert "route_nodes" not in answers._arrivals(spark, SF).columns
+    arcs = network.arcs(views.net_edge(spark, SF))
+    source, nodes = answers._source(spark), views.net_node(spark, SF)
+    walkers = nodes.selectExpr("'S' as key", "cast(node_id as string) as id", "node_id", "double(47) as kmh")
+    sums = {int(r.id): r for r in paths.walked_sums(paths.time_fields(source, arcs), source, walkers.join(paths.time_fields(source, arcs).select("node_id"), "node_id"), arcs, block_nodes=30).collect()}
+    edge = {(r.edge_id): (r.length_m, min(47.0, r.limit_kmh) if r.limit_kmh > 0 else 47.0) for r in arcs.collect()}
+    for r in paths.routes(source, nodes.selectExpr("'S' as key", "node_id as target"), arcs).collect():
+        road = drive = 0.0
+        for e in r.edges:
+            road, drive = road + edge[e][0], drive + edge[e][0] * 3.6 / edge[e][1]
+        assert (sums[r.target].exit_node, sums[r.target].road_m, sums[r.target].drive_s) == (0, road, drive)
