@@ -45,10 +45,10 @@ def read_nodes(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.select(F.col("_id").alias("node_id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), F.when(_tag("railway").isin(*STATIONS), 1).otherwise(0).alias("kind"))
 
 
-def segments(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+def segments(ways: DataFrame, nodes: DataFrame, least_m: float = 1.0) -> DataFrame:
     """Edges of ways: one for each two consecutive nodes, numbered way * 10000 + place.
 
-    Ways that lack a node are dropped, and segments under a metre.
+    Ways that lack a node are dropped, and segments under ``least_m``.
     """
     points = ways.select("way_id", "etype", "speed_kmh", F.size("refs").alias("_n"), F.posexplode("refs").alias("_k", "node_id")).join(nodes.select("node_id", "lat", "lon"), "node_id")
     order, whole = Window.partitionBy("way_id").orderBy("_k"), Window.partitionBy("way_id")
@@ -56,7 +56,7 @@ def segments(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     nxt = lambda c, name: F.lead(c).over(order).alias(name)
     rows = rows.select("way_id", "etype", "speed_kmh", "_k", F.col("node_id").alias("node_from"), F.col("lat").alias("flat"), F.col("lon").alias("flon"), nxt("node_id", "node_to"), nxt("lat", "tlat"), nxt("lon", "tlon")).filter("node_to is not null")
     length = haversine_m(F.col("flat"), F.col("flon"), F.col("tlat"), F.col("tlon"))
-    return rows.withColumn("length_m", length).filter("length_m >= 1").select((F.col("way_id") * 10_000 + F.col("_k")).alias("edge_id"), "node_from", "node_to", "etype", "length_m", "speed_kmh", "flat", "flon", "tlat", "tlon")
+    return rows.withColumn("length_m", length).filter(F.col("length_m") >= least_m).select((F.col("way_id") * 10_000 + F.col("_k")).alias("edge_id"), "node_from", "node_to", "etype", "length_m", "speed_kmh", "flat", "flon", "tlat", "tlon")
 
 
 def network(spark: SparkSession, paths: list[str], bbox: tuple[float, float, float, float] | None = None) -> tuple[DataFrame, DataFrame]:
