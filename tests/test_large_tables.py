@@ -64,3 +64,35 @@ def test_arrivals_hold_no_route_unless_it_is_asked_for(spark):
         for e in r.edges:
             road, drive = road + edge[e][0], drive + edge[e][0] * 3.6 / edge[e][1]
         assert (sums[r.target].exit_node, sums[r.target].road_m, sums[r.target].drive_s) == (0, road, drive)
+
+
+def test_a_type_on_several_pages_has_one_row(spark, monkeypatch):
+    from functools import partial
+
+    from fleetnet.plans import extras
+    from fleetnet.streaming import state
+
+    whole = sorted(map(tuple, extras.stream_snapshot(spark, SF).collect()))
+    monkeypatch.setattr(state, "map_snapshot", partial(state.map_snapshot, page=2))
+    assert sorted(map(tuple, extras.stream_snapshot(spark, SF).collect())) == whole and len({r[0] for r in whole}) == len(whole)
+
+
+def test_the_nearest_edge_may_lie_outside_the_cells_that_have_one(spark):
+    vehicle = spark.createDataFrame([("V", "truck", 0.0001, 0.01)], "id string, vtype string, lat double, lon double")
+    far, near = (1, 0.055), (2, -0.045)  # two cells reach to 0.06 north and to -0.04 south
+    edges = spark.createDataFrame([(k, k * 10, k * 10 + 1, 0, 1000.0, 50.0, lat, 0.005, lat, 0.015) for k, lat in (far, near)], "edge_id bigint, node_from bigint, node_to bigint, etype int, length_m double, speed_kmh double, flat double, flon double, tlat double, tlon double")
+    assert [r.edge_id for r in spatial.nearest_edge(vehicle, edges, exact=True).collect()] == [2]
+
+
+def test_vehicles_near_a_pole_are_near_across_many_meridians(spark):
+    rows = spark.createDataFrame([("a", "truck", 85.0, 113.0), ("b", "truck", 85.0, 113.6), ("c", "truck", 89.999, 10.0), ("d", "truck", 89.999, 170.0)], "id string, vtype string, lat double, lon double")
+    got = {(r.id, r.other_id) for r in spatial.nearby_vehicles(rows, 6_000.0).collect()}
+    assert got == {("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")}
+
+
+def test_short_segments_stay_where_they_are_asked_for(spark):
+    from fleetnet.sources.osm import segments
+
+    ways = spark.createDataFrame([(1, 0, 0.0, [1, 2, 3])], "way_id bigint, etype int, speed_kmh double, refs array<bigint>")
+    nodes = spark.createDataFrame([(1, 89.9999, 0.0), (2, 89.9999, 0.001), (3, 89.99, 0.0)], "node_id bigint, lat double, lon double")
+    assert segments(ways, nodes).count() == 1 and segments(ways, nodes, least_m=0.0).count() == 2
