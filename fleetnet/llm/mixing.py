@@ -14,6 +14,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,10 @@ FIT_TOLERANCE, FIT_ROUNDS = 2e-4, 30
 #: Up to so many cells (about 100 bytes each) they are raked in one task and broadcast to the documents; beyond, both are shuffled.
 BROADCAST_CELLS = 100_000
 
+#: Up to so many cells and targets (about 2 MB), counted first, are fitted in the driver by the same rules: each round over
+#: tables is a dozen jobs, and the driver keeps something of each.
+FIT_HERE = 20_000
+
 #: Topics: the strings, or after "re:" a pattern, that mark each, and their number for each word of a text from which on
 #: they outweigh running prose.
 MARKS = {
@@ -163,12 +168,109 @@ def calibrate(fitted: DataFrame, budget: float) -> DataFrame:
 
 def fit(cells: DataFrame, budget: float = BUDGET, targets: dict[str, DataFrame] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(cells with _weight and _p, {dim: feasible_targets}) for a table of cells."""
+    here = _fit_here(cells, budget, targets)
+    if here:
+        return here
     wanted = targets or {d: flattened_targets(cells, d, FLATTEN[d]) for d in DIMS}
     asked = {d: cut(feasible_targets(cells, d, wanted[d], budget)) for d in DIMS}
     fitted = calibrate(rake(cells, asked, budget, FIT_TOLERANCE, FIT_ROUNDS), budget)
     return cut(fitted.select("_source", "_lang", "_topic", "_tokens", F.col("_w").alias("_weight"), "_p")), asked
 
 
+def _few(rows: DataFrame) -> list | None:
+    got = rows.limit(FIT_HERE + 1).collect()
+    return got if len(got) <= FIT_HERE else None
+
+
+def _feasible_here(wanted: dict[str, float], have: dict[str, float], budget: float) -> dict[str, tuple[float, float]]:
+    """``feasible_targets``: {value: (wanted, feasible)}."""
+    names = [v for v in wanted if v in have]
+    w, h = np.array([wanted[v] for v in names]), np.array([have[v] for v in names])
+    if not w.sum():
+        return {v: (wanted[v], 0.0) for v in names}
+    w, bound, scale = w / w.sum(), h * (max(MOST, (1 + budget) / 2) / (budget * h.sum())), 1.0
+    for _ in range(100):
+        full = w * scale >= bound
+        rest = w[~full].sum()
+        new = (1 - bound[full].sum()) / rest if rest else scale
+        if new <= scale * (1 + 1e-12):
+            break
+        scale = new
+    return {v: (float(x), float(t)) for v, x, t in zip(names, w, np.minimum(w * scale, bound), strict=True)}
+
+
+def _rake_here(at: list[np.ndarray], t: list[np.ndarray], tokens: np.ndarray, total: float, budget: float) -> np.ndarray:
+    """``rake``: the weights; ``at``: each cell's value in each dimension, ``t``: their targets."""
+    u, cap = tokens / total, tokens / (budget * total)
+    best, idle, worst = float("inf"), 0, None
+    for _ in range(FIT_ROUNDS if len(u) else 0):
+        worst = 0.0
+        for k, goal in zip(at, t, strict=True):
+            full = u >= cap
+            held, rest = (np.bincount(k, np.where(x, y, 0.0), len(goal)) for x, y in ((full, cap), (~full, u)))
+            whole = held + rest
+            with np.errstate(divide="ignore", invalid="ignore"):
+                factor = np.where((rest > 0) & (goal > held), (goal - held) / rest, np.where(goal >= whole, 1.0, goal / whole))
+                off = np.where(goal > 0, np.abs(whole / goal - 1), 0.0)
+            u, worst = u * factor[k], max(worst, float(off.max()))
+        if worst <= FIT_TOLERANCE:
+            break
+        best, idle = (worst, 0) if worst < 0.99 * best else (best, idle + 1)
+        if idle == 10:
+            worst = best
+            break
+    if worst is not None and worst > ACCEPTED:
+        warnings.warn(f"raking stopped {worst:.2g} off", stacklevel=2)
+    return np.minimum(u, cap)
+
+
+def _calibrate_here(w: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarray:
+    """``calibrate``: the inclusion probabilities."""
+    ratio, c = w / tokens, 0.0
+    for _ in range(200):
+        full = ratio * c >= 1
+        rest = w[~full].sum()
+        new = (budget * tokens.sum() - tokens[full].sum()) / rest if rest else c
+        if new <= c * (1 + 1e-12):
+            break
+        c = new
+    return np.minimum(1.0, ratio * c)
+
+
+def _fit_here(cells: DataFrame, budget: float, targets: dict[str, DataFrame] | None) -> tuple[DataFrame, dict[str, DataFrame]] | None:
+    """``fit`` on arrays in the driver; None for more than FIT_HERE cells or targets."""
+    rows = _few(cells.select("_source", "_lang", "_topic", "_tokens"))
+    given = [_few(targets[d].select(f"_{d}", "_t")) for d in DIMS] if targets else []
+    if rows is None or any(g is None for g in given):
+        return None
+    rows = sorted(rows, key=lambda r: tuple(r)[:3])  # sums don't hang on the order in which cells come
+    asked = []
+    for k, d in enumerate(DIMS):
+        sums: dict[str, int] = {}
+        for r in rows:
+            sums[r[k]] = sums.get(r[k], 0) + r["_tokens"]
+        powers = {v: float(n) ** FLATTEN[d] for v, n in sums.items()}
+        whole = sum(powers.values())
+        wanted = dict(map(tuple, given[k])) if given else {v: x / whole for v, x in powers.items() if whole}
+        asked.append(_feasible_here(wanted, {v: n for v, n in sums.items() if n}, budget))
+    total = float(sum(r["_tokens"] for r in rows))
+    rows = [r for r in rows if r["_tokens"] > 0 and all(r[k] in asked[k] for k in range(len(DIMS)))]
+    at, goals = [], []
+    for k in range(len(DIMS)):
+        values = sorted({r[k] for r in rows})
+        number = {v: n for n, v in enumerate(values)}
+        t = np.array([asked[k][v][1] for v in values])
+        at.append(np.array([number[r[k]] for r in rows], dtype=int))
+        goals.append(t / (t.sum() or 1.0))  # shares of values that have no cell go to the others
+    tokens = np.array([r["_tokens"] for r in rows], dtype=float)
+    w = _rake_here(at, goals, tokens, total, budget)
+    p = _calibrate_here(w, tokens, budget)
+    spark = cells.sparkSession
+    out = [(*tuple(r)[:4], float(x), float(y)) for r, x, y in zip(rows, w, p, strict=True)]
+    fitted = spark.createDataFrame(out, "_source string, _lang string, _topic string, _tokens bigint, _weight double, _p double")
+    return fitted, {d: spark.createDataFrame([(v, *x) for v, x in asked[k].items()], f"_{d} string, _wanted double, _t double") for k, d in enumerate(DIMS)}
+
+
 def _cells(rows: DataFrame) -> DataFrame:
     """The cells of rows; up to BROADCAST_CELLS of them, counted first, lie in one partition, so raking shuffles nothing."""
     cells = cut(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_tokens")))
