@@ -34,7 +34,8 @@ SAMPLE, SEEN, MOST_COMMON = 32, 2, 1 << 20
 #: Rounds in which a key's members meet one of them only.
 STAR_ROUNDS = 2
 #: Rows whose texts are asked for that are broadcast if there are no more, counted first; else both sides are shuffled.
-MOST_ROWS = 500_000
+#: Over FEW_ROWS they go as sorted arrays (24 bytes a row, 12 MB at most), not as a hash table, of which the driver holds several copies.
+MOST_ROWS, FEW_ROWS = 500_000, 50_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -95,23 +96,42 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
     return map_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, f"doc_id {kind}, text_hash bigint, node bigint, fp bigint, n int, prefix array<bigint>")
 
 
-def _some(table: DataFrame, most: int) -> DataFrame:
-    """A stored table, to be broadcast if it has no more than ``most`` rows."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+def _sorted_rows(wanted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """``wanted`` (node, _i, _h) as arrays in order of its rows' hashes: hash, text's hash, node; None if two hashes are equal."""
+    rows = wanted.select(F.xxhash64("_i", "_h").alias("k"), "_h", "node").toArrow()
+    key, text, node = (rows.column(c).to_numpy() for c in range(3))
+    order = np.argsort(key)
+    key = key[order]
+    return None if (key[1:] == key[:-1]).any() else (key, text[order], node[order])
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, packed) of the rows that ``wanted`` (node, doc_id, text_hash) names, repeated rows repeatedly: texts
     compressed, which are smaller than their sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(node: pa.Array, text: pa.Array) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=3).compress
+        return pa.RecordBatch.from_arrays([node, pa.array([press(t) for t in text.cast(pa.large_binary()).to_pylist()], pa.binary())], names=["node", "packed"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press(t) for t in batch.column(1).cast(pa.large_binary()).to_pylist()], pa.binary())], names=["node", "packed"])
+            yield pack(batch.column(0), batch.column(1))
 
-    w = _some(stored(wanted.select("node", F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))), MOST_ROWS)
-    rows = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_h")))
-    return map_batches(rows.select("node", "text"), run, "node bigint, packed binary")
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, texts, nodes = shared.value
+        for batch in batches:
+            key, text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            found = np.flatnonzero((known[at] == key) & (texts[at] == text))
+            yield pack(pa.array(nodes[at[found]], pa.int64()), batch.column(2).take(pa.array(found)))
+
+    w = stored(wanted.select("node", F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")))
+    n = w.limit(MOST_ROWS + 1).count()
+    if FEW_ROWS < n <= MOST_ROWS and (rows := _sorted_rows(w)):
+        shared = docs.sparkSession.sparkContext.broadcast(rows)
+        return map_batches(docs.select(F.xxhash64("doc_id", F.xxhash64("text")), F.xxhash64("text"), "text"), picked, "node bigint, packed binary")
+    rows = docs.select("doc_id", "text").join(F.broadcast(w) if n <= FEW_ROWS else w, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_h")))
+    return map_batches(rows.select("node", "text"), joined, "node bigint, packed binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, repeats: bool) -> DataFrame:

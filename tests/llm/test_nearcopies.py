@@ -59,3 +59,15 @@ def test_repeated_and_null_ids(spark):
     rows = [(7, "same words again and again"), (7, "same words again and again"), (None, "no id here at all, none"), (8, "Same words again and again"), (9, None)]
     df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOC)
     assert sorted(str(r.doc_id) for r in nearcopies.deduplicated(df).collect()) == ["7", "9", "None"]
+
+
+def test_texts_of_many_rows_are_found_without_a_broadcast_table(spark, monkeypatch):
+    """A hash table of up to 500,000 rows was made in the driver and sent to all executors."""
+    rows = [(k if k else None, f"words of text {k % 40}") for k in range(60)] + [(7, "words of text 7"), (8, None)]
+    df = spark.createDataFrame([(i, t or "") for i, t in rows], "doc_id bigint, text string")
+    wanted = df.filter("doc_id % 2 = 1 or doc_id is null").selectExpr("xxhash64(doc_id, text) as node", "doc_id", "xxhash64(text) as text_hash").distinct()
+    got = lambda: sorted((r.node, bytes(r.packed)) for r in nearcopies.packed_texts(df, wanted).collect())
+    joined = got()
+    monkeypatch.setattr(nearcopies, "FEW_ROWS", 0)
+    assert "Join" not in nearcopies.packed_texts(df, wanted)._jdf.queryExecution().sparkPlan().toString()
+    assert got() == joined and len(joined) > 30
