@@ -143,6 +143,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, repeats: bool)
     size = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"))
     able = pairs.distinct().join(size("a"), "a").join(size("b"), "b").filter(5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
     pairs = stored(able.select("a", "b"))
+    if not pairs.limit(1).count():
+        return pairs
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = packed_texts(docs, nodes.join(ends, "node", "left_semi"))
     texts = stored(texts.dropDuplicates(["node"]) if repeats else texts)
@@ -200,6 +202,8 @@ def near_links(docs: DataFrame, own: DataFrame) -> DataFrame:
     placed = own.select("node", "n", F.posexplode("prefix").alias("pos", "key")).join(rest_of_keys.hint("merge"), "key", "left_semi")  # alike at every size
     open_rows = _grouped(stored(placed.distinct()), links)
     for k in range(STAR_ROUNDS):
+        if not open_rows.limit(1).count():  # no key left that two components have
+            return links
         one = open_rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("comp", F.lit(k)), "node", "n", "pos", "comp")).alias("_o")).select(F.col("key"), "_o.node", "_o.n", "_o.pos", "_o.comp")
         met = open_rows.alias("a").join(one.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b"))
         links = links.unionByName(verified(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")), docs, nodes, repeats))
